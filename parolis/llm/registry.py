@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from parolis.llm.queries import nearest, turns
+from parolis.llm.queries import leaks, nearest, spans, turns
 
-_MODULES = [turns, nearest]
+_MODULES = [turns, nearest, leaks, spans]
 
 
 def queries() -> dict:
