@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from parolis.llm.queries import leaks, nearest, spans, turns
+from parolis.llm.queries import leaks, mixing, nearest, spans, turns
 
-_MODULES = [turns, nearest, leaks, spans]
+_MODULES = [turns, nearest, leaks, mixing, spans]
 
 
 def queries() -> dict:
