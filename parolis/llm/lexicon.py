@@ -47,11 +47,13 @@ DETERMINERS = frozenset("le la les l un une des du de d au aux cet cette ce mon
 
 
 class _Folding(dict):
-    """Characters to lower case without accent, digits to 0, blanks to a space; always one character for one."""
+    """Characters to lower case without accent, digits to 0, blanks but line ends to a space; one character for one."""
 
     def __missing__(self, code: int) -> str:
         c = chr(code)
-        if c.isspace() or unicodedata.category(c) in ("Zs", "Cf"):
+        if c in "\n\r":
+            out = "\n"
+        elif c.isspace() or unicodedata.category(c) in ("Zs", "Cf"):
             out = " "
         elif c.isdigit():
             out = "0"
