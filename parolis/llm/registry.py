@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from parolis.llm.queries import leaks, mixing, nearest, redaction, spans, turns
+from parolis.llm.queries import leaks, mixing, nearest, neighbours, redaction, spans, turns
 
-_MODULES = [turns, redaction, nearest, leaks, mixing, spans]
+_MODULES = [turns, redaction, nearest, neighbours, leaks, mixing, spans]
 
 
 def queries() -> dict:

@@ -51,6 +51,7 @@ _TRAPS = (
     "docteur nous attend", "Eine alte Frau liegt dort", "eine Frau schreit laut", "una señora cae", "la señora grande grita",
     "monsieur tousse beaucoup", "madame glisse ici", "le docteur demande un appui", "un monsieur vomit", "une madame pleure",
     "der Herr schläft", "el señor duerme", "Die Frau hinkt", "monsieur saigne", "a man and miss both", "Herr liegt hier",
+    "prop e. Le chef part", "elle est bless e. La route est coupée", "il va mal\nt. Le médecin est là", "ba s. Le groupe reste",
     "my name is on the list", "il s'appelle comment", "je m'appelle comment", "contact perdu",
     "the fire at the roundabout", "il est {h} h {m}. 06 équipes", "bilan {c}/{b0} pouls {a}", "étage {b} porte {a}",
     "plus de {six} euros", "référence {seven}", "le {h}/{m}/{y}",
