@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -14,3 +14,81 @@ def call_id(file: Column) -> Column:
 def speaker_key(speaker: Column) -> Column:
     """Trimmed, lower-cased speaker label."""
     return F.lower(F.trim(speaker))
+
+
+#: Written names of speakers in exported files.
+SPEAKER_NAMES = {"operateur": "OP-SDIS1", **{str(n): f"requerant{n}" for n in range(5)}}
+#: Shortest turn kept by cleaning (longer than) and used for an embedding (at least), in seconds.
+CLEAN_SECONDS, EMBED_SECONDS = 2.0, 1.0
+
+
+def valid_turns(turns: DataFrame) -> DataFrame:
+    """``audio_id, turn_no, speaker, start, end, duration`` of turns with file, speaker and both times, end after start.
+
+    Times are rounded to milliseconds; a row repeated with the same number counts once.
+    """
+    ms = lambda c: F.round(c, 3)
+    t = turns.select(
+        call_id(F.col("file")).alias("audio_id"), "turn_no", speaker_key(F.col("speaker")).alias("speaker"),
+        ms(F.col("start")).alias("start"), ms(F.col("end")).alias("end"),
+    ).where("audio_id IS NOT NULL AND speaker IS NOT NULL AND start IS NOT NULL AND end > start")
+    return t.dropDuplicates().withColumn("duration", F.round(F.col("end") - F.col("start"), 3))
+
+
+def _order() -> list:
+    return [F.col("turn_no"), F.col("start"), F.col("end")]
+
+
+def with_ordinals(turns: DataFrame) -> DataFrame:
+    """Running number of each speaker's turns in a call, over all turns, and ``utt_id = call_speaker_number``."""
+    w = Window.partitionBy("audio_id", "speaker").orderBy(*_order())
+    t = turns.withColumn("ordinal", F.row_number().over(w))
+    return t.withColumn("utt_id", F.concat_ws("_", "audio_id", "speaker", F.col("ordinal").cast("string")))
+
+
+def cleaned(turns: DataFrame, seconds: float = CLEAN_SECONDS, renumber: bool = False) -> DataFrame:
+    """Turns longer than ``seconds``, strictly. Numbers are of all turns; ``renumber`` counts the kept ones instead."""
+    long = F.col("duration") > seconds
+    return with_ordinals(turns.where(long)) if renumber else with_ordinals(turns).where(long)
+
+
+def valid_calls(turns: DataFrame, speaker: str = "operateur") -> DataFrame:
+    """Calls with more than one turn of ``speaker``: ``audio_id, n_turns``."""
+    return turns.where(F.col("speaker") == speaker).groupBy("audio_id").agg(F.count("*").alias("n_turns")).where("n_turns > 1")
+
+
+def talk_time(turns: DataFrame) -> DataFrame:
+    """Per call and speaker: number of turns and seconds of speech."""
+    return turns.groupBy("audio_id", "speaker").agg(F.count("*").alias("n_turns"), F.sum("duration").alias("seconds"))
+
+
+def duration_lists(turns: DataFrame) -> DataFrame:
+    """Per call and speaker the durations (2 places) in turn order, joined by ``;``."""
+    parts = F.array_sort(F.collect_list(F.struct("turn_no", "start", "end", F.format_string("%.2f", "duration").alias("d"))))
+    return turns.groupBy("audio_id", "speaker").agg(
+        F.count("*").alias("n_turns"), F.array_join(F.transform(parts, lambda x: x["d"]), ";").alias("durations")
+    )
+
+
+def named(speaker: Column) -> Column:
+    """The exported name of a speaker; others are ``locuteur_<speaker>``."""
+    names = F.create_map(*[F.lit(x) for kv in SPEAKER_NAMES.items() for x in kv])
+    return F.coalesce(names[speaker], F.concat(F.lit("locuteur_"), speaker))
+
+
+def cut_list(turns: DataFrame, rename: bool = True) -> DataFrame:
+    """Pieces to cut from each recording: ``audio_id, speaker_name, seg_no, start_ms, end_ms, out_name``."""
+    t = turns.withColumn("speaker_name", named(F.col("speaker")) if rename else F.col("speaker"))
+    w = Window.partitionBy("audio_id", "speaker_name").orderBy(*_order())
+    t = t.withColumn("seg_no", F.row_number().over(w))
+    safe = F.translate("speaker_name", " /", "__")
+    return t.select(
+        "audio_id", "speaker_name", "seg_no",
+        F.floor(F.round(F.col("start") * 1000, 3)).cast("bigint").alias("start_ms"), F.floor(F.round(F.col("end") * 1000, 3)).cast("bigint").alias("end_ms"),
+        F.concat(F.col("audio_id"), F.lit("_"), safe, F.lit("_"), F.col("seg_no").cast("string"), F.lit(".wav")).alias("out_name"),
+    )
+
+
+def speakers_of(turns: DataFrame) -> DataFrame:
+    """Distinct speakers of a call in order, joined by commas."""
+    return turns.groupBy("audio_id").agg(F.array_join(F.array_sort(F.collect_set("speaker")), ",").alias("speakers"))

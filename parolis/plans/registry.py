@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from parolis.plans import intervals
+from parolis.plans import intervals, similarity
 
-_MODULES = [intervals]
+_MODULES = [similarity, intervals]
 
-FLAGSHIP = "p5_found"
+FLAGSHIP = "profile_topk_intra"
 
 
 def queries() -> dict:
