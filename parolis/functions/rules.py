@@ -14,6 +14,7 @@ from typing import NamedTuple
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 
 class Rule(NamedTuple):
@@ -76,7 +77,9 @@ def compile_tokens(pattern: list[dict]) -> str:
     return rf"(?<![^ ])(?: ?{out})(?![^ ])" if pattern and pattern[0].get("OP") in ("?", "*") else rf"(?<![^ ]){out}(?![^ ])"
 
 
-SPAN = "array<struct<category: string, rule_no: int, mot: string, start: int, end: int>>"
+_HEAD = (("category", S.StringType()), ("rule_no", S.IntegerType()), ("mot", S.StringType()))
+SPAN = S.ArrayType(S.StructType([S.StructField(n, t) for n, t in (*_HEAD, ("start", S.IntegerType()), ("end", S.IntegerType()))]))
+KEPT = S.ArrayType(S.StructType([S.StructField(n, t) for n, t in (*_HEAD, ("kept", S.BooleanType()))]))
 
 
 @functools.lru_cache(maxsize=8)
@@ -85,10 +88,10 @@ def _compiled(rules: tuple[Rule, ...]) -> tuple[tuple[str, re.Pattern], ...]:
 
 
 def find_spans(text: str | None, rules: tuple[Rule, ...] = RULES) -> list[dict]:
-    """All matches of all rules, by rule and position; empty matches are none."""
+    """All matches of all rules, by rule and position in the NFC form of the text; empty matches are none."""
     if not text:
         return []
-    folded = fold(text)
+    folded = fold(unicodedata.normalize("NFC", text))
     return [
         {"category": c, "rule_no": n, "mot": m.group().strip(), "start": m.start(), "end": m.end()}
         for n, (c, p) in enumerate(_compiled(rules))
@@ -107,7 +110,7 @@ def spans(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     return udf(text)
 
 
-@F.pandas_udf("array<struct<category: string, rule_no: int, mot: string, kept: boolean>>")
+@F.pandas_udf(KEPT)
 def retained(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     """Per text pair the first match of each default rule in ``ref`` and whether the rule also matches ``hyp``."""
 

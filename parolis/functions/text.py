@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType
 
 # The hesitations ("disfluences") that detection ignores.
 DISFLUENCIES = (
@@ -51,9 +52,14 @@ def normalize_display(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"(?U)\W+", " "))
 
 
+def folded_words(c: Column) -> Column:
+    """Lower case without accents and punctuation, one blank between words."""
+    return F.trim(F.regexp_replace(strip_accents(F.lower(c)), r"(?U)\W+", " "))
+
+
 def normalize_detect(c: Column, disfluencies: tuple[str, ...] = DISFLUENCIES) -> Column:
     """Lower case without accents, punctuation and hesitations."""
-    x = F.trim(F.regexp_replace(strip_accents(F.lower(c)), r"(?U)\W+", " "))
+    x = folded_words(c)
     words = "|".join(sorted(disfluencies, key=len, reverse=True))
     return squeeze(F.regexp_replace(x, rf"(?<![^ ])(?:{words})(?![^ ])", " "))
 
@@ -75,7 +81,7 @@ def ratio(a: str | None, b: str | None) -> float | None:
     return None if a is None or b is None else difflib.SequenceMatcher(None, a, b).ratio()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
@@ -95,7 +101,7 @@ def edits(ref: list[str], hyp: list[str]) -> int:
     return int(row[-1])
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def word_edits(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     """Edits between two texts split at blanks; a null text counts as empty."""
     return pd.Series([edits((r or "").split(), (h or "").split()) for r, h in zip(ref, hyp)], dtype="int32")

@@ -102,12 +102,15 @@ def insertions(reference: DataFrame, automatic: DataFrame, rules: tuple = R.RULE
 def gazetteer_matches(texts: DataFrame, places: DataFrame, longest: int = 3) -> DataFrame:
     """Places named in texts: ``text_id, place, n``. Names (``place``) are compared as sequences of up to ``longest``
     folded words, by one equi join; an empty gazetteer matches nothing."""
-    names = places.select(T.normalize_detect(F.col("place"), ("",)).alias("place")).where("place <> ''").distinct()
-    tokens = F.split(T.normalize_detect(F.col("text"), ("",)), " ")
+    names = places.select(T.folded_words(F.col("place")).alias("place")).where("place <> ''").distinct()
+    tokens = F.split(T.folded_words(F.col("text")), " ")
     x = texts.select("text_id", tokens.alias("t"))
-    grams = F.flatten(
-        F.array(*[F.transform(F.sequence(F.lit(1), F.size("t") - n + 1), lambda i, n=n: F.array_join(F.slice("t", i, n), " ")) if n == 1 else F.when(F.size("t") >= n, F.transform(F.sequence(F.lit(1), F.size("t") - n + 1), lambda i, n=n: F.array_join(F.slice("t", i, n), " "))).otherwise(F.array().cast("array<string>")) for n in range(1, longest + 1)])
-    )
+
+    def grams_of(n: int) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.size("t") - n + 1), lambda i: F.array_join(F.slice("t", i, n), " "))
+        return F.when(F.size("t") >= n, every).otherwise(F.array().cast("array<string>"))
+
+    grams = F.flatten(F.array(*[grams_of(n) for n in range(1, longest + 1)]))
     g = x.where(F.size("t") > 0).select("text_id", F.explode(grams).alias("place"))
     return g.join(names, "place").groupBy("text_id", "place").agg(F.count("*").alias("n"))
 
@@ -136,11 +139,8 @@ def _scores(tokens: Column, strict: bool, contexts: tuple) -> Column:
 
     def pair_hits(words: tuple) -> Column:
         pairs = F.zip_with(F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))), F.when(F.size(kept) > 1, F.slice(kept, 2, F.size(kept))).otherwise(F.array().cast("array<string>")), lambda a, b: F.concat_ws(" ", a, b))
-        each = [F.size(F.filter(pairs, lambda p, w=w: F.contains(p, F.lit(w)))) for w in words]
-        total = each[0]
-        for e in each[1:]:
-            total = total + e
-        return total
+        found = F.transform(pairs, lambda p: F.size(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(p, w))))
+        return F.aggregate(found, F.lit(0), lambda acc, n: acc + n)
 
     out = []
     for name, good, bad, weight, against in contexts:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from parolis.plans import intervals, similarity
+from parolis.plans import audio, entities, intervals, overlap, similarity, turns
 
-_MODULES = [similarity, intervals]
+_MODULES = [similarity, turns, overlap, intervals, entities, audio]
 
 FLAGSHIP = "profile_topk_intra"
 
