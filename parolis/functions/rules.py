@@ -56,7 +56,7 @@ def compile_tokens(pattern: list[dict]) -> str:
     An attribute value may be a string, ``{"REGEX": ...}`` or ``{"IN": [...]}``; ``OP`` may be ``?``, ``+`` or ``*``.
     """
     out = ""
-    for n, token in enumerate(pattern):
+    for token in pattern:
         value = next((token[k] for k in ("LOWER", "TEXT", "NORM") if k in token), None)
         if isinstance(value, dict) and "REGEX" in value:
             body = fold(value["REGEX"]).removeprefix("^").removesuffix("$")
@@ -64,17 +64,9 @@ def compile_tokens(pattern: list[dict]) -> str:
             body = "|".join(re.escape(fold(x)) for x in value["IN"])
         else:
             body = re.escape(fold(value)) if value is not None else r"[^ ]+"
-        unit = f"(?:{body})"
-        op = token.get("OP", "")
-        gap = " " if n else ""
-        if op in ("?", "*"):
-            unit = f"(?:{gap}{unit}){op}"
-        elif op == "+":
-            unit = f"{gap}{unit}(?: {unit})*"
-        else:
-            unit = gap + unit
-        out += unit
-    return rf"(?<![^ ])(?: ?{out})(?![^ ])" if pattern and pattern[0].get("OP") in ("?", "*") else rf"(?<![^ ]){out}(?![^ ])"
+        # a whole token and the blank after it; find_spans trims the last one
+        out += rf"(?:(?<![^ ])(?:{body})(?![^ ]) ?){token.get('OP', '')}"
+    return out
 
 
 _HEAD = (("category", S.StringType()), ("rule_no", S.IntegerType()), ("mot", S.StringType()))
@@ -92,12 +84,14 @@ def find_spans(text: str | None, rules: tuple[Rule, ...] = RULES) -> list[dict]:
     if not text:
         return []
     folded = fold(unicodedata.normalize("NFC", text))
-    return [
-        {"category": c, "rule_no": n, "mot": m.group().strip(), "start": m.start(), "end": m.end()}
-        for n, (c, p) in enumerate(_compiled(rules))
-        for m in p.finditer(folded)
-        if m.group().strip()
-    ]
+    out = []
+    for n, (c, p) in enumerate(_compiled(rules)):
+        for m in p.finditer(folded):
+            mot = m.group().strip()
+            start = m.start() + len(m.group()) - len(m.group().lstrip())
+            if mot:
+                out.append({"category": c, "rule_no": n, "mot": mot, "start": start, "end": start + len(mot)})
+    return out
 
 
 def spans(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
