@@ -9,13 +9,7 @@ import unicodedata
 
 import ahocorasick
 
-# The hesitations ("disfluences") that count as no content.
-DISFLUENCIES = (
-    "ah", "aie", "atchoum", "baf", "bah", "be", "ben", "bien", "bof", "bon ben", "bouh", "euh", "euf", "ha", "heu",
-    "heueu", "he", "he bien", "hein", "hi", "ih", "hm", "hop", "hou", "hum", "hup", "la", "mah", "menfin", "mmm",
-    "mouais", "moui", "of", "oh", "ok", "okay", "ouah", "ouais", "ouf", "ouille", "pff", "pouh", "snif", "tac", "toc",
-    "wahou", "yeah", "zut", "zou", "und",
-)
+from parolis.functions.text import DISFLUENCIES
 
 #: Hesitations that are also words of a sentence: they never make a piece non-empty, but stay in the clean text.
 WORDS_TOO = frozenset({"be", "bien", "he", "he bien", "la", "ha", "hop", "of", "ok", "okay", "tac", "toc"})
