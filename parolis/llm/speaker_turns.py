@@ -125,26 +125,31 @@ def split_pieces(text: str | None, speaker: str | None) -> list[tuple[str, str]]
     return out
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pieces(with_text: bool):
     kind = pa.list_(pa.struct([("speaker", pa.string()), ("text", pa.string())]))
-    for b in batches:
-        rows = [
-            [{"speaker": s, "text": t} for s, t in split_pieces(x, who)]
-            for x, who in zip(b.column("text").to_pylist(), b.column("speaker").to_pylist())
-        ]
-        yield pa.RecordBatch.from_arrays(
-            [b.column("entity"), b.column("seg_id"), b.column("t"), pa.array(rows, kind)], ["entity", "seg_id", "t", "pieces"]
-        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [
+                [{"speaker": s, "text": t if with_text else None} for s, t in split_pieces(x, who)]
+                for x, who in zip(b.column("text").to_pylist(), b.column("speaker").to_pylist())
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("entity"), b.column("seg_id"), b.column("t"), pa.array(rows, kind)], ["entity", "seg_id", "t", "pieces"]
+            )
+
+    return run
 
 
 def pieces(
     df: DataFrame, entity: str = "audio_id", seg_id: str = "seg_id", speaker: str = "speaker", text: str = "text",
-    start: str = "start", words: str | None = "words", slice_s: int = SLICE_S,
+    start: str = "start", words: str | None = "words", slice_s: int = SLICE_S, with_text: bool = True,
 ) -> DataFrame:
     """Clean pieces with turn marks: ``audio_id, seg_id, piece, speaker, text, t, slice, begins, turn_no``.
 
     ``t`` is the segment's start, else its earliest word start; segments without either go last. ``begins`` is 1 where a
-    turn begins and ``turn_no`` numbers the turns of a call from 1.
+    turn begins and ``turn_no`` numbers the turns of a call from 1. Without ``with_text`` the texts are read but not
+    shuffled, and ``text`` is null.
 
     Rows with a null call or segment id are ignored; null, blank and noise-only text gives no piece; a segment delivered
     again counts once. Segments of equal time go by segment id. Other columns are not read. Empty tables give an empty
@@ -158,7 +163,7 @@ def pieces(
         df[speaker].cast("string").alias("speaker"), df[text].cast("string").alias("text"), t.alias("t"),
     ).where("entity IS NOT NULL AND seg_id IS NOT NULL")
     kind = "entity string, seg_id bigint, t double, pieces array<struct<speaker: string, text: string>>"
-    parts = rows.mapInArrow(_pieces, kind).where(F.size("pieces") > 0)
+    parts = rows.mapInArrow(_pieces(with_text), kind).where(F.size("pieces") > 0)
     parts = parts.withColumn("slice", F.coalesce(F.floor(F.col("t") / slice_s), F.lit(2**62)))
 
     # one exchange: everything below until the joins is grouped by (call, slice)
@@ -191,7 +196,7 @@ def pieces(
 
 def turn_heads(df: DataFrame, **columns) -> DataFrame:
     """One row per turn at the segment where it begins: ``audio_id, seg_id, turn_in_seg, speaker, turn_no``."""
-    p = pieces(df, **columns)
+    p = pieces(df, with_text=False, **columns)
     w = Window.partitionBy("audio_id", "slice", "seg_id").orderBy("piece")
     heads = p.where("begins = 1").withColumn("turn_in_seg", F.row_number().over(w))
     return heads.select("audio_id", "seg_id", "turn_in_seg", "speaker", "turn_no")
