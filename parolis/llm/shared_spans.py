@@ -19,8 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from parolis.runtime import cut_lineage
+
 #: Code points hashed at a time; longer texts go in overlapping pieces.
 CHUNK = 1 << 19
+#: Rows of ids or hashes (8 bytes each) that are still broadcast; more of them meet the other side by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 _U64 = np.uint64
 
@@ -144,10 +148,15 @@ def _spans(length: int, reach: int):
     return run
 
 
+def _counted(df: DataFrame) -> DataFrame:
+    """The rows, computed once, with a broadcast hint only where their number was checked to be small."""
+    df = cut_lineage(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def _elsewhere(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose keys occur in more than one document; a group is reduced to two ids, never listed."""
-    both = rows.groupBy(*keys).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select(*keys)
-    return rows.join(both, keys, "left_semi")
+    """Keys that occur in more than one document; a group is reduced to two ids, never listed."""
+    return rows.groupBy(*keys).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select(*keys)
 
 
 def shared_spans(
@@ -172,13 +181,16 @@ def shared_spans(
     copies = keyed.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("hi"))
     whole = keyed.join(copies.where("rep < hi"), ["d1", "d2", "n"], "left_semi").distinct()
     whole = whole.select("doc_id", F.lit(0).cast("bigint").alias("char_start"), F.col("n").cast("bigint").alias("char_end"))
-    reps = docs.join(copies.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    later = keyed.join(copies.where("rep < hi"), ["d1", "d2", "n"]).where("doc_id > rep").select("doc_id").distinct()
+    reps = docs.join(_counted(later), "doc_id", "left_anti")
 
     anchors = reps.mapInArrow(_anchors(period, cover, width), "h bigint, doc_id bigint, pos int")
-    hits = _elsewhere(anchors, ["h"]).groupBy("doc_id").agg(F.collect_list("pos").alias("anchors"))
+    hits = anchors.join(_counted(_elsewhere(anchors, ["h"])), "h", "left_semi")
+    hits = hits.groupBy("doc_id").agg(F.collect_list("pos").alias("anchors"))
     grown = reps.join(hits, "doc_id").select("doc_id", "text", "anchors")
     spans = grown.mapInArrow(_spans(length, period - 1), "ha bigint, hb bigint, doc_id bigint, pos int")
-    found = _elsewhere(spans, ["ha", "hb"]).select("doc_id", F.col("pos").cast("bigint").alias("pos"))
+    found = spans.join(_elsewhere(spans, ["ha", "hb"]), ["ha", "hb"], "left_semi")
+    found = found.select("doc_id", F.col("pos").cast("bigint").alias("pos"))
 
     # positions of one document (no more than it has characters) into stretches
     w = Window.partitionBy("doc_id").orderBy("pos")
