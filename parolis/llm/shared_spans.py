@@ -186,7 +186,9 @@ def shared_spans(
 
     anchors = reps.mapInArrow(_anchors(period, cover, width), "h bigint, doc_id bigint, pos int")
     hits = anchors.join(_counted(_elsewhere(anchors, ["h"])), "h", "left_semi")
-    hits = hits.groupBy("doc_id").agg(F.collect_list("pos").alias("anchors"))
+    hits = cut_lineage(hits.groupBy("doc_id").agg(F.collect_list("pos").alias("anchors")))  # read twice below
+    if (hits.agg(F.sum(F.size("anchors"))).first()[0] or 0) <= BROADCAST_ROWS:
+        hits = F.broadcast(hits)
     grown = reps.join(hits, "doc_id").select("doc_id", "text", "anchors")
     spans = grown.mapInArrow(_spans(length, period - 1), "ha bigint, hb bigint, doc_id bigint, pos int")
     found = spans.join(_elsewhere(spans, ["ha", "hb"]), ["ha", "hb"], "left_semi")
