@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parolis.runtime import cut_lineage
@@ -148,6 +148,24 @@ def _spans(length: int, reach: int):
     return run
 
 
+def _stretches(length: int):
+    """(doc_id, span positions) -> merged stretches; overlapping and touching spans are one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, starts, ends = [], [], []
+            for i, at in zip(b.column("doc_id").to_pylist(), b.column("at")):
+                p = np.sort(at.values.to_numpy()).astype(np.int64)
+                cut = np.flatnonzero(np.diff(p) > length)
+                starts.append(p[np.concatenate(([0], cut + 1))])
+                ends.append(p[np.concatenate((cut, [len(p) - 1]))] + length)
+                ids.append(np.full(len(cut) + 1, i, dtype=np.int64))
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, starts, ends)], ["doc_id", "char_start", "char_end"])
+
+    return run
+
+
 def _counted(df: DataFrame) -> DataFrame:
     """The rows, computed once, with a broadcast hint only where their number was checked to be small."""
     df = cut_lineage(df)
@@ -192,15 +210,12 @@ def shared_spans(
     grown = reps.join(hits, "doc_id").select("doc_id", "text", "anchors")
     spans = grown.mapInArrow(_spans(length, period - 1), "ha bigint, hb bigint, doc_id bigint, pos int")
     found = spans.join(_elsewhere(spans, ["ha", "hb"]), ["ha", "hb"], "left_semi")
-    found = found.select("doc_id", F.col("pos").cast("bigint").alias("pos"))
 
     # positions of one document (no more than it has characters) into stretches
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    marked = found.withColumn("new", (F.coalesce(F.col("pos") - F.lag("pos").over(w) > length, F.lit(True))).cast("int"))
-    marked = marked.withColumn("k", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    parts = marked.groupBy("doc_id", "k").agg(F.min("pos").alias("char_start"), (F.max("pos") + length).alias("char_end"))
+    found = found.groupBy("doc_id").agg(F.collect_list("pos").alias("at"))
+    parts = found.mapInArrow(_stretches(length), "doc_id bigint, char_start bigint, char_end bigint")
     fully = whole.select("doc_id")
-    return parts.select("doc_id", "char_start", "char_end").join(fully, "doc_id", "left_anti").unionByName(whole)
+    return parts.join(fully, "doc_id", "left_anti").unionByName(whole)
 
 
 def shared_share(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 240) -> DataFrame:
