@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parolis.operators import turns as T
+from parolis.operators.encoding import speaker_type
 from parolis.runtime import table
 
 
@@ -78,7 +79,26 @@ def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ref.unionByName(hyp)
 
 
+def tier_cut_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces to cut by annotation track and value: numbered in order of time, with file names free of blanks."""
+    a = table(spark, sf_dir, "annotations").where("audio_id IS NOT NULL AND start IS NOT NULL AND end > start")
+    a = a.select("ann_id", "audio_id", "tier", "start", "end", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["ann_id"])
+    bucket = F.coalesce(F.nullif(F.lower(F.trim("text")), F.lit("")), F.lit("sans_valeur"))
+    a = a.where("tier IN ('Ac_ev', 'bruit')").withColumn("bucket", bucket)
+    w = Window.partitionBy("audio_id", "tier", "bucket").orderBy("start", "end", "ann_id")
+    a = a.withColumn("seg_no", F.row_number().over(w))
+    name = F.concat("audio_id", F.lit("_"), F.translate(F.concat_ws("_", "tier", "bucket"), " /", "__"), F.lit("_"), F.lpad(F.col("seg_no").cast("string"), 3, "0"), F.lit(".wav"))
+    return a.select("ann_id", "bucket", "seg_no", F.col("start").alias("start_ms"), F.col("end").alias("end_ms"), name.alias("out_name"))
+
+
+def tier_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotations by the kind of speaker that the track name says."""
+    a = table(spark, sf_dir, "annotations").where("tier IS NOT NULL")
+    return a.groupBy(speaker_type(F.col("tier")).alias("kind")).agg(F.count("*").alias("n"), F.countDistinct("ann_id").alias("n_distinct"))
+
+
 QUERIES = {
+    "tier_cut_list": tier_cut_list, "tier_types": tier_types,
     "turn_ordinals": turn_ordinals, "turn_filter": turn_filter, "turn_filter_renumbered": turn_filter_renumbered,
     "embedding_turns": embedding_turns, "embedding_filter": embedding_filter, "valid_calls": valid_calls, "talk_time": talk_time,
     "duration_lists": duration_lists, "speaker_mapping": speaker_mapping, "cut_list": cut_list, "call_speakers": call_speakers,
@@ -93,6 +113,13 @@ u AS (SELECT *, audio_id || '_' || speaker || '_' || CAST(ordinal AS VARCHAR) AS
 _NAME = "CASE WHEN speaker = 'operateur' THEN 'OP-SDIS1' WHEN speaker IN ('0', '1', '2', '3', '4') THEN 'requerant' || speaker ELSE 'locuteur_' || speaker END"
 
 SQL = {
+    "tier_cut_list": """WITH a AS (SELECT ann_id, any_value(audio_id) AS audio_id, any_value(tier) AS tier, any_value(start) AS start_ms, any_value("end") AS end_ms,
+  coalesce(any_value(text), '') AS text FROM annotations WHERE audio_id IS NOT NULL AND start IS NOT NULL AND "end" > start GROUP BY ann_id),
+b AS (SELECT *, coalesce(nullif(lower(trim(text)), ''), 'sans_valeur') AS bucket FROM a WHERE tier IN ('Ac_ev', 'bruit')),
+n AS (SELECT *, row_number() OVER (PARTITION BY audio_id, tier, bucket ORDER BY start_ms, end_ms, ann_id) AS seg_no FROM b)
+SELECT ann_id, bucket, seg_no, start_ms, end_ms, audio_id || '_' || translate(tier || '_' || bucket, ' /', '__') || '_' || lpad(CAST(seg_no AS VARCHAR), 3, '0') || '.wav' AS out_name FROM n""",
+    "tier_types": """SELECT CASE WHEN contains(tier, 'Requerant') THEN 'Requerant' WHEN contains(tier, 'OP-SDIS1') THEN 'OP-SDIS1'
+  WHEN contains(tier, 'Intervenant') THEN 'Intervenant' ELSE 'autre' END AS kind, count(*) AS n, count(DISTINCT ann_id) AS n_distinct FROM annotations WHERE tier IS NOT NULL GROUP BY 1""",
     "turn_ordinals": _ORD + 'SELECT audio_id, speaker, turn_no, start, "end", ordinal, utt_id FROM u',
     "turn_filter": _ORD + "SELECT utt_id, duration FROM u WHERE duration > 2.0",
     "turn_filter_renumbered": _ORD.replace("FROM t)", "FROM t WHERE duration > 2.0)") + "SELECT utt_id, duration FROM u",
