@@ -67,8 +67,8 @@ def search(
     """
     corpus = corpus.select(F.col("utt_id").cast("string").alias("utt_id"), vec.as_double(F.col("v")).alias("v"))
     threshold = THRESHOLDS[method] if threshold is None else threshold
-    ref = corpus.where(F.col("utt_id") == ref_id).select(F.col("v").alias("rv"))
-    scored = corpus.crossJoin(F.broadcast(ref.limit(1))).withColumn("cos", vec.cosine(F.col("rv"), F.col("v")))
+    ref = corpus.where(F.col("utt_id") == ref_id).select("v").limit(1)
+    scored = corpus.withColumn("rv", ref.scalar()).withColumn("cos", vec.cosine(F.col("rv"), F.col("v")))
     if method == "cosine":
         return scored.select("utt_id", F.col("cos").alias("score"), (F.col("cos") >= threshold).alias("same_speaker"))
     if method == "snorm":
@@ -83,13 +83,13 @@ def search(
         means = near.groupBy("utt_id").agg(vec.mean_vector(F.col("v")).alias("m"))
         if mode == "scalar":
             means = means.withColumn("m", F.array_repeat(vec.scalar_mean(F.col("m")), F.size("m")))
-        ref_mean = F.broadcast(means.where(F.col("utt_id") == ref_id).select(F.col("m").alias("rm")).limit(1))
-        out = scored.join(means, "utt_id").crossJoin(ref_mean)
+        ref_mean = means.where(F.col("utt_id") == ref_id).select("m").limit(1)
+        out = scored.join(means, "utt_id").withColumn("rm", ref_mean.scalar())
         score = vec.cosine(vec.minus(F.col("rv"), F.col("rm")), vec.minus(F.col("v"), F.col("m")))
     else:
-        ref_stats = F.broadcast(stats.where(F.col("utt_id") == ref_id).select(F.col("mu").alias("mu_e"), F.col("sigma").alias("sigma_e")).limit(1))
-        out = scored.join(stats, "utt_id").crossJoin(ref_stats)
-        score = ((F.col("cos") - F.col("mu_e")) / F.col("sigma_e") + (F.col("cos") - F.col("mu")) / F.col("sigma")) * 0.5
+        ref_stats = stats.where(F.col("utt_id") == ref_id).select(F.struct("mu", "sigma").alias("e")).limit(1)
+        out = scored.join(stats, "utt_id").withColumn("e", ref_stats.scalar())
+        score = ((F.col("cos") - F.col("e.mu")) / F.col("e.sigma") + (F.col("cos") - F.col("mu")) / F.col("sigma")) * 0.5
     out = out.withColumn("score", score)
     return out.select("utt_id", "score", (F.col("score") > threshold).alias("same_speaker"))
 
@@ -98,12 +98,12 @@ def best_reference(candidates: DataFrame, w_quality: float = 0.6, w_similarity:
     """Candidates ``utt_id, v, quality`` ranked as enrolment: minmax-scaled quality and cosine with the centroid's
     direction, weighted; the first ``shown`` rows as ``rank, utt_id, quality_norm, similarity_norm, combined``."""
     unit = candidates.select("utt_id", "quality", vec.unit(vec.as_double(F.col("v"))).alias("u"))
-    centroid = unit.agg(vec.mean_vector(F.col("u")).alias("c"))
-    sims = unit.crossJoin(F.broadcast(centroid)).withColumn("sim", vec.dot(F.col("u"), vec.unit(F.col("c"))))
-    span = sims.agg(F.min("sim").alias("s0"), F.max("sim").alias("s1"), F.min("quality").alias("q0"), F.max("quality").alias("q1"))
-    out = sims.crossJoin(F.broadcast(span))
-    out = out.withColumn("similarity_norm", (F.col("sim") - F.col("s0")) / (F.col("s1") - F.col("s0") + 1e-10))
-    out = out.withColumn("quality_norm", (F.col("quality") - F.col("q0")) / (F.col("q1") - F.col("q0") + 1e-10))
+    centroid = unit.agg(vec.unit(vec.mean_vector(F.col("u"))).alias("c"))
+    sims = unit.withColumn("c", centroid.scalar()).withColumn("sim", vec.dot(F.col("u"), F.col("c")))
+    span = sims.agg(F.struct(F.min("sim").alias("s0"), F.max("sim").alias("s1"), F.min("quality").alias("q0"), F.max("quality").alias("q1")).alias("x"))
+    out = sims.withColumn("x", span.scalar())
+    out = out.withColumn("similarity_norm", (F.col("sim") - F.col("x.s0")) / (F.col("x.s1") - F.col("x.s0") + 1e-10))
+    out = out.withColumn("quality_norm", (F.col("quality") - F.col("x.q0")) / (F.col("x.q1") - F.col("x.q0") + 1e-10))
     out = out.withColumn("combined", w_similarity * F.col("similarity_norm") + w_quality * F.col("quality_norm"))
     top = out.orderBy(F.desc(F.round("combined", 12)), "utt_id").limit(shown)
     rank = F.row_number().over(Window.orderBy(F.desc(F.round("combined", 12)), "utt_id"))  # over the few rows shown
@@ -120,7 +120,8 @@ def adaptive_threshold(scores: DataFrame, kind: str) -> DataFrame:
 
 def decide(scores: DataFrame, threshold: DataFrame) -> DataFrame:
     """Scores with ``same_speaker`` by the one row ``threshold``."""
-    return scores.crossJoin(F.broadcast(threshold.limit(1))).withColumn("same_speaker", F.col("score") >= F.col("threshold"))
+    one = threshold.select("threshold").limit(1)
+    return scores.withColumn("threshold", one.scalar()).withColumn("same_speaker", F.col("score") >= F.col("threshold"))
 
 
 def decision_stats(decided: DataFrame) -> DataFrame:

@@ -142,8 +142,8 @@ def _score(method: str):
 
 def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = segments(spark, sf_dir)
-    ref = F.broadcast(s.where(F.col("utt_id") == int(REF)).select(vec.unit(F.col("v")).alias("rv")))
-    x = s.crossJoin(ref).withColumn("score", r6(vec.dot(vec.unit(F.col("v")), F.col("rv"))))
+    ref = s.where(F.col("utt_id") == int(REF)).select(vec.unit(F.col("v")).alias("rv"))
+    x = s.withColumn("rv", ref.scalar()).withColumn("score", r6(vec.dot(vec.unit(F.col("v")), F.col("rv"))))
     return x.select("utt_id", "discussion", F.concat(F.lit("k"), F.pmod("discussion", F.lit(3)).cast("int")).alias("kind"), "score")
 
 

@@ -48,7 +48,7 @@ def similarity_report(intra: DataFrame, inter: DataFrame, ref: str, thresholds:
     if thresholds is None:
         return out
     level = thresholds.where(F.col("ref") == ref).select("threshold").limit(1)
-    out = out.crossJoin(F.broadcast(level))
+    out = out.withColumn("threshold", level.scalar())
     flag = F.when(F.col("type") == "INTRA", "RÉFÉRENCE").when(F.col("mean_sim") > F.col("threshold"), "OUI").otherwise("NON")
     return out.withColumn("in_cluster", flag).drop("threshold")
 
