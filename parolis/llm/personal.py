@@ -39,10 +39,10 @@ TITLES = frozenset("m mr mme mlle monsieur madame mademoiselle docteur dr profes
 
 STREETS = frozenset(
     """rue r avenue av ave boulevard bd boul bld chemin ch che impasse imp place pl route rte allee allees all quai
-    lotissement passage pass cours square sq faubourg fg sentier residence res hameau ruelle venelle esplanade promenade
+    lotissement passage cours square sq faubourg fg sentier residence res hameau ruelle venelle esplanade promenade
     rocade parvis""".split()
 )
-_ABBREVIATED = frozenset("r av ave bd boul bld ch che imp pl rte all pass sq fg res".split())
+_ABBREVIATED = frozenset("r av ave bd boul bld ch che imp pl rte all sq fg res".split())
 
 #: Words of ordinary sentences that are no surnames, in the languages of the corpus.
 COMMON = frozenset(
@@ -361,7 +361,7 @@ def _names(p: Prepared, a: int, z: int, kind: str, add) -> None:
 
     def propose(pattern: int, start: int, m: re.Match, shift: int = 0, stop: int | None = None, **f) -> None:
         s, word = m.start("sur") + shift, m.group("sur")
-        if word.split("-")[0] in TITLES:
+        if word.split("-")[0] in TITLES or word in _NUMBERS:
             return
         end = m.end("sur") + shift if stop is None else stop
         add("name", pattern, start, end, sur=word, sur_upper=text[s : s + 1].isupper(), particle=int(bool(m.group("part"))), **f)
