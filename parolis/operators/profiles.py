@@ -19,37 +19,33 @@ DEFAULT_WEIGHT = 2.0
 BLOCK = 1024
 
 
-def _first_k(ranked: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    return ranked.where(F.col("rk") <= k), ranked.where(F.col("rk") > k)
+def top_by_centroid(segments: DataFrame, k: int = 3) -> DataFrame:
+    """The ``k`` segments of each discussion nearest its centroid, with ``rk`` 1..k.
 
-
-def ranked_by_centroid(segments: DataFrame) -> DataFrame:
-    """Segments with ``rk``: 1 for the one nearest its discussion's centroid."""
+    The filter on the rank lets every task pass on no more than ``k`` rows a discussion, so a discussion with a large part
+    of all segments is no single task.
+    """
     centroids = segments.groupBy("discussion").agg(vec.mean_vector(F.col("v")).alias("centroid"))
     sims = segments.join(centroids, "discussion").withColumn("centroid_sim", vec.cosine(F.col("v"), F.col("centroid")))
     w = Window.partitionBy("discussion").orderBy(F.desc(F.round("centroid_sim", 12)), "utt_id")
-    return sims.withColumn("rk", F.row_number().over(w)).drop("centroid")
+    return sims.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k).drop("centroid", "centroid_sim")
 
 
-def ranked_by_duration(segments: DataFrame) -> DataFrame:
-    """Segments with ``rk``: 1 for the longest; segments without a duration take no part."""
+def top_by_duration(segments: DataFrame, k: int = 3) -> DataFrame:
+    """The ``k`` longest segments of each discussion with ``rk``; segments without a duration are never among them."""
     w = Window.partitionBy("discussion").orderBy(F.desc("duration"), "utt_id")
-    return segments.where(F.col("duration").isNotNull()).withColumn("rk", F.row_number().over(w))
+    return segments.where(F.col("duration").isNotNull()).withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
 
 
-def profiles(ranked: DataFrame, k: int = 3) -> DataFrame:
-    """``discussion, profile, members`` (ids of the first ``k`` segments in rank order, joined by commas), ``n_segments``
-    and, where durations are known, ``profile_seconds``."""
-    inside = F.col("rk") <= k
-    ids = F.array_sort(F.collect_list(F.when(inside, F.struct("rk", F.col("utt_id").cast("string").alias("id")))))
-    aggs = [
-        F.array_join(F.transform(ids, lambda x: x["id"]), ",").alias("members"),
-        F.count("*").alias("n_segments"),
-    ]
-    if "duration" in ranked.columns:
-        aggs.append(F.sum(F.when(inside, F.col("duration"))).alias("profile_seconds"))
-    means = ranked.where(inside).groupBy("discussion").agg(vec.mean_vector(F.col("v")).alias("profile"))
-    return ranked.groupBy("discussion").agg(*aggs).join(means, "discussion")
+def profiles(segments: DataFrame, top: DataFrame) -> DataFrame:
+    """``discussion, profile`` (mean of the ``top`` segments), ``members`` (their ids in rank order, joined by commas),
+    ``n_segments`` and, where durations are known, ``profile_seconds``."""
+    ids = F.array_sort(F.collect_list(F.struct("rk", F.col("utt_id").cast("string").alias("id"))))
+    aggs = [vec.mean_vector(F.col("v")).alias("profile"), F.array_join(F.transform(ids, lambda x: x["id"]), ",").alias("members")]
+    if "duration" in top.columns:
+        aggs.append(F.sum("duration").alias("profile_seconds"))
+    sizes = segments.groupBy("discussion").agg(F.count("*").alias("n_segments"))
+    return top.groupBy("discussion").agg(*aggs).join(sizes, "discussion")
 
 
 def score_stats(score: Column) -> list[Column]:
@@ -60,9 +56,10 @@ def score_stats(score: Column) -> list[Column]:
     ]
 
 
-def intra(ranked: DataFrame, prof: DataFrame, k: int = 3) -> DataFrame:
-    """Each discussion's profile against its own segments outside the profile; ``k`` or fewer segments give mean 1."""
-    scored = ranked.where(F.col("rk") > k).join(prof.select("discussion", "profile"), "discussion")
+def intra(segments: DataFrame, top: DataFrame, prof: DataFrame) -> DataFrame:
+    """Each discussion's profile against its own segments outside the profile; where there are none the mean is 1."""
+    rest = segments.join(top.select("discussion", "utt_id"), ["discussion", "utt_id"], "left_anti")
+    scored = rest.join(prof.select("discussion", "profile"), "discussion")
     stats = scored.groupBy("discussion").agg(*score_stats(vec.cosine(F.col("v"), F.col("profile"))))
     out = prof.drop("profile").join(stats, "discussion", "left")
     return out.withColumn("mean_sim", F.coalesce("mean_sim", F.lit(1.0))).withColumn("n_evaluated", F.coalesce("n_evaluated", F.lit(0)))

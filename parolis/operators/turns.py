@@ -20,6 +20,8 @@ def speaker_key(speaker: Column) -> Column:
 SPEAKER_NAMES = {"operateur": "OP-SDIS1", **{str(n): f"requerant{n}" for n in range(5)}}
 #: Shortest turn kept by cleaning (longer than) and used for an embedding (at least), in seconds.
 CLEAN_SECONDS, EMBED_SECONDS = 2.0, 1.0
+#: Turn numbers of one slice of a call.
+SLICE_TURNS = 1000
 
 
 def valid_turns(turns: DataFrame) -> DataFrame:
@@ -39,10 +41,24 @@ def _order() -> list:
     return [F.col("turn_no"), F.col("start"), F.col("end")]
 
 
+def numbered(turns: DataFrame, keys: list[str], name: str, step: int = SLICE_TURNS) -> DataFrame:
+    """Turns with their running number ``name`` among those of equal ``keys`` in turn order.
+
+    Numbers are counted within ``step`` turn numbers and shifted by the counts of the slices before, one row a slice, so
+    that a call with a large part of all turns is no single task. Turns without a number go first.
+    """
+    t = turns.withColumn("slice_", F.coalesce(F.floor(F.col("turn_no") / step), F.lit(-(2**62))))
+    t = t.withColumn("nth_", F.row_number().over(Window.partitionBy(*keys, "slice_").orderBy(*_order())))
+    along = Window.partitionBy(*keys).orderBy("slice_").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = t.groupBy(*keys, "slice_").agg(F.count("*").alias("n_"))
+    before = sizes.select(*keys, "slice_", F.coalesce(F.sum("n_").over(along), F.lit(0)).alias("before_"))
+    t = t.join(before, [*keys, "slice_"])
+    return t.withColumn(name, (F.col("nth_") + F.col("before_")).cast("int")).drop("slice_", "nth_", "before_")
+
+
 def with_ordinals(turns: DataFrame) -> DataFrame:
     """Running number of each speaker's turns in a call, over all turns, and ``utt_id = call_speaker_number``."""
-    w = Window.partitionBy("audio_id", "speaker").orderBy(*_order())
-    t = turns.withColumn("ordinal", F.row_number().over(w))
+    t = numbered(turns, ["audio_id", "speaker"], "ordinal")
     return t.withColumn("utt_id", F.concat_ws("_", "audio_id", "speaker", F.col("ordinal").cast("string")))
 
 
@@ -79,8 +95,7 @@ def named(speaker: Column) -> Column:
 def cut_list(turns: DataFrame, rename: bool = True) -> DataFrame:
     """Pieces to cut from each recording: ``audio_id, speaker_name, seg_no, start_ms, end_ms, out_name``."""
     t = turns.withColumn("speaker_name", named(F.col("speaker")) if rename else F.col("speaker"))
-    w = Window.partitionBy("audio_id", "speaker_name").orderBy(*_order())
-    t = t.withColumn("seg_no", F.row_number().over(w))
+    t = numbered(t, ["audio_id", "speaker_name"], "seg_no")
     safe = F.translate("speaker_name", " /", "__")
     return t.select(
         "audio_id", "speaker_name", "seg_no",

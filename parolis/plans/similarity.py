@@ -32,31 +32,36 @@ def _rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: r6(n) for n in names})
 
 
-def _intra(ranked: DataFrame) -> DataFrame:
-    return profiles.intra(ranked, profiles.profiles(ranked, K), K)
+STATS = ("mean_sim", "min_sim", "max_sim", "std_sim")
 
 
-STATS = ("mean_sim", "min_sim", "max_sim", "std_sim")
+def _nearest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Segments, their top-k by centroid, the profiles."""
+    s = segments(spark, sf_dir).drop("duration")
+    top = profiles.top_by_centroid(s, K)
+    return s, top, profiles.profiles(s, top)
+
+
+def _longest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    s = segments(spark, sf_dir).where("duration IS NOT NULL")
+    top = profiles.top_by_duration(s, K)
+    return s, top, profiles.profiles(s, top)
 
 
 def profile_topk_intra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = profiles.ranked_by_centroid(segments(spark, sf_dir).drop("duration"))
-    return _rounded(_intra(ranked), *STATS)
+    return _rounded(profiles.intra(*_nearest(spark, sf_dir)), *STATS)
 
 
 def profile_topk_inter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = profiles.ranked_by_centroid(segments(spark, sf_dir).drop("duration"))
-    return _rounded(profiles.all_pairs(profiles.profiles(ranked, K)), "sim")
+    return _rounded(profiles.all_pairs(_nearest(spark, sf_dir)[2]), "sim")
 
 
 def profile_longest_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = profiles.ranked_by_duration(segments(spark, sf_dir))
-    return _rounded(_intra(ranked), *STATS, "profile_seconds")
+    return _rounded(profiles.intra(*_longest(spark, sf_dir)), *STATS, "profile_seconds")
 
 
 def profile_longest_inter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = profiles.ranked_by_duration(segments(spark, sf_dir))
-    return _rounded(profiles.all_pairs(profiles.profiles(ranked, K)), "sim")
+    return _rounded(profiles.all_pairs(_longest(spark, sf_dir)[2]), "sim")
 
 
 def pairs_intra_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,9 +96,8 @@ def weighted_inter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pairs_and_thresholds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    ranked = profiles.ranked_by_centroid(segments(spark, sf_dir).drop("duration"))
-    prof = profiles.profiles(ranked, K)
-    thresholds = profiles.intra(ranked, prof, K).where("n_segments >= 2").select(F.col("discussion").alias("ref"), r6("mean_sim").alias("threshold"))
+    s, top, prof = _nearest(spark, sf_dir)
+    thresholds = profiles.intra(s, top, prof).where("n_segments >= 2").select(F.col("discussion").alias("ref"), r6("mean_sim").alias("threshold"))
     return _rounded(profiles.all_pairs(prof), "sim"), thresholds
 
 
@@ -102,8 +106,7 @@ def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _network(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = profiles.ranked_by_centroid(segments(spark, sf_dir).drop("duration"))
-    return graph.top_n(_rounded(profiles.all_pairs(profiles.profiles(ranked, K)), "sim"), NETWORK)
+    return graph.top_n(_rounded(profiles.all_pairs(_nearest(spark, sf_dir)[2]), "sim"), NETWORK)
 
 
 def topn_network(spark: SparkSession, sf_dir: str) -> DataFrame:

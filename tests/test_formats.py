@@ -107,9 +107,10 @@ def test_wav_and_numpy_files(spark, tmp_path):
 
 def test_reports(spark, tmp_path):
     data = [("a", i, [1.0, float(i)], 1.0) for i in range(5)] + [("b", 9, [1.0, 0.5], 1.0)]
-    ranked = profiles.ranked_by_centroid(spark.createDataFrame(data, "discussion string, utt_id bigint, v array<double>, duration double"))
-    prof = profiles.profiles(ranked, 3)
-    intra = profiles.intra(ranked, prof, 3)
+    s = spark.createDataFrame(data, "discussion string, utt_id bigint, v array<double>, duration double")
+    top = profiles.top_by_centroid(s, 3)
+    prof = profiles.profiles(s, top)
+    intra = profiles.intra(s, top, prof)
     thresholds = intra.selectExpr("discussion AS ref", "mean_sim AS threshold")
     report = writers.similarity_report(intra, profiles.all_pairs(prof), "a", thresholds).selectExpr("'now' AS run", "'operateur' AS speaker", "*")
     writers.similarity_csv(report, str(tmp_path / "r"), writers.TOP_K_CLUSTER)

@@ -37,9 +37,9 @@ def test_mean_vector_weighted(spark):
 
 def test_topk_profile_against_numpy(spark):
     data = corpus()
-    ranked = profiles.ranked_by_centroid(spark.createDataFrame(data, SCHEMA).drop("duration"))
-    prof = profiles.profiles(ranked, 3)
-    got = {r.discussion: r for r in profiles.intra(ranked, prof, 3).collect()}
+    s = spark.createDataFrame(data, SCHEMA).drop("duration")
+    top = profiles.top_by_centroid(s, 3)
+    got = {r.discussion: r for r in profiles.intra(s, top, profiles.profiles(s, top)).collect()}
     for d in got:
         own = [(u, np.array(v)) for c, u, v, _ in data if c == d]
         centroid = np.mean([v for _, v in own], axis=0)
@@ -52,8 +52,9 @@ def test_topk_profile_against_numpy(spark):
 
 def test_profile_of_few_segments_means_one(spark):
     data = [("a", 1, [1.0, 0.0], 1.0), ("a", 2, [0.0, 1.0], 1.0), ("b", 3, [1.0, 1.0], 1.0)]
-    ranked = profiles.ranked_by_centroid(spark.createDataFrame(data, SCHEMA))
-    got = rows(profiles.intra(ranked, profiles.profiles(ranked, 3), 3), "discussion", "mean_sim", "std_sim", "n_evaluated")
+    s = spark.createDataFrame(data, SCHEMA)
+    top = profiles.top_by_centroid(s, 3)
+    got = rows(profiles.intra(s, top, profiles.profiles(s, top)), "discussion", "mean_sim", "std_sim", "n_evaluated")
     assert got == [("a", 1.0, None, 0), ("b", 1.0, None, 0)]
 
 
