@@ -7,7 +7,9 @@ Spans are positions in the NFC form of the text.
 
 from __future__ import annotations
 
+import bisect
 import functools
+import itertools
 import re
 import unicodedata
 from dataclasses import dataclass
@@ -339,13 +341,25 @@ def candidates(p: Prepared, found: list) -> list[Candidate]:
     for m in _INITIAL.finditer(q):
         _names(p, m.start(), m.start() + 1, "initial", add)
     # whether a wider candidate of another kind covers this one
-    wide = [(c.start, c.end, c.kind) for c in out if KINDS[c.kind] in ("address", "email")]
+    wide = {k: _Cover([(c.start, c.end) for c in out if KINDS[c.kind] == k]) for k in ("address", "email")}
     for c in out:
-        covered = any(a <= c.start and c.end <= z and k != c.kind for a, z, k in wide)
-        c.features = (*c.features, float(covered))
+        c.features = (*c.features, float(any(KINDS[c.kind] != k and w.holds(c.start, c.end) for k, w in wide.items())))
     return out
 
 
+class _Cover:
+    """Whether one of many intervals holds a given one."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        spans.sort()
+        self.starts = [a for a, _ in spans]
+        self.reach = list(itertools.accumulate((z for _, z in spans), max))
+
+    def holds(self, a: int, z: int) -> bool:
+        i = bisect.bisect_right(self.starts, a)
+        return i > 0 and self.reach[i - 1] >= z
+
+
 _AFTER_TITLE = re.compile(rf"\.?[ ]+(?P<part>{_PARTICLES})?{_SURNAME}")
 _AFTER_CUE = re.compile(rf"[ ]*(?P<part>{_PARTICLES})?{_SURNAME}(?P<next>[ ]+[a-z]+)?")
 _AFTER_GIVEN = re.compile(rf"[ ]+(?P<part>{_PARTICLES})?{_SURNAME}")
@@ -406,6 +420,8 @@ def resolve(cands: list[Candidate], prob: np.ndarray, thresholds: np.ndarray) ->
     taken: list[tuple[int, int, str]] = []
     for i in order:
         c = cands[i]
-        if all(c.end <= a or c.start >= z for a, z, _ in taken):
-            taken.append((c.start, c.end, KINDS[c.kind]))
-    return sorted(taken)
+        at = bisect.bisect_left(taken, (c.start, c.end, ""))
+        free = (at == 0 or taken[at - 1][1] <= c.start) and (at == len(taken) or taken[at][0] >= c.end)
+        if free:
+            taken.insert(at, (c.start, c.end, KINDS[c.kind]))
+    return taken

@@ -16,6 +16,10 @@ from parolis.llm.personal import KINDS, N_FEATURES, candidates, prepare, resolve
 from parolis.llm.synthetic import SENTENCES, labelled
 
 
+#: Characters between two spoken words of a text.
+LOOK_AHEAD = 2000
+
+
 @dataclass
 class Redactor:
     """Trees, their calibration and the threshold of each kind."""
@@ -126,21 +130,23 @@ def redact_text(text: str, spans: list[tuple[int, int, str]]) -> str:
 def redact_words(text: str, spans: list[tuple[int, int, str]], words: list[str | None]) -> list[str | None]:
     """The spoken words of ``text``: the first word in a span becomes its placeholder, its further words go empty.
 
-    Words are looked up in the text in order; one that is not found (and a null) stays as it is.
+    Words are looked up in the text in order, each within ``LOOK_AHEAD`` characters of the one before (labels, stamps and
+    annotations stand between); one that is not found (and a null) stays as it is.
     """
-    out, at, done = [], 0, set()
+    out, at, nth, named = [], 0, 0, -1
     for w in words:
-        here = text.find(w, at) if w else -1
+        here = text.find(w, at, at + LOOK_AHEAD + len(w)) if w else -1
         if here < 0:
             out.append(w)
             continue
         at = here + len(w)
-        hit = next((i for i, (a, z, _) in enumerate(spans) if here < z and at > a), None)
-        if hit is None:
+        while nth < len(spans) and spans[nth][1] <= here:
+            nth += 1
+        if nth == len(spans) or spans[nth][0] >= at:
             out.append(w)
         else:
-            out.append("" if hit in done else f"[{spans[hit][2].upper()}]")
-            done.add(hit)
+            out.append("" if nth == named else f"[{spans[nth][2].upper()}]")
+            named = nth
     return out
 
 

@@ -9,6 +9,7 @@ turns before them, so that a call with a tenth or a third of all rows is no sing
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -81,8 +82,11 @@ def _matches(folded: str) -> tuple[list, list]:
 def _subtract(text: str, folded: str, a: int, z: int, cuts: list) -> tuple[bool, str]:
     """Whether [a, z) holds content beyond the cut intervals, and its clean text."""
     spoken, hard, pos = False, [], a
-    inside = sorted(c for c in cuts if c[0] >= a and c[1] <= z)
-    for s, e, removable in inside:
+    for s, e, removable in cuts[bisect.bisect_left(cuts, (a,)) :]:
+        if s >= z:
+            break
+        if e > z:
+            continue
         if s > pos and any(c.isalnum() for c in folded[pos:s]):
             spoken = True
         pos = max(pos, e)
@@ -113,7 +117,14 @@ def split_pieces(text: str | None, speaker: str | None) -> list[tuple[str, str]]
     text = compose(text)
     folded = fold(text)
     labels, cuts = _matches(folded)
-    cuts = [c for c in cuts if not any(c[0] < x[1] and x[0] < c[1] for x in labels)]
+    starts = [x[0] for x in labels]
+    cuts.sort()
+
+    def in_label(c: tuple) -> bool:
+        i = bisect.bisect_left(starts, c[1])
+        return i > 0 and labels[i - 1][1] > c[0]
+
+    cuts = [c for c in cuts if not in_label(c)]
     bounds = [(speaker_of(speaker), 0, labels[0][0] if labels else len(text))]
     for i, (_, end, la, lz) in enumerate(labels):
         bounds.append((parse_label(text[la:lz]) or "inconnu", end, labels[i + 1][0] if i + 1 < len(labels) else len(text)))

@@ -62,6 +62,9 @@ def test_decomposed_and_long_texts():
     assert [k for _, _, k in trained().find([nfd])[0]] == ["name"]
     long = "Le feu brûle encore. " * 20_000 + "Tel 06 39 98 12 34."
     assert [k for _, _, k in trained().find([long])[0]] == ["phone"]
+    many = "Tel 06 39 98 12 34, 3 impasse du Four. " * 5_000
+    found = trained().find([many])[0]
+    assert len(found) == 10_000 and redact_text(many, found).count("[PHONE]") == 5_000
 
 
 def test_placeholders():

@@ -47,6 +47,7 @@ def test_pieces_of_one_text(text, want):
 
 def test_very_long_text():
     text = "op : " + "le feu brûle " * 50_000 + " [req. 2] non"
+    assert len(split_pieces("op : oui euh, (bruit) [req. 1] non " * 20_000, None)) == 40_000
     got = split_pieces(text, None)
     assert [s for s, _ in got] == ["operateur", "requerant2"] and len(got[0][1]) > 600_000
 
