@@ -20,7 +20,7 @@ from parolis.llm.hnsw import Graph
 from parolis.runtime import cut_lineage
 
 #: Vectors of one graph; cells a vector joins; vectors that the centroids are fitted on; superseded rows still broadcast.
-CAPACITY, PROBES, SAMPLE, BROADCAST_ROWS = 65_536, 2, 20_000, 100_000
+CAPACITY, PROBES, SAMPLE, BROADCAST_ROWS = 65_536, 3, 20_000, 100_000
 
 _ROUND = 6
 
