@@ -23,6 +23,18 @@ def test_every_sql_has_a_query():
     assert set(registry.oracle_sql()) <= set(registry.queries()) and registry.FLAGSHIP in registry.queries()
 
 
+@pytest.mark.skipif(not DATA.exists(), reason="no tables here")
+def test_entry_has_rows_and_ships_the_package_once(spark):
+    import __spark_entry__
+
+    from parolis.runtime import ship
+
+    assert __spark_entry__.entry(spark).count() > 0
+    ship(spark)
+    assert str(spark.sparkContext.listFiles).count("parolis.zip") == 1
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
 @pytest.mark.skipif(not DATA.exists(), reason="no tables here")
 @pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query_runs_and_equals_its_sql(spark, name):
