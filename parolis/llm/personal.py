@@ -21,20 +21,19 @@ KINDS = ("email", "phone", "id_number", "address", "name")
 
 #: Given names the name generators start from.
 GIVEN = frozenset(
-    """adam adele adrien agathe agnes aicha alain albert alice amelie amina anais andre anne antoine arthur aurelie
-    aurore axel baptiste bastien benjamin benoit bernard brigitte bruno camille carole caroline catherine cecile celine
-    chantal charles charlotte chloe christian christine christophe claire claude clement clemence corentin cyril daniel
-    david denis diane didier dimitri dominique dylan eddy elena elise elodie emilie emma emmanuel enzo eric ethan
-    etienne eva fabien fabrice farid fatima fatou felix florence florian francis franck francois francoise frederic
-    gabriel gaetan gaelle georges gerard gilles guillaume hamza helene henri herve hugo ibrahim ines isabelle jacques
-    jade jean jeanne jerome joel jose josiane julie julien justine karim kevin khadija laetitia laura laurent lea leila
-    leo leon lina lisa louis louise lola lucas lucie ludovic madeleine maelle malik manon marc margaux maria marie marine
-    martine mathieu mathilde mathis maurice maxime mehdi melanie michel mohamed monique moussa myriam nadia nathalie
-    nicolas nicole nina noah noe noemie odile olivier oscar pascal patricia patrick paul pauline philippe pierre quentin
-    rachid raphael remi renaud rene robert robin romain rose sabrina salome samir samuel sandrine sarah sebastien serge
-    simon simone sofia sofiane solene sonia sophie stephane sylvain sylvie tarik theo therese thierry thomas timothee
-    tom tristan valerie vanessa veronique victor vincent virginie william xavier yacine yanis yann yasmine yves yvonne
-    zoe zohra""".split()
+    """adam adrien agnes aicha alain albert alice amelie anais andre anne antoine arthur aurelie aurore baptiste
+    bastien benjamin benoit bernard brigitte bruno camille carole caroline catherine cecile celine charles
+    charlotte chloe christian christine christophe claire claude clement corentin daniel david denis didier
+    dimitri dominique dylan elena elise elodie emilie emma emmanuel enzo eric etienne eva fabien fabrice farid
+    fatima fatou felix florence florian francis francois francoise frederic gabriel gaetan georges gerard gilles
+    guillaume helene henri herve hugo ibrahim ines isabelle jacques jean jeanne jerome joel jose josiane julie
+    julien justine karim kevin laura laurent lea leila leo leon lina lisa lola louis louise lucas lucie
+    madeleine maelle malik manon marc margaux maria marie marine martine mathieu mathilde mathis maurice maxime
+    mehdi melanie michel mohamed monique myriam nadia nathalie nicolas nicole nina noah noe noemie odile olivier
+    oscar pascal patricia patrick paul pauline philippe pierre quentin raphael remi renaud rene robert robin
+    romain rose sabrina salome samuel sandrine sarah sebastien serge simon simone sofia sofiane solene sonia
+    sophie stephane sylvain sylvie theo therese thierry thomas tom tristan valerie vanessa veronique victor
+    vincent virginie william xavier yanis yann yasmine yves yvonne zoe""".split()
 )
 
 TITLES = frozenset("m mr mme mlle monsieur madame mademoiselle docteur dr professeur pr maitre mrs ms miss herr frau senor senora don dona".split())
@@ -48,16 +47,15 @@ _ABBREVIATED = frozenset("r av ave bd boul bld ch che imp pl rte all sq fg res".
 
 #: Words of ordinary sentences that are no surnames, in the languages of the corpus.
 COMMON = frozenset(
-    """a ai alors appelle apres arrive attend attends au aujourd aussi aux avait avant avec bien c ca car ce cela ces
-    cet cette chez comme contre d dans de depuis derriere des deux dit doit donc du elle elles en encore entre est et
-    etait ete fait font habite hier ici il ils j je jusqu l la le les leur lui ma mais me meme mes moi mon n ne nom nos
-    notre nous on ont ou oui par parce parle pas pendant peut plus point pour prevenez puis qu quand que qui quoi
-    respire s sa saigne sans sauf se sera ses si sinon son sont sous sur ta tel tiret tombe tombee toujours tous tout
-    tremble tres tousse u un une va vers veut voici voila vomit vos votre vous y convulse demande dehors rappelez
-    reste vient victime numero adresse mail contact bas arobase merci midi matin soir nuit plait place rue
-    the of to and is are was my name his her at in on by with from for this that you we they he she it me call tell ask
-    der die das den dem ein eine ist sind ich wir sie er mein meine und bei mit von auf im heisse fragen auto
-    el los las una es y mi me llamo su se con en por para digale pregunte a al del""".split()
+    """adresse alors and appelle apres are arobase arrive ask attend attends auf aujourd aussi auto aux avait avant
+    avec bas bei bien call car cela ces cet cette chez comme con contact contre convulse dans das dehors del dem
+    demande den depuis der derriere des deux die digale dit doit donc ein eine elle elles encore entre est etait
+    ete fait font for fragen from habite heisse her hier his ich ici ils ist jusqu las les leur llamo los lui
+    mail mais matin mein meine meme merci mes midi mit moi mon name nom nos notre nous nuit numero ont oui par
+    para parce parle pas pendant peut place plait plus point por pour pregunte prevenez puis quand que qui quoi
+    rappelez respire reste rue saigne sans sauf sera ses she sie sind sinon soir son sont sous sur tel tell that
+    the they this tiret tombe tombee toujours tous tousse tout tremble tres un una und une vers veut victime
+    vient voici voila vomit von vos votre vous was wir with you""".split()
 )
 
 _PARTICLES = r"(?:(?:de[ ]+la|de|du|des|le|la|da|di|do|dos|van|von|el|ben)[ ]+|d')"
@@ -95,7 +93,7 @@ _STREET_NAME = re.compile(rf"\.?[ ]+(?:(?:des|du|de[ ]+la|de[ ]+l'|de|d'|la|le|l
 _NUMERO = re.compile(r"\s*,?\s*(?:numero|no|n°)\s+(?:\d{1,4}(?:\s*(?:bis|ter|quater)\b|\s?[a-d]\b)?|" + _NW + r"(?:-" + _NW + r")*)")
 _TOWN = re.compile(r"\s*,?\s*\d{5}\s+[a-z]+(?:[-' ](?:sur|sous|les|la|le|en|de|saint|sainte|l|d)[-' ][a-z]+)*(?:-[a-z]+)*")
 _STREET_STOP = frozenset(
-    """avec sans juste sur par pour en au aux a dans chez depuis pendant avant apres entre derriere devant face est sont
+    """avec sans juste sur par pour en au aux a ai j y me ma mon sa on ne se dans chez depuis pendant avant apres entre derriere devant face est sont
     et ou mais donc puis alors vers cote qui que si c ce sous malgre jusqu contre il elle nous vous je numero no
     the at by near about und bei in an y con por""".split()
 )
