@@ -68,6 +68,11 @@ def entity_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.outcomes(reference(spark, sf_dir), automatic(spark, sf_dir))
 
 
+def entity_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Concepts that the automatic transcript of their call keeps."""
+    return entity_outcomes(spark, sf_dir).where("status = 'CORRECT'").select("audio_id", "category", "mot")
+
+
 def wer_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.concept_error_rates(entity_outcomes(spark, sf_dir))
 
@@ -139,7 +144,7 @@ def context_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "normalize_text": normalize_text, "clean_annotations": clean_annotations, "strip_accents": strip_accents, "gazetteer": gazetteer,
     "gazetteer_match": gazetteer_match, "entity_spans": entity_spans, "entity_counts": entity_counts, "entity_dedup": entity_dedup,
-    "entity_outcomes": entity_outcomes, "wer_domain": wer_domain, "wer_domain_by_category": wer_domain_by_category, "insertions": insertions,
+    "entity_outcomes": entity_outcomes, "entity_correct": entity_correct, "wer_domain": wer_domain, "wer_domain_by_category": wer_domain_by_category, "insertions": insertions,
     "entity_speakers": entity_speakers, "hybrid_retention": hybrid_retention, "wer_segment": wer_segment, "wer_global": wer_global,
     "context_scores": context_scores, "context_scores_loose": context_scores_loose, "context_frequency": context_frequency,
 }
@@ -182,6 +187,10 @@ g AS (SELECT text_id, array_to_string(t[i:i+k-1], ' ') AS place FROM t, unnest([
 SELECT text_id, place, count(*) AS n FROM g JOIN n USING (place) WHERE place <> '' GROUP BY text_id, place""",
     "entity_counts": _REF + _FOUND + " SELECT text_id, category, count(*) AS n FROM m GROUP BY text_id, category",
     "entity_dedup": _REF + _FOUND + " SELECT audio_id, category, trim(mot) AS mot, count(*) AS n FROM m GROUP BY audio_id, category, trim(mot)",
+    "entity_correct": _REF + _AUTO + _FOUND + f""", d AS (SELECT DISTINCT audio_id, category, trim(mot) AS mot, {_detect('trim(mot)')} AS norm FROM m),
+h AS (SELECT audio_id, {_detect('text')} AS heard FROM s)
+SELECT audio_id, category, mot FROM d WHERE norm <> '' AND EXISTS (SELECT 1 FROM h WHERE h.audio_id = d.audio_id AND contains(h.heard, d.norm))""",
+    "strip_accents": "SELECT doc_id, md5(strip_accents(text)) AS digest FROM documents WHERE text IS NOT NULL",
     "insertions": _REF + _AUTO + _FOUND + f""", vr AS (SELECT DISTINCT audio_id, unnest(string_split({_detect('text')}, ' ')) AS word FROM r),
 vs AS (SELECT DISTINCT audio_id, unnest(string_split({_detect('text')}, ' ')) AS word FROM s),
 vm AS (SELECT DISTINCT audio_id, unnest(string_split({_detect('mot')}, ' ')) AS word FROM m)
