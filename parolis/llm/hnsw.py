@@ -5,7 +5,8 @@ dense region has an entry of its own (levels drawn at random, as usual, would le
 scanned in one matrix product a batch. The base level holds all vectors with up to ``DEGREE`` neighbours each, in two
 arrays (ids and similarities). Searches of a batch run in lockstep: every step expands the best unexpanded candidates of
 each query at once. Navigation uses a fixed orthogonal projection to fewer dimensions; the candidates a search ends with
-are compared in full and in double precision.
+are compared in full and in double precision. Inside one region of very many vectors a walk misses neighbours, whatever
+its entry; vectors of such regions are compared with all others in matrix products instead.
 """
 
 from __future__ import annotations
@@ -19,9 +20,33 @@ BREADTH, BUILD_BREADTH = 40, 24
 #: Dimensions of the projection, batch of insertions and searches, candidates expanded a step.
 PROJECTED, BATCH, BEAM = 192, 512, 4
 
+#: Vectors under one entry of the cover from which on the region is dense.
+DENSE = 700
+#: Columns of a product that are reduced to their maximum before the best are chosen.
+_STRIP = 32
+
 _NONE = np.float32(-9)
 
 
+def closest(q: np.ndarray, base: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and similarities of the ``count`` rows of ``base`` most similar to each row of ``q`` (float32), all compared."""
+    s = q @ base.T
+    pad = -s.shape[1] % _STRIP
+    if pad:
+        s = np.concatenate([s, np.full((len(s), pad), _NONE, np.float32)], axis=1)
+    strips = s.reshape(len(s), -1, _STRIP)
+    if strips.shape[1] <= count:
+        at = np.broadcast_to(np.arange(s.shape[1]), s.shape)
+    else:  # the best stand in the strips with the greatest maxima
+        top = np.argpartition(-strips.max(axis=2), count - 1, axis=1)[:, :count]
+        at = (top[:, :, None] * _STRIP + np.arange(_STRIP)).reshape(len(s), -1)
+    sims = np.take_along_axis(s, at, 1)
+    if sims.shape[1] > count:
+        keep = np.argpartition(-sims, count - 1, axis=1)[:, :count]
+        at, sims = np.take_along_axis(at, keep, 1), np.take_along_axis(sims, keep, 1)
+    return np.where(sims > _NONE, at, 0).astype(np.int32), sims
+
+
 class Graph:
     """Vectors (unit rows) and their flat neighbour arrays."""
 
@@ -159,8 +184,17 @@ class Graph:
         """
         seen = np.zeros((BATCH, len(self.unit)), dtype=bool)
         out = []
-        for a in range(0, len(self.unit), BATCH):
-            me = np.arange(a, min(a + BATCH, len(self.unit)), dtype=np.int32)
+        dense = self._dense()
+        full = self.flat if self.basis is None else self.unit.astype(np.float32)
+        hot, rest = np.flatnonzero(dense).astype(np.int32), np.flatnonzero(~dense).astype(np.int32)
+        for a in range(0, len(hot), BATCH):
+            me = hot[a : a + BATCH]
+            ids, sims = closest(full[me], full, BREADTH)
+            sims[ids == me[:, None]] = _NONE
+            row, to, cos = self._best(self.unit[me], ids, sims, k, least, decimals)
+            out.append((me[row], to, cos))
+        for a in range(0, len(rest), BATCH):
+            me = rest[a : a + BATCH]
             start = np.concatenate([me[:, None], self.links[me]], axis=1)
             sims = np.concatenate([np.ones((len(me), 1), np.float32), self.sims[me]], axis=1)
             start = np.where(start < 0, me[:, None], start)
@@ -183,6 +217,12 @@ class Graph:
             out.append((row + a, to, cos))
         return self._joined(out)
 
+    def _dense(self) -> np.ndarray:
+        """Whether a vector's nearest entry of the cover has ``DENSE`` vectors or more."""
+        at = [(self.flat[a : a + BATCH] @ self.flat[self.upper].T).argmax(axis=1) for a in range(0, len(self.flat), BATCH)]
+        at = np.concatenate(at) if at else np.empty(0, np.int64)
+        return np.bincount(at, minlength=len(self.upper))[at] >= DENSE
+
     @staticmethod
     def _joined(parts: list) -> tuple:
         if not parts:
@@ -190,18 +230,22 @@ class Graph:
         return tuple(np.concatenate(x) for x in zip(*parts))
 
     def _best(self, unit: np.ndarray, ids: np.ndarray, sims: np.ndarray, k: int, least: float, decimals: int) -> tuple:
-        """Candidates compared in double precision: the best ``k`` of each row and those that tie with the last."""
-        row, col = np.nonzero(sims > max(_NONE, least - self.slack))
-        to = ids[row, col]
-        cos = np.einsum("ij,ij->i", unit[row], self.unit[to]).round(decimals)
-        ok = cos >= least
-        row, to, cos = row[ok], to[ok], cos[ok]
-        if not len(row):
-            return row, to, cos
-        order = np.lexsort((to, -cos, row))
-        row, to, cos = row[order], to[order], cos[order]
-        first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-        begin = first[np.cumsum(np.concatenate(([True], row[1:] != row[:-1]))) - 1]
-        kth = np.minimum(begin + k - 1, len(row) - 1)
-        keep = (np.arange(len(row)) - begin < k) | ((row[kth] == row) & (cos[kth] == cos))
-        return row[keep], to[keep], cos[keep]
+        return best_of(unit, self.unit, ids, sims, k, least, decimals, self.slack)
+
+
+def best_of(unit: np.ndarray, base: np.ndarray, ids: np.ndarray, sims: np.ndarray, k: int, least: float, decimals: int, slack: float = 1e-3) -> tuple:
+    """Candidates compared in double precision: the best ``k`` of each row and those that tie with the last."""
+    row, col = np.nonzero(sims > max(_NONE, least - slack))
+    to = ids[row, col]
+    cos = np.einsum("ij,ij->i", unit[row], base[to]).round(decimals)
+    ok = cos >= least
+    row, to, cos = row[ok], to[ok], cos[ok]
+    if not len(row):
+        return row, to, cos
+    order = np.lexsort((to, -cos, row))
+    row, to, cos = row[order], to[order], cos[order]
+    first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+    begin = first[np.cumsum(np.concatenate(([True], row[1:] != row[:-1]))) - 1]
+    kth = np.minimum(begin + k - 1, len(row) - 1)
+    keep = (np.arange(len(row)) - begin < k) | ((row[kth] == row) & (cos[kth] == cos))
+    return row[keep], to[keep], cos[keep]

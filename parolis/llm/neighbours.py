@@ -2,8 +2,9 @@
 
 Up to ``CAPACITY`` vectors are one shard. Beyond it vectors are routed to cells (centroids of a bounded sample) and every
 vector joins the graphs of its ``PROBES`` nearest cells, so that neighbours on either side of an edge meet in at least
-one graph; a cell that grew too large is split by hash, and each part also answers for the others' vectors. The results
-of all shards are merged by exact rounded cosine. Copies (equal directions) are one node of a graph, whatever their
+one graph. Centroids closer than ``MERGED`` cut one voice and are one cell, as no few probes would reach the neighbours
+of a vector there. A cell that grew too large is split by hash: every part has its graph, and every two parts are compared
+vector by vector, which grows with the square of the cell. The results of all shards are merged by exact rounded cosine. Copies (equal directions) are one node of a graph, whatever their
 number.
 """
 
@@ -16,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parolis.llm.hnsw import Graph
+from parolis.llm.hnsw import BATCH, BREADTH, Graph, best_of, closest
 from parolis.runtime import cut_lineage
 
 #: Vectors of one graph; cells a vector joins; vectors that the centroids are fitted on; superseded rows still broadcast.
 CAPACITY, PROBES, SAMPLE, BROADCAST_ROWS = 65_536, 3, 20_000, 100_000
+#: Cosine of centroids that are one cell.
+MERGED = 0.6
 
 _ROUND = 6
 
@@ -61,13 +64,27 @@ def centroids(sample: np.ndarray, cells: int, seed: int = 3, rounds: int = 10) -
     return c
 
 
+def regions(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Centroids in order of their cell and where each cell starts: those linked by cosines of ``MERGED`` are one."""
+    near = c @ c.T >= MERGED
+    cell = np.arange(len(c))
+    while True:
+        least = np.where(near, cell, len(c)).min(axis=1)
+        least = np.minimum(least, cell)
+        if (least == cell).all():
+            break
+        cell = least
+    order = np.argsort(cell, kind="stable")
+    return c[order], np.flatnonzero(np.concatenate(([True], np.diff(cell[order]) > 0)))
+
+
 def _route(shared, dim: int, with_vectors: bool):
     def run(batches):
-        c = shared.value
+        c, starts = shared.value
         for b in batches:
             for at in range(0, b.num_rows, 8192):
                 part = b.slice(at, 8192)
-                s = unit_rows(part.column("v"), dim) @ c.T
+                s = np.maximum.reduceat(unit_rows(part.column("v"), dim) @ c.T, starts, axis=1)
                 k = min(PROBES, s.shape[1])
                 cell = np.argpartition(-s, k - 1, axis=1)[:, :k].astype(np.int32).ravel()
                 if not with_vectors:
@@ -80,41 +97,64 @@ def _route(shared, dim: int, with_vectors: bool):
     return run
 
 
+class _Nodes:
+    """Rows with equal directions as one node; the members of a node come in order of position."""
+
+    def __init__(self, unit: np.ndarray, at: np.ndarray):
+        grid = np.ascontiguousarray((unit[at] * 2**20).round().astype(np.int32))
+        _, rep, self.node = np.unique(grid.view(f"V{grid.shape[1] * 4}").ravel(), return_index=True, return_inverse=True)
+        self.member, self.unit = at, unit[at[rep]]
+        self.by_node = np.argsort(self.node, kind="stable")
+        self.starts = np.concatenate(([0], np.cumsum(np.bincount(self.node, minlength=len(rep)))))
+
+    def _each(self, nodes: np.ndarray, most: int | None) -> tuple[np.ndarray, np.ndarray]:
+        n = self.starts[nodes + 1] - self.starts[nodes]
+        n = n if most is None else np.minimum(n, most)
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return n, self.member[self.by_node[np.repeat(self.starts[nodes], n) + at]]
+
+    def into(self, src: np.ndarray, nodes: np.ndarray, cos: np.ndarray, k: int) -> tuple:
+        """Edges to nodes as edges to their first ``k + 1`` members; more can never be among ``k``."""
+        n, to = self._each(nodes, k + 1)
+        return np.repeat(src, n), to, np.repeat(cos, n)
+
+    def leaving(self, nodes: np.ndarray, to: np.ndarray, cos: np.ndarray) -> tuple:
+        """Edges between nodes hold for each member of the node they leave."""
+        n, src = self._each(nodes, None)
+        return src, np.repeat(to, n), np.repeat(cos, n)
+
+
+def _across(one: _Nodes, other: _Nodes, k: int, least: float) -> tuple:
+    """Edges from the rows of ``one`` to their most similar rows of ``other``; all are compared."""
+    base, out = other.unit.astype(np.float32), []
+    for at in range(0, len(one.unit), BATCH):
+        q = one.unit[at : at + BATCH]
+        ids, sims = closest(q.astype(np.float32), base, BREADTH)
+        row, to, cos = best_of(q, other.unit, ids, sims, k, least, _ROUND)
+        out.append((row + at, to, cos))
+    return other.into(*one.leaving(*(np.concatenate(x) for x in zip(*out))), k)
+
+
 def shard_pairs(ids: np.ndarray, unit: np.ndarray, guest: np.ndarray, k: int, least: float) -> tuple:
-    """(from, to, cosine) positions: for each row its ``k`` most similar rows that are no guests, ties by smaller id."""
+    """(from, to, cosine) positions: for each row its ``k`` most similar rows, ties by smaller id. With guests (another
+    part of the cell) only pairs of a guest and a row that is none are looked for."""
     order = np.lexsort((guest, ids))
     keep = np.concatenate(([True], ids[order][1:] != ids[order][:-1]))
-    order = order[keep]  # an id given again counts once; a member goes before a guest
+    order = order[keep]  # an id given again counts once
     unit, guest = unit[order], guest[order]
-    member = np.flatnonzero(guest == 0)
-    if not len(member):
-        return (np.empty(0, np.int64),) * 2 + (np.empty(0),)
-    # equal directions are one node; its members come in order of id
-    grid = np.ascontiguousarray((unit[member] * 2**20).round().astype(np.int32))
-    _, rep, node = np.unique(grid.view(f"V{grid.shape[1] * 4}").ravel(), return_index=True, return_inverse=True)
-    by_node = np.argsort(node, kind="stable")
-    starts = np.concatenate(([0], np.cumsum(np.bincount(node, minlength=len(rep)))))
-    g = Graph(unit[member[rep]])
-
-    def expand(src: np.ndarray, nodes: np.ndarray, cos: np.ndarray) -> tuple:
-        """Edges to nodes as edges to their first ``k + 1`` members; more can never be among ``k``."""
-        n = np.minimum(starts[nodes + 1] - starts[nodes], k + 1)
-        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return np.repeat(src, n), member[by_node[np.repeat(starts[nodes], n) + at]], np.repeat(cos, n)
-
-    a, b, cos = g.neighbours(k, least, _ROUND)
-    # edges between nodes hold for each member of the node they leave
-    n = starts[a + 1] - starts[a]
-    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    parts = [expand(member[by_node[np.repeat(starts[a], n) + at]], np.repeat(b, n), np.repeat(cos, n))]
-    size = np.diff(starts)
-    twin = np.flatnonzero(size[node] > 1)
-    if least <= 1 and len(twin):
-        parts.append(expand(member[twin], node[twin], np.ones(len(twin))))
-    away = np.flatnonzero(guest == 1)
+    here, away = np.flatnonzero(guest == 0), np.flatnonzero(guest == 1)
+    nothing = (np.empty(0, np.int64),) * 2 + (np.empty(0),)
+    if not len(here):
+        return nothing
+    own = _Nodes(unit, here)
     if len(away):
-        a, b, cos = g.search(unit[away], k, least, _ROUND)
-        parts.append(expand(away[a], b, cos))
+        others = _Nodes(unit, away)
+        parts = [_across(own, others, k, least), _across(others, own, k, least)]
+    else:
+        parts = [own.into(*own.leaving(*Graph(own.unit).neighbours(k, least, _ROUND)), k)]
+        twin = np.flatnonzero(np.diff(own.starts)[own.node] > 1)
+        if least <= 1 and len(twin):
+            parts.append(own.into(here[twin], own.node[twin], np.ones(len(twin)), k))
     src, to, cos = (np.concatenate(x) for x in zip(*parts))
     other = src != to
     src, to, cos = src[other], to[other], cos[other]
@@ -158,20 +198,20 @@ def nearest_vectors(
     if spread:
         cells = max(4, math.ceil(1.25 * PROBES * n / capacity))
         sample = rows.orderBy(F.xxhash64("id")).limit(SAMPLE).toArrow()
-        shared = spark.sparkContext.broadcast(centroids(unit_rows(sample.column("v"), dim), cells).astype(np.float32))
+        shared = spark.sparkContext.broadcast(regions(centroids(unit_rows(sample.column("v"), dim), cells).astype(np.float32)))
         sizes = rows.mapInArrow(_route(shared, dim, False), "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
         parts = {r.cell: math.ceil(r.n / capacity) for r in sizes.where(F.col("n") > capacity).collect()}
         rows = rows.mapInArrow(_route(shared, dim, True), "cell int, id string, v array<float>")
     else:
         parts = {}
         rows = rows.select(F.lit(0).alias("cell"), "id", "v")
-    rows = rows.withColumn("part", F.lit(0)).withColumn("guest", F.lit(0))
-    if parts:
+    rows = rows.withColumn("part", F.lit(0)).withColumn("other", F.lit(0)).withColumn("guest", F.lit(0))
+    if parts:  # a part by itself (part = other) and every two parts
         n_parts = F.coalesce(*[F.when(F.col("cell") == c, F.lit(p)) for c, p in parts.items()], F.lit(1))
-        home = F.pmod(F.xxhash64("id"), n_parts).cast("int")
-        rows = rows.withColumn("home", home).withColumn("part", F.explode(F.sequence(F.lit(0), n_parts - 1)))
-        rows = rows.withColumn("guest", (F.col("part") != F.col("home")).cast("int")).drop("home")
-    found = rows.groupBy("cell", "part").applyInArrow(_shard(dim, k, least), "a string, b string, cos double")
+        rows = rows.withColumn("home", F.pmod(F.xxhash64("id"), n_parts).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), n_parts - 1)))
+        rows = rows.withColumn("part", F.least("home", "x")).withColumn("other", F.greatest("home", "x"))
+        rows = rows.withColumn("guest", (F.col("part") < F.col("home")).cast("int")).drop("home", "x")
+    found = rows.groupBy("cell", "part", "other").applyInArrow(_shard(dim, k, least), "a string, b string, cos double")
     if spread:  # a pair seen from one side only counts for the other as well
         found = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "cos"))
         found = found.groupBy("a", "b").agg(F.max("cos").alias("cos"))

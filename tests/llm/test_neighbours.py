@@ -63,6 +63,32 @@ def test_hot_voice_is_split(spark):
     assert len(got & want) / len(want) >= 0.9
 
 
+def test_voice_of_a_third_of_all_rows_over_routed_shards(spark):
+    rng = np.random.default_rng(8)
+    dim, n = 64, 2000
+    centre = rng.standard_normal((201, dim))
+    centre /= np.linalg.norm(centre, axis=1, keepdims=True)
+    voice = np.concatenate([np.zeros(n, int), rng.integers(1, 201, 2 * n)])
+    v = (centre[voice] + 0.075 * rng.standard_normal((3 * n, dim))).astype(np.float32)
+    ids = [f"u{i:04d}" for i in range(3 * n)]
+    want = brute(ids, v)
+    got = found(similar_pairs(frame(spark, [(u, i, x.tolist()) for i, (u, x) in enumerate(zip(ids, v))]), dim=dim, capacity=300))
+    in_hot = {p for p in want if voice[int(p[0][1:])] == 0}
+    assert len(in_hot & got) / len(in_hot) > 0.999
+    assert len((want - in_hot) & got) / len(want - in_hot) > 0.9
+
+
+def test_one_shard_of_one_voice():
+    rng = np.random.default_rng(9)
+    v = np.eye(64)[0] + 0.075 * rng.standard_normal((2500, 64))
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    a, b, _ = Graph(u).neighbours(5, 0.7)
+    c = u @ u.T
+    np.fill_diagonal(c, -1)
+    want = {(i, int(j)) for i in range(2500) for j in np.argsort(-c[i])[:5] if c[i, j] >= 0.7}
+    assert len(want) > 10_000 and len(want & set(zip(a.tolist(), b.tolist()))) / len(want) > 0.999
+
+
 def test_copies_ties_and_many_equal_rows(spark):
     one = np.arange(1, DIM + 1, dtype=np.float32)
     data = [(f"c{i:03d}", i, (one * (1 + i % 3)).tolist()) for i in range(200)] + [("z", 999, (-one).tolist())]
