@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,14 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parolis.llm.boosting import BoostedTrees, platt
-from parolis.llm.personal import KINDS, N_FEATURES, candidates, prepare, resolve
+from parolis.llm.personal import COMMON, KINDS, N_FEATURES, candidates, prepare, resolve
 from parolis.llm.synthetic import SENTENCES, labelled
 
 
-#: Characters between two spoken words of a text.
-LOOK_AHEAD = 2000
-
-
 @dataclass
 class Redactor:
     """Trees, their calibration and the threshold of each kind."""
@@ -127,26 +124,64 @@ def redact_text(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
+_EDGES, _RUNS = re.compile(r"^\W+|\W+$"), re.compile(r"\w+")
+
+
+def _key(word: str) -> str:
+    return _EDGES.sub("", word).casefold()
+
+
+def _keys(text: str) -> set[str]:
+    """Words of a span as they may be spoken: between blanks without outer punctuation, and runs of letters and digits."""
+    return ({_key(w) for w in text.split()} | {w.casefold() for w in _RUNS.findall(text)}) - {""}
+
+
 def redact_words(text: str, spans: list[tuple[int, int, str]], words: list[str | None]) -> list[str | None]:
     """The spoken words of ``text``: the first word in a span becomes its placeholder, its further words go empty.
 
-    Words are looked up in the text in order, each within ``LOOK_AHEAD`` characters of the one before (labels, stamps and
-    annotations stand between); one that is not found (and a null) stays as it is.
+    Words are looked up in the text in order, to its end (labels, stamps and annotations stand between); a null stays as
+    it is. A word that is not found goes by the first span that has a word equal to it, and stays if there is none. Where
+    words of a span were met elsewhere, as digits in a stamp, the words of the list equal to them go as well, common words
+    and single letters excepted.
     """
-    out, at, nth, named = [], 0, 0, -1
-    for w in words:
-        here = text.find(w, at, at + LOOK_AHEAD + len(w)) if w else -1
+    at, nth, gone, lost, owner, said = 0, 0, set(), set(), [-1] * len(words), [0] * len(spans)
+    letters = lambda a, z: sum(c.isalnum() for c in text[a:z])
+    for i, w in enumerate(words):
+        here = text.find(w, at) if w and w not in gone else -1
         if here < 0:
-            out.append(w)
+            gone.add(w)  # nor is it further on
+            lost.add(i)
             continue
         at = here + len(w)
         while nth < len(spans) and spans[nth][1] <= here:
             nth += 1
-        if nth == len(spans) or spans[nth][0] >= at:
+        if nth < len(spans) and spans[nth][0] < at:
+            owner[i] = nth
+        for j in range(nth, len(spans)):
+            if spans[j][0] >= at:
+                break
+            said[j] += letters(max(here, spans[j][0]), min(at, spans[j][1]))
+    unsaid = [j for j, (a, z, _) in enumerate(spans) if said[j] < letters(a, z)]
+    if lost or unsaid:
+        every, missed = {}, {}
+        for j, (a, z, _) in enumerate(spans):
+            for w in _keys(text[a:z]):
+                every.setdefault(w, j)
+        for j in unsaid:
+            for w in _keys(text[spans[j][0] : spans[j][1]]):
+                if w not in COMMON and (len(w) > 1 or w.isdigit()):
+                    missed.setdefault(w, j)
+        for i, w in enumerate(words):
+            if w and owner[i] < 0:
+                key = _key(w)
+                owner[i] = missed.get(key, every.get(key, -1) if i in lost else -1)
+    out, named = [], -1
+    for w, j in zip(words, owner):
+        if j < 0:
             out.append(w)
         else:
-            out.append("" if nth == named else f"[{spans[nth][2].upper()}]")
-            named = nth
+            out.append("" if j == named else f"[{spans[j][2].upper()}]")
+            named = j
     return out
 
 

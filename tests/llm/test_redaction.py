@@ -74,6 +74,24 @@ def test_placeholders():
     assert redact_words(text, spans, ["Tel", "06", "39", "98", "12", "34", None, "et", "Zoé", "Martel.", "autre"]) == ["Tel", "[PHONE]", "", "", "", "", None, "et", "[NAME]", "", "autre"]
 
 
+@pytest.mark.parametrize("gap", [" " * 3000, " [00:01:02]" * 400, " [00:06:39]" * 400 + " "])
+def test_spoken_words_beyond_a_long_gap(gap):
+    text = "Alors" + gap + " Tel 06 39 98 12 34 merci"
+    spans = trained().find([text])[0]
+    got = redact_words(text, spans, ["Alors", "Tel", "06", "39", "98", "12", "34", "merci"])
+    assert got == ["Alors", "Tel", "[PHONE]", "", "", "", "", "merci"]
+
+
+def test_words_that_cannot_be_aligned():
+    text = "Tel 06 39 98 12 34 et Zoé Martel. Fin"
+    spans = trained().find([text])[0]
+    assert redact_words(text, spans, ["Fin", "Zoé", "Martel", "06", "Tel"]) == ["Fin", "[NAME]", "", "[PHONE]", "Tel"]
+    stamp = "[06:39:34] Tel 06 39 98 12 34 et"
+    assert redact_words(stamp, [(15, 29, "phone")], ["06", "39", "98", "12", "34", "et"]) == ["[PHONE]", "", "", "", "", "et"]
+    street = "Vers de 3 rue de Four"
+    assert redact_words(street, [(8, 21, "address")], ["Vers", "de", "3", "rue", "de", "Four", "de"]) == ["Vers", "de", "[ADDRESS]", "", "", "", ""]
+
+
 def test_operator(spark):
     data = [("s", 1, "Tel 06 39 98 12 34, 06 39 98 12 35", ["Tel"]), ("s", 1, "Tel 06 39 98 12 34, 06 39 98 12 35", ["Tel"]), ("d", 1, "Zoé Martel", None), ("d", None, "Zoé Martel", None), ("d", 2, None, [None])]
     df = spark.createDataFrame(data, "origin string, row_id bigint, text string, words array<string>")
