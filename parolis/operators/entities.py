@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parolis.functions import rules as R
 from parolis.functions import text as T
+from parolis.runtime import cut_lineage
 
 #: Least similarity of a substitution, number of context words on each side, least hits, scale of the confidence.
 LEAST_RATIO, CONTEXT_WORDS, LEAST_HITS, CONFIDENCE = 0.7, 8, 2, 5.0
@@ -99,10 +100,11 @@ def insertions(reference: DataFrame, automatic: DataFrame, rules: tuple = R.RULE
     return words.join(called, "audio_id", "left_semi").join(own, ["audio_id", "word"], "left_anti")
 
 
-def gazetteer_matches(texts: DataFrame, places: DataFrame, longest: int = 3) -> DataFrame:
-    """Places named in texts: ``text_id, place, n``. Names (``place``) are compared as sequences of up to ``longest``
-    folded words, by one equi join; an empty gazetteer matches nothing."""
-    names = places.select(T.folded_words(F.col("place")).alias("place")).where("place <> ''").distinct()
+def gazetteer_matches(texts: DataFrame, places: DataFrame) -> DataFrame:
+    """Places named in texts: ``text_id, place, n``. Names (``place``) are compared as sequences of folded words, by one
+    equi join with the sequences of every length that a name has; an empty gazetteer matches nothing."""
+    names = cut_lineage(places.select(T.folded_words(F.col("place")).alias("place")).where("place <> ''").distinct())
+    lengths = sorted(r.n for r in names.select(F.size(F.split("place", " ")).alias("n")).distinct().collect())
     tokens = F.split(T.folded_words(F.col("text")), " ")
     x = texts.select("text_id", tokens.alias("t"))
 
@@ -110,7 +112,7 @@ def gazetteer_matches(texts: DataFrame, places: DataFrame, longest: int = 3) ->
         every = F.transform(F.sequence(F.lit(1), F.size("t") - n + 1), lambda i: F.array_join(F.slice("t", i, n), " "))
         return F.when(F.size("t") >= n, every).otherwise(F.array().cast("array<string>"))
 
-    grams = F.flatten(F.array(*[grams_of(n) for n in range(1, longest + 1)]))
+    grams = F.flatten(F.array(*[grams_of(n) for n in lengths or [1]]))
     g = x.where(F.size("t") > 0).select("text_id", F.explode(grams).alias("place"))
     return g.join(names, "place").groupBy("text_id", "place").agg(F.count("*").alias("n"))
 

@@ -82,6 +82,12 @@ def test_gazetteer(spark):
     assert E.gazetteer_matches(texts, places.limit(0)).count() == 0
 
 
+def test_gazetteer_names_of_any_length(spark):
+    texts = spark.createDataFrame([(1, "vers Saint-Orens-de-Gameville, non, L'Isle-en-Dodon"), (2, "Saint Orens de"), (3, None)], "text_id int, text string")
+    places = spark.createDataFrame([("saint orens de gameville",), ("l'isle en dodon",), ("a b c d e f g",)], "place string")
+    assert rows(E.gazetteer_matches(texts, places)) == [(1, "l isle en dodon", 1), (1, "saint orens de gameville", 1)]
+
+
 def test_context(spark):
     texts = spark.createDataFrame([(1, "la fumée sort du grenier par le toit"), (2, "il brule")], "text_id int, text string")
     found = E.entities(texts.select(F.lit("c").alias("audio_id"), "text_id", "text"))
