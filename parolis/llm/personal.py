@@ -21,19 +21,21 @@ KINDS = ("email", "phone", "id_number", "address", "name")
 
 #: Given names the name generators start from.
 GIVEN = frozenset(
-    """adam adrien agnes aicha alain albert alice amelie anais andre anne antoine arthur aurelie aurore baptiste
-    bastien benjamin benoit bernard brigitte bruno camille carole caroline catherine cecile celine charles
-    charlotte chloe christian christine christophe claire claude clement corentin daniel david denis didier
-    dimitri dominique dylan elena elise elodie emilie emma emmanuel enzo eric etienne eva fabien fabrice farid
-    fatima fatou felix florence florian francis francois francoise frederic gabriel gaetan georges gerard gilles
-    guillaume helene henri herve hugo ibrahim ines isabelle jacques jean jeanne jerome joel jose josiane julie
-    julien justine karim kevin laura laurent lea leila leo leon lina lisa lola louis louise lucas lucie
+    """adam adele adrien agathe agnes aicha alain albert alice amelie amina anais andre anne antoine arthur aurelie
+    aurore axel baptiste bastien benjamin benoit bernard brigitte bruno camille carole caroline catherine cecile
+    celine chantal charles charlotte chloe christian christine christophe claire claude clemence clement
+    corentin cyril daniel david denis diane didier dimitri dominique dylan eddy elena elise elodie emilie emma
+    emmanuel enzo eric ethan etienne eva fabien fabrice farid fatima fatou felix florence florian francis franck
+    francois francoise frederic gabriel gaelle gaetan georges gerard gilles guillaume hamza helene henri herve
+    hugo ibrahim ines isabelle jacques jade jean jeanne jerome joel jose josiane julie julien justine karim
+    kevin khadija laetitia laura laurent lea leila leo leon lina lisa lola louis louise lucas lucie ludovic
     madeleine maelle malik manon marc margaux maria marie marine martine mathieu mathilde mathis maurice maxime
-    mehdi melanie michel mohamed monique myriam nadia nathalie nicolas nicole nina noah noe noemie odile olivier
-    oscar pascal patricia patrick paul pauline philippe pierre quentin raphael remi renaud rene robert robin
-    romain rose sabrina salome samuel sandrine sarah sebastien serge simon simone sofia sofiane solene sonia
-    sophie stephane sylvain sylvie theo therese thierry thomas tom tristan valerie vanessa veronique victor
-    vincent virginie william xavier yanis yann yasmine yves yvonne zoe""".split()
+    mehdi melanie michel mohamed monique moussa myriam nadia nathalie nicolas nicole nina noah noe noemie odile
+    olivier oscar pascal patricia patrick paul pauline philippe pierre quentin rachid raphael remi renaud rene
+    robert robin romain rose sabrina salome samir samuel sandrine sarah sebastien serge simon simone sofia
+    sofiane solene sonia sophie stephane sylvain sylvie tarik theo therese thierry thomas timothee tom tristan
+    valerie vanessa veronique victor vincent virginie william xavier yacine yanis yann yasmine yves yvonne zoe
+    zohra""".split()
 )
 
 TITLES = frozenset("m mr mme mlle monsieur madame mademoiselle docteur dr professeur pr maitre mrs ms miss herr frau senor senora don dona".split())

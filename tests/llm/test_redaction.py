@@ -57,6 +57,11 @@ def test_examples(text, kinds):
     assert [k for _, _, k in trained().find([text])[0]] == kinds
 
 
+@pytest.mark.parametrize("given", ["Chantal", "Rachid", "Ludovic", "Laetitia", "Khadija", "Clémence", "Samir"])
+def test_untitled_names(given):
+    assert [k for _, _, k in trained().find([f"On a vu {given} Vanbrel ce matin."])[0]] == ["name"]
+
+
 def test_decomposed_and_long_texts():
     nfd = unicodedata.normalize("NFD", "Je m'appelle Élodie Vanbrel. ")
     assert [k for _, _, k in trained().find([nfd])[0]] == ["name"]
