@@ -71,4 +71,5 @@ def level_counts(levels: DataFrame) -> DataFrame:
 def matrix(levels: DataFrame, targets: list[str], prefix: str = "t_") -> DataFrame:
     """Wide form for a report: one row a reference, one column a target, 0 where there is no link."""
     wide = levels.groupBy("ref").pivot("target", targets).agg(F.first("level"))
-    return wide.select("ref", *[F.coalesce(F.col(f"`{t}`"), F.lit(0)).alias(prefix + t) for t in targets])
+    column = lambda t: F.col("`" + t.replace("`", "``") + "`")
+    return wide.select("ref", *[F.coalesce(column(t), F.lit(0)).alias(prefix + t) for t in targets])

@@ -132,7 +132,8 @@ def level_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cooccurrence_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.matrix(triads(spark, sf_dir), [str(n) for n in range(10)])
+    labels = segments(spark, sf_dir).select("discussion").where("discussion IS NOT NULL").distinct().collect()
+    return graph.matrix(triads(spark, sf_dir), sorted(r.discussion for r in labels))
 
 
 def _score(method: str):

@@ -106,6 +106,18 @@ def test_clusters_in_degree_and_matrix(spark):
     assert rows(graph.level_counts(levels)) == [("a", 1, 1, 0), ("b", 1, 0, 0)]
 
 
+def test_matrix_has_a_column_for_every_label(spark, tmp_path):
+    from parolis.plans.similarity import cooccurrence_matrix
+
+    labels = ["0", "10", "a.b", "x`y"]
+    data = [(label, 10 * i + j, [float(i + 1), float(j), 1.0]) for i, label in enumerate(labels) for j in range(4)]
+    spark.createDataFrame(data, "label string, vec_id bigint, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = cooccurrence_matrix(spark, str(tmp_path))
+    assert got.columns == ["ref", *["t_" + x for x in labels]]
+    links = {r["ref"]: [r["t_" + x] for x in labels] for r in got.collect()}
+    assert set(links) == set(labels) and all(v > 0 for r, row in links.items() for x, v in zip(labels, row) if x != r)
+
+
 def test_snorm_ignores_scale_and_asnorm_needs_a_cohort(spark):
     data = [(str(i), v) for _, i, v, _ in corpus(12)]
     df = spark.createDataFrame(data, "utt_id string, v array<double>")
