@@ -56,10 +56,10 @@ def test_no_leaks_in_empty_tables(spark):
     assert leaked_items(d, i).count() == 0
 
 
-@pytest.mark.parametrize("r", [0, 1, 2])
-def test_difference_cover(r):
-    v, cover = difference_cover(r)
-    assert len(cover) == 6 * r + 4 and {(a - b) % v for a in cover for b in cover} == set(range(v))
+@pytest.mark.parametrize("q", [2, 3, 5, 7, 11, 13])
+def test_difference_cover(q):
+    v, cover = difference_cover(q)
+    assert v == q * q + q + 1 and len(cover) == q + 1 and {(a - b) % v for a in cover for b in cover} == set(range(v))
 
 
 def stretches(docs, length):
@@ -90,10 +90,11 @@ def span_documents(seed=3):
 
 
 @pytest.mark.parametrize("length", [100, 101, 150])
-def test_spans_against_brute_force(spark, length):
+@pytest.mark.parametrize("ways", [{}, {"broadcast_rows": 0}, {"hot_chars": 400}, {"broadcast_rows": 0, "hot_chars": 0}])
+def test_spans_against_brute_force(spark, length, ways):
     docs = span_documents()
     df = spark.createDataFrame([(d, t, 1) for d, t in docs], "doc_id bigint, text string, pos int").repartition(3)
-    got = rows(shared_spans(df, length=length), "doc_id", "char_start", "char_end")
+    got = rows(shared_spans(df, length=length, **ways), "doc_id", "char_start", "char_end")
     assert len(got) == len(set(got)) and set(got) == stretches(docs, length)
 
 
