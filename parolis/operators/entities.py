@@ -19,15 +19,14 @@ STOPWORDS = (
     "avait", "avais",
 )
 
-#: Contexts of a concept: words for it, words against it, their weights.
-CONTEXTS = (
-    ("FEU_BATIMENT", ("immeuble", "toit", "fenetre", "porte", "cheminee", "grenier", "escaliers", "couloir"), ("barbecue", "vapeur"), 2.0, -2.0),
-    ("FEU_VEHICULE", ("voiture", "camion", "moteur", "parking", "tracteur", "caravane"), ("radiateur", "froid"), 2.0, -1.5),
-    ("FEU_VEGETATION", ("bois", "arbre", "talus", "vent", "branche"), ("cheminee", "brouillard"), 1.8, -2.0),
-    ("ACCIDENT", ("verglas", "conducteur", "motard", "chaussee", "rocade", "renverse"), ("constat", "stationnement"), 1.5, -2.0),
-    ("MEDICAL", ("victime", "malaise", "poitrine", "connaissance", "respire", "tousse", "vomit"), ("formation", "rendez"), 1.5, -2.0),
-    ("NUISANCE", ("odeur", "gaz", "fumee", "noire"), ("lisier", "poubelle"), 1.2, -1.5),
-)
+# Words that say nothing about a context, beside the above.
+CONTEXT_STOPWORDS = STOPWORDS + (
+    "il", "ne", "que", "qui", "être", "avoir", "à", "au", "aux", "en", "se", "me", "te", "nous", "vous", "y", "lui",
+    "moi", "toi", "soi", "là", "ici", "bien", "très", "trop", "plus", "moins", "aussi", "or", "ni",
+)
+
+#: Rows a table of contexts may have; it goes to the driver.
+CONTEXT_ROWS = 20_000
 
 
 def entities(texts: DataFrame, rules: tuple = R.RULES) -> DataFrame:
@@ -128,50 +127,90 @@ def context_tokens(found: DataFrame, texts: DataFrame, words: int = CONTEXT_WORD
     return x.withColumn("tokens", F.concat(last, own, F.slice(after, 1, words)))
 
 
-def _scores(tokens: Column, strict: bool, contexts: tuple) -> Column:
+def _context_words(contexts: DataFrame) -> dict[str, list[tuple[str, float]]]:
+    """Words and weights of each context in alphabetical order; a word named twice has the sum of its weights."""
+    x = contexts.where("context IS NOT NULL AND word <> '' AND weight IS NOT NULL").groupBy("context", "word").agg(F.sum("weight").alias("weight"))
+    rows = x.limit(CONTEXT_ROWS + 1).collect()
+    if len(rows) > CONTEXT_ROWS:
+        raise ValueError(f"more than {CONTEXT_ROWS} context words")
+    out: dict = {}
+    for r in sorted(rows, key=lambda r: (r.context, r.word)):
+        out.setdefault(r.context, []).append((r.word, float(r.weight)))
+    return out
+
+
+def _scores(tokens: Column, strict: bool, contexts: dict[str, list[tuple[str, float]]], stopwords: tuple) -> Column:
     """Array of (context, score, n) of the contexts that hold: score > 0 and at least ``LEAST_HITS`` hits."""
-    kept = F.filter(tokens, lambda w: ~w.isin(*STOPWORDS))
+    silent = F.array(*[F.lit(R.fold(w)) for w in stopwords])
+    kept = F.filter(tokens, lambda w: ~F.array_contains(silent, w))
+    none = F.lit(None).cast("double")
 
-    def hits(words: tuple) -> Column:
-        names = F.array(*[F.lit(w) for w in words])
+    def listed(words: list) -> Column:
+        return F.array(*[F.struct(F.lit(w).alias("w"), F.lit(v).alias("v")) for w, v in words])
+
+    def first_weight(token: Column, words: list) -> Column:
+        """Weight of the first word that the token is (strict), or that contains it or is contained in it."""
+        if not words:
+            return none
         if strict:
-            return F.size(F.filter(kept, lambda t: F.array_contains(names, t)))
-        either = lambda t: F.exists(names, lambda n: F.contains(t, n) | F.contains(n, t))
-        return F.size(F.filter(kept, either))
+            return F.element_at(F.create_map(*[F.lit(x) for w in words for x in w]), token)
+        return F.get(F.filter(listed(words), lambda x: F.contains(token, x["w"]) | F.contains(x["w"], token)), F.lit(0))["v"]
+
+    def summed(values: Column) -> tuple[Column, Column]:
+        held = F.filter(values, lambda v: v.isNotNull())
+        return F.aggregate(held, F.lit(0.0), lambda acc, v: acc + v), F.size(held)
 
-    def pair_hits(words: tuple) -> Column:
-        pairs = F.zip_with(F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))), F.when(F.size(kept) > 1, F.slice(kept, 2, F.size(kept))).otherwise(F.array().cast("array<string>")), lambda a, b: F.concat_ws(" ", a, b))
-        found = F.transform(pairs, lambda p: F.size(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(p, w))))
-        return F.aggregate(found, F.lit(0), lambda acc, n: acc + n)
+    def weigh(words: list) -> tuple[Column, Column]:
+        return summed(F.transform(kept, lambda t: first_weight(t, words)))
 
     out = []
-    for name, good, bad, weight, against in contexts:
-        g, b = hits(good), hits(bad)
-        score, n = g * F.lit(weight) + b * F.lit(against), g + b
-        if not strict:
-            p = pair_hits(good)
-            score, n = score + p * F.lit(0.5 * weight), n + p
-        out.append(F.struct(F.lit(name).alias("context"), score.alias("score"), n.alias("n")))
+    for name, words in contexts.items():
+        good, bad = [x for x in words if x[1] > 0], [x for x in words if x[1] <= 0]
+        (g, n_g), (b, n_b) = weigh(good), weigh(bad)
+        score, n = g + b, n_g + n_b
+        if not strict and good:
+            nexts = F.when(F.size(kept) > 1, F.slice(kept, 2, F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(F.array().cast("array<string>"))
+            pairs = F.zip_with(F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))), nexts, lambda a, z: F.concat_ws(" ", a, z))
+            inside = F.flatten(F.transform(pairs, lambda p: F.filter(listed(good), lambda x: F.contains(p, x["w"]))))
+            p, n_p = summed(F.transform(inside, lambda x: 0.5 * x["v"]))
+            score, n = score + p, n + n_p
+        out.append(F.struct(F.lit(name).alias("context"), F.round(score, 6).alias("score"), n.alias("n")))
+    if not out:
+        return F.array().cast("array<struct<context:string,score:double,n:int>>")
     return F.filter(F.array(*out), lambda x: (x["score"] > 0) & (x["n"] >= LEAST_HITS))
 
 
-def context_scores(found: DataFrame, texts: DataFrame, strict: bool = True, contexts: tuple = CONTEXTS) -> DataFrame:
+def context_scores(
+    found: DataFrame, texts: DataFrame, contexts: DataFrame, strict: bool = True,
+    doubts: tuple[tuple[str, tuple, tuple], ...] = (), stopwords: tuple = CONTEXT_STOPWORDS,
+) -> DataFrame:
     """Entities with the contexts around them: ``text_id, category, mot, start, context, context_score, n_contexts,
-    confidence, false_positive``; ``context`` is the strongest (null: none).
+    confidence, false_positive``; ``context`` is the strongest (null: none; of equals the first by name).
 
-    ``strict`` compares whole words; without it a context word counts when either contains the other, and pairs of
-    neighbouring words count half, once for each context word they contain. Smoke in a vegetation context alone, and
-    burning without any fire context, are likely false positives.
+    ``contexts`` (``context, word, weight``) is an input: a positive weight speaks for a context, another against it.
+    ``strict`` compares whole words; without it a context word counts when either contains the other (of several the
+    first by alphabet, once for and once against), and pairs of neighbouring words count half, once for each word for
+    the context they contain. An entity is a likely false positive by a doubt ``(fragment, present, absent)``: its text
+    contains the fragment, one of the contexts ``present`` holds (if any is named) and none of ``absent``.
     """
-    x = context_tokens(found, texts).withColumn("c", _scores(F.col("tokens"), strict, contexts))
+    words = _context_words(contexts)
+    x = context_tokens(found, texts).withColumn("c", _scores(F.col("tokens"), strict, words, stopwords))
     total = F.aggregate("c", F.lit(0.0), lambda acc, y: acc + y["score"])
     best = F.array_max(F.transform("c", lambda y, i: F.struct(y["score"].alias("score"), (-i).alias("k"), y["context"].alias("context"))))
-    has = lambda n: F.exists("c", lambda y: y["context"] == n)
-    smoke = F.col("mot").contains("fum") & has("FEU_VEGETATION") & ~has("FEU_BATIMENT") & ~has("FEU_VEHICULE")
-    burns = F.col("mot").contains("brule") & ~has("FEU_BATIMENT") & ~has("FEU_VEHICULE") & ~has("FEU_VEGETATION")
+    names = F.transform("c", lambda y: y["context"])
+
+    def doubtful(fragment: str, present: tuple, absent: tuple) -> Column:
+        holds = lambda which: F.arrays_overlap(names, F.array(*[F.lit(w) for w in which]))
+        out = F.contains(F.col("mot"), F.lit(fragment))
+        out = out & holds(present) if present else out
+        return out & ~holds(absent) if absent else out
+
+    doubt = F.lit(False)
+    for d in doubts:
+        doubt = doubt | doubtful(*d)
     return x.select(
         "text_id", "category", "mot", "start", best["context"].alias("context"), F.coalesce(best["score"], F.lit(0.0)).alias("context_score"),
-        F.size("c").alias("n_contexts"), F.least(F.greatest(total, F.lit(0.0)) / CONFIDENCE, F.lit(1.0)).alias("confidence"), (smoke | burns).alias("false_positive"),
+        F.size("c").alias("n_contexts"), F.round(F.least(F.greatest(total, F.lit(0.0)) / CONFIDENCE, F.lit(1.0)), 6).alias("confidence"), doubt.alias("false_positive"),
     )
 
 

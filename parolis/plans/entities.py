@@ -126,14 +126,37 @@ def wer_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.agg(n.alias("n_words"), F.sum("n_segments").alias("n_segments"), F.round(F.sum(F.col("micro_wer") * F.col("n_words")) / n, 6).alias("wer"))
 
 
-def context_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def context_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contexts of the queries, learned from the automatic texts: ``context`` is a category of the concept rules, and a
+    word speaks for it (1) where the texts with the word hold the category at least three times as often as all texts do
+    and a fiftieth of the category's texts have the word, and against it (-0.5) where they hold it at most a third as
+    often although a fiftieth of all texts have the word. Words of fewer than four letters say nothing."""
+    texts = automatic(spark, sf_dir).select("audio_id", "text_id", "text")
+    held = E.entities(texts).select("text_id", F.col("category").alias("context")).distinct()
+    said = texts.select("text_id", F.explode(F.array_distinct(F.split(T.folded_words(F.col("text")), " "))).alias("word")).where(F.length("word") >= 4)
+    n_c, n_w = held.groupBy("context").agg(F.count("*").alias("n_c")), said.groupBy("word").agg(F.count("*").alias("n_w"))
+    both = said.join(held, "text_id").groupBy("context", "word").agg(F.count("*").alias("n"))
+    x = both.join(n_c, "context").join(n_w, "word").crossJoin(texts.agg(F.count("*").alias("total")))  # one row of totals
+    pro = (F.col("n") * F.col("total") >= 3 * F.col("n_w") * F.col("n_c")) & (50 * F.col("n") >= F.col("n_c"))
+    con = (3 * F.col("n") * F.col("total") <= F.col("n_w") * F.col("n_c")) & (50 * F.col("n_w") >= F.col("total"))
+    return x.select("context", "word", F.when(pro, 1.0).when(con, -0.5).alias("weight")).where("weight IS NOT NULL")
+
+
+#: An entity is doubtful with this fragment, the first contexts and without the others.
+DOUBTS = (("fum", ("ACCIDENT",), ("INCENDIE",)), ("brule", (), ("INCENDIE", "TRAUMATISME")))
+
+
+def _contexts_of(spark: SparkSession, sf_dir: str, strict: bool) -> DataFrame:
     r = reference(spark, sf_dir)
-    return E.context_scores(E.entities(r), r)
+    return E.context_scores(E.entities(r), r, context_words(spark, sf_dir), strict, DOUBTS)
+
+
+def context_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _contexts_of(spark, sf_dir, True)
 
 
 def context_scores_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = reference(spark, sf_dir)
-    return E.context_scores(E.entities(r), r, strict=False)
+    return _contexts_of(spark, sf_dir, False)
 
 
 def context_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +169,7 @@ QUERIES = {
     "gazetteer_match": gazetteer_match, "entity_spans": entity_spans, "entity_counts": entity_counts, "entity_dedup": entity_dedup,
     "entity_outcomes": entity_outcomes, "entity_correct": entity_correct, "wer_domain": wer_domain, "wer_domain_by_category": wer_domain_by_category, "insertions": insertions,
     "entity_speakers": entity_speakers, "hybrid_retention": hybrid_retention, "wer_segment": wer_segment, "wer_global": wer_global,
-    "context_scores": context_scores, "context_scores_loose": context_scores_loose, "context_frequency": context_frequency,
+    "context_words": context_words, "context_scores": context_scores, "context_scores_loose": context_scores_loose, "context_frequency": context_frequency,
 }
 
 
@@ -175,6 +198,59 @@ _FOLDED = "strip_accents(lower(text))"
 _FOUND = ", m AS (" + " UNION ALL ".join(
     f"SELECT text_id, audio_id, '{r.category}' AS category, unnest(regexp_extract_all({_FOLDED}, {_quoted(r.pattern)})) AS mot FROM r" for r in R.RULES
 ) + ")"
+
+
+def _spans_of(source: str) -> str:
+    """Entities of a relation with their places; what lies between two matches gives the place of the second."""
+    rules = " UNION ALL ".join(
+        f"SELECT audio_id, text_id, '{r.category}' AS category, {n} AS rule_no, regexp_extract_all(t, {_quoted(r.pattern)}) AS ms, regexp_split_to_array(t, {_quoted(r.pattern)}) AS ps FROM folded"
+        for n, r in enumerate(R.RULES)
+    )
+    total = "coalesce(CAST(list_sum(list_transform({}, lambda x: length(x))) AS INT), 0)"
+    return f"""SELECT audio_id, text_id, category, CAST(rule_no AS INT) AS rule_no, ms[i] AS mot, CAST({total.format('ps[1:i]')} + {total.format('ms[1:i-1]')} AS INT) AS start
+FROM (WITH folded AS (SELECT audio_id, text_id, strip_accents(lower(nfc_normalize(text))) AS t FROM {source}) {rules}), unnest(range(1, len(ms) + 1)) AS u(i)"""
+
+
+_ENTITIES = ", e AS (SELECT *, CAST(start + length(mot) AS INT) AS \"end\" FROM (" + _spans_of("r") + "))"
+_CONTEXT_WORDS = ", se AS (SELECT DISTINCT text_id, category AS context FROM (" + _spans_of("s") + "))" + f""",
+sw AS (SELECT text_id, word FROM (SELECT text_id, unnest(list_distinct(string_split({_WORDS.format('text')}, ' '))) AS word FROM s) WHERE length(word) >= 4),
+nc AS (SELECT context, count(*) AS n_c FROM se GROUP BY context), nw AS (SELECT word, count(*) AS n_w FROM sw GROUP BY word),
+nb AS (SELECT context, word, count(*) AS n FROM sw JOIN se USING (text_id) GROUP BY context, word),
+cw AS (SELECT context, word, CASE WHEN n * total >= 3 * n_w * n_c AND 50 * n >= n_c THEN 1.0::DOUBLE WHEN 3 * n * total <= n_w * n_c AND 50 * n_w >= total THEN -0.5::DOUBLE END AS weight
+       FROM nb JOIN nc USING (context) JOIN nw USING (word), (SELECT count(*) AS total FROM s)),
+k AS (SELECT * FROM cw WHERE weight IS NOT NULL)"""
+_SILENT = "(" + ", ".join(sorted({_quoted(R.fold(w)) for w in E.CONTEXT_STOPWORDS})) + ")"
+
+
+def _tokens(c: str) -> str:
+    return rf"list_filter(string_split(trim(regexp_replace(strip_accents(lower({c})), '[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}]+', ' ', 'g')), ' '), lambda w: w <> '')"
+
+
+def _scored(strict: bool) -> str:
+    """Contexts of each entity by SQL, from the words around it."""
+    side = "(SELECT id, context, i, {} AS v FROM tk JOIN k ON {} WHERE weight {} 0 GROUP BY id, context, i)"
+    test = "k.word = tk.token" if strict else "contains(tk.token, k.word) OR contains(k.word, tk.token)"
+    parts = [side.format("arg_min(weight, word)", test, op) for op in (">", "<=")]
+    if not strict:
+        parts.append("(SELECT id, context, i, 0.5 * weight AS v FROM pr JOIN k ON contains(pr.pair, k.word) WHERE weight > 0)")
+    return f""", en AS (SELECT row_number() OVER () AS id, e.*, r.text FROM e JOIN r USING (text_id)),
+b AS (SELECT id, list_slice(t, greatest(len(t) - 7, 1), len(t)) AS t FROM (SELECT id, {_tokens('substring(text, 1, start)')} AS t FROM en)),
+a AS (SELECT id, ({_tokens('substring(text, "end" + 1, length(text))')})[1:8] AS t FROM en),
+w AS (SELECT id, list_filter(b.t || {_tokens('substring(text, start + 1, "end" - start)')} || a.t, lambda x: x NOT IN {_SILENT}) AS t FROM en JOIN b USING (id) JOIN a USING (id)),
+tk AS (SELECT id, i, t[i] AS token FROM w, unnest(range(1, len(t) + 1)) AS u(i)),
+pr AS (SELECT id, i, t[i] || ' ' || t[i + 1] AS pair FROM w, unnest(range(1, len(t))) AS u(i)),
+h AS (SELECT id, context, round(sum(v), 6) AS score FROM ({' UNION ALL '.join('SELECT * FROM ' + x for x in parts)}) GROUP BY id, context HAVING round(sum(v), 6) > 0 AND count(*) >= 2),
+j AS (SELECT id, arg_min(context, (-score, context)) AS context, max(score) AS best, count(*) AS n, sum(score) AS total, list(context) AS names FROM h GROUP BY id),
+o AS (SELECT text_id, category, mot, start, context, coalesce(best, 0.0) AS context_score, CAST(coalesce(n, 0) AS INT) AS n_contexts,
+      round(least(coalesce(total, 0) / 5.0, 1.0), 6) AS confidence, {' OR '.join(map(_doubt, DOUBTS))} AS false_positive FROM en LEFT JOIN j USING (id))"""
+
+
+def _doubt(d: tuple[str, tuple, tuple]) -> str:
+    has = lambda c: f"list_contains(coalesce(names, []), '{c}')"
+    some = [f"contains(mot, '{d[0]}')"] + (["(" + " OR ".join(map(has, d[1])) + ")"] if d[1] else [])
+    return "(" + " AND ".join(some + [f"NOT {has(c)}" for c in d[2]]) + ")"
+
+
 _PLACES = r""", l AS (SELECT DISTINCT lower(trim(replace(unnest(regexp_extract_all(text, 'Secteur : ([^\r\n]+)', 1)), '-', ' '))) AS place FROM documents WHERE text IS NOT NULL)"""
 
 SQL = {
@@ -185,6 +261,12 @@ SQL = {
 t AS (SELECT text_id, string_split({_WORDS.format('text')}, ' ') AS t FROM r),
 g AS (SELECT text_id, array_to_string(t[i:i+k-1], ' ') AS place FROM t, unnest([1, 2, 3]) AS x(k), unnest(range(1, len(t) - k + 2)) AS u(i))
 SELECT text_id, place, count(*) AS n FROM g JOIN n USING (place) WHERE place <> '' GROUP BY text_id, place""",
+    "entity_spans": _REF + _ENTITIES + ' SELECT audio_id, text_id, category, rule_no, mot, start, "end" FROM e',
+    "context_words": _REF + _AUTO + _CONTEXT_WORDS + " SELECT context, word, weight FROM k",
+    "context_scores": _REF + _AUTO + _ENTITIES + _CONTEXT_WORDS + _scored(True) + " SELECT * FROM o",
+    "context_scores_loose": _REF + _AUTO + _ENTITIES + _CONTEXT_WORDS + _scored(False) + " SELECT * FROM o",
+    "context_frequency": _REF + _AUTO + _ENTITIES + _CONTEXT_WORDS + _scored(True)
+    + " SELECT context, count(*) AS n, count(CASE WHEN false_positive THEN 1 END) AS n_false_positive FROM o WHERE context IS NOT NULL GROUP BY context",
     "entity_counts": _REF + _FOUND + " SELECT text_id, category, count(*) AS n FROM m GROUP BY text_id, category",
     "entity_dedup": _REF + _FOUND + " SELECT audio_id, category, trim(mot) AS mot, count(*) AS n FROM m GROUP BY audio_id, category, trim(mot)",
     "entity_correct": _REF + _AUTO + _FOUND + f""", d AS (SELECT DISTINCT audio_id, category, trim(mot) AS mot, {_detect('trim(mot)')} AS norm FROM m),

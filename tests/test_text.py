@@ -89,13 +89,20 @@ def test_gazetteer_names_of_any_length(spark):
 
 
 def test_context(spark):
-    texts = spark.createDataFrame([(1, "la fumée sort du grenier par le toit"), (2, "il brule")], "text_id int, text string")
+    texts = spark.createDataFrame([(1, "la fumée sort du hangar par le vieux portail"), (2, "il brule"), (3, "fumée du hangar, vapeur du lavoir")], "text_id int, text string")
     found = E.entities(texts.select(F.lit("c").alias("audio_id"), "text_id", "text"))
-    got = {(r.text_id, r.mot): r for r in E.context_scores(found, texts).collect()}
-    assert got[1, "fumee"].context == "FEU_BATIMENT" and got[1, "fumee"].context_score == 4.0 and got[1, "fumee"].confidence == pytest.approx(0.8)
-    assert got[2, "brule"].context is None and got[2, "brule"].false_positive
-    loose = {(r.text_id, r.mot): r for r in E.context_scores(found, texts, strict=False).collect()}
-    assert loose[1, "fumee"].context_score >= 4.0
+    words = [("atelier", "hangar", 2.0), ("atelier", "portail", 2.0), ("lavoir", "vapeur", 1.5), ("atelier", "vapeur", -3.0), ("lavoir", "hangar", -1.0), ("lavoir", "lavoir", 1.5), (None, "x", 1.0), ("lavoir", None, 1.0), ("lavoir", "portail", None)]
+    contexts = spark.createDataFrame(words, "context string, word string, weight double")
+    doubts = (("fum", ("lavoir",), ("atelier",)), ("brule", (), ("atelier", "lavoir")))
+    got = {(r.text_id, r.mot): r for r in E.context_scores(found, texts, contexts, doubts=doubts).collect()}
+    assert got[1, "fumee"].context == "atelier" and got[1, "fumee"].context_score == 4.0 and got[1, "fumee"].confidence == pytest.approx(0.8)
+    assert got[2, "brule"].context is None and got[2, "brule"].false_positive and not got[1, "fumee"].false_positive
+    assert got[3, "fumee"].context == "lavoir" and got[3, "fumee"].context_score == 2.0 and got[3, "fumee"].false_positive
+    loose = {(r.text_id, r.mot): r for r in E.context_scores(found, texts, contexts, strict=False).collect()}
+    # pairs: sort+hangar, hangar+vieux, vieux+portail hold a word each, portail ends the text
+    assert loose[1, "fumee"].context_score == 4.0 + 3 * 1.0 and not loose[2, "brule"].false_positive
+    none = E.context_scores(found, texts, contexts.limit(0)).collect()
+    assert len(none) == len(got) and {r.context for r in none} == {None}
 
 
 def test_word_error_rates(spark):
