@@ -11,12 +11,13 @@ import numpy as np
 class BoostedTrees:
     """Binary classifier. Trees are complete and stored as flat arrays, so that scoring is a few gathers a level."""
 
-    rounds: int = 60
-    depth: int = 4
+    rounds: int = 80
+    depth: int = 5
     rate: float = 0.2
     bins: int = 24
     l2: float = 1.0
-    min_rows: int = 12
+    #: Least curvature of the loss on either side of a split.
+    least: float = 1.5
     edges: list = field(default_factory=list)
     feature: np.ndarray | None = None
     cut: np.ndarray | None = None
@@ -43,13 +44,10 @@ class BoostedTrees:
                 best_gain, best_f, best_c = np.full(count, 1e-6), np.zeros(count, int), np.full(count, -1)
                 for j in range(f):
                     key = (at - first) * width + codes[:, j]
-                    g, h, c = (
-                        np.bincount(key, weights=w, minlength=count * width).reshape(count, width).cumsum(axis=1)
-                        for w in (grad, hess, None)
-                    )
-                    gt, ht, ct = g[:, -1:], h[:, -1:], c[:, -1:]
+                    g, h = (np.bincount(key, weights=w, minlength=count * width).reshape(count, width).cumsum(axis=1) for w in (grad, hess))
+                    gt, ht = g[:, -1:], h[:, -1:]
                     gain = g**2 / (h + self.l2) + (gt - g) ** 2 / (ht - h + self.l2) - gt**2 / (ht + self.l2)
-                    gain[(c < self.min_rows) | (ct - c < self.min_rows)] = 0
+                    gain[(h < self.least) | (ht - h < self.least)] = 0
                     k = gain.argmax(axis=1)
                     top = gain[np.arange(count), k]
                     better = top > best_gain

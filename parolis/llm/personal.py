@@ -1,6 +1,8 @@
 """Personal values in free text: candidate spans, their features, and the choice among them.
 
-Generators with high recall propose spans that may overlap; boosted trees (:mod:`parolis.llm.boosting`) score them from
+Generators with high recall propose spans that may overlap: every run of capitalised words and every phrase that
+introduces a person may be a name, every house number before a noun and a further word an address. No generator needs a
+listed value; membership in a list is one feature among many. Boosted trees (:mod:`parolis.llm.boosting`) score them from
 features of format and context; of overlapping spans above the calibrated threshold of their kind the best stands.
 Spans are positions in the NFC form of the text.
 """
@@ -19,7 +21,7 @@ import numpy as np
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 
-#: Given names the name generators start from.
+#: Frequent given names. A name with one needs no capitals to be proposed; else the list is a feature only.
 GIVEN = frozenset(
     """adam adele adrien agathe agnes aicha alain albert alice amelie amina anais andre anne antoine arthur aurelie
     aurore axel baptiste bastien benjamin benoit bernard brigitte bruno camille carole caroline catherine cecile
@@ -40,6 +42,7 @@ GIVEN = frozenset(
 
 TITLES = frozenset("m mr mme mlle monsieur madame mademoiselle docteur dr professeur pr maitre mrs ms miss herr frau senor senora don dona".split())
 
+#: Frequent kinds of streets; others are proposed after a house number only.
 STREETS = frozenset(
     """rue r avenue av ave boulevard bd boul bld chemin ch che impasse imp place pl route rte allee allees all quai
     lotissement passage cours square sq faubourg fg sentier residence res hameau ruelle venelle esplanade promenade
@@ -47,17 +50,23 @@ STREETS = frozenset(
 )
 _ABBREVIATED = frozenset("r av ave bd boul bld ch che imp pl rte all sq fg res".split())
 
-#: Words of ordinary sentences that are no surnames, in the languages of the corpus.
+#: Articles, pronouns, prepositions, conjunctions, auxiliaries and adverbs of the languages of the corpus.
 COMMON = frozenset(
-    """adresse alors and appelle apres are arobase arrive ask attend attends auf aujourd aussi auto aux avait avant
-    avec bas bei bien call car cela ces cet cette chez comme con contact contre convulse dans das dehors del dem
-    demande den depuis der derriere des deux die digale dit doit donc ein eine elle elles encore entre est etait
-    ete fait font for fragen from habite heisse her hier his ich ici ils ist jusqu las les leur llamo los lui
-    mail mais matin mein meine meme merci mes midi mit moi mon name nom nos notre nous nuit numero ont oui par
-    para parce parle pas pendant peut place plait plus point por pour pregunte prevenez puis quand que qui quoi
-    rappelez respire reste rue saigne sans sauf sera ses she sie sind sinon soir son sont sous sur tel tell that
-    the they this tiret tombe tombee toujours tous tousse tout tremble tres un una und une vers veut victime
-    vient voici voila vomit von vos votre vous was wir with you""".split()
+    """a ai alors am an and apres are as at attend au auf aujourd aus aussi autre aux avait avant avec avez bas bei bien but by car
+    ce cela celle ces cote cet cette chaque chez combien comme con contre dans das de dehors dein deja del dem demande den depuis der derriere des
+    deux devant die dieser dit doch doit donc dont du due durch ein eine einem einen einer el elle elles en encore entre er es est
+    esta et etait ete etre eux fait font for from fur hat here hier his ich ici ihr il ils im in is ist it je jusqu kein la
+    las le les leur leurs lo loin los lui ma mais me mein meine meinen merci mes mi mit moi moins mon my nach ne nicht ni no nom non nos notre nous
+    numero nur of oder on ont or ou oui our out par para parce pas pendant peu peut plus por pour pres puis quand que quel quelle qui quoi
+    rappelez reste rien sa sans sauf se sein sera ses she si sie sin sind sinon so soir son sont sous su suis sur tel tell that the
+    their then they this to toi ton toujours tous tout toute toutes tres trop trois tu two un una und une uns unser unter va vais vers veut via vient
+    voici voila vom von vor vos votre vous wann war warum was we wer wie wir with wo y you your zu zum zur zwei zwischen""".split()
+)
+_DETERMINERS = frozenset("le la les l un une des du cette ce ces mon ma ton sa son notre votre der die das den dem ein eine einen the an el los las una unos mein meine".split())
+_GERMAN = frozenset("der die das ein eine einen dem den und ist hat wird im am bei nach mit auf von zur zum neben hinter nicht ich wir sie mein meine etwa sind uns sehr noch kein kommt ins alles dort bis etwas weiter hier jetzt wieder gegen schon aus durch vor unter man aber".split())
+_UNITS = frozenset(
+    """metre metres meter meters km kilometre kilometres kilometer minute minutes minuten heure heures hour hours stunden an ans mois jour jours
+    semaine semaines kilo kilos kg litre litres euro euros degre degres personne personnes fois pour bar h m cm mm""".split()
 )
 
 _PARTICLES = r"(?:(?:de[ ]+la|de|du|des|le|la|da|di|do|dos|van|von|el|ben)[ ]+|d')"
@@ -90,8 +99,8 @@ _DOMAIN = re.compile(r"[ ]*[a-z0-9][a-z0-9-]*(?:\.[a-z0-9-]+|[ ]+(?:point|dot|pu
 _AT_RE = re.compile(_AT)
 
 _HOUSE = re.compile(rf"(?:\d{{1,4}}|{_NW}(?:(?:-et-|-|\s+et\s+|\s+){_NW})*)(?:\s*(?:bis|ter|quater)\b|\s?[a-d]\b)?\s*,?\s*$")
-_STREET_WORD = r"[a-z0-9]+(?:['-][a-z]+)*"
-_STREET_NAME = re.compile(rf"\.?[ ]+(?:(?:des|du|de[ ]+la|de[ ]+l'|de|d'|la|le|les|l')[ ]*)?(?:{_STREET_WORD})(?:[ ]+(?:(?:des|du|de[ ]+la|de|d'|et)[ ]+)?{_STREET_WORD}){{0,4}}")
+_CONNECTORS = frozenset("des du de la le les l d".split())
+_STREET_STEP = re.compile(r"(?:[ ]+|(?<=[a-z])'[ ]?)([a-z0-9]+(?:-[a-z]+)*)")
 _NUMERO = re.compile(r"\s*,?\s*(?:numero|no|n°)\s+(?:\d{1,4}(?:\s*(?:bis|ter|quater)\b|\s?[a-d]\b)?|" + _NW + r"(?:-" + _NW + r")*)")
 _TOWN = re.compile(r"\s*,?\s*\d{5}\s+[a-z]+(?:[-' ](?:sur|sous|les|la|le|en|de|saint|sainte|l|d)[-' ][a-z]+)*(?:-[a-z]+)*")
 _STREET_STOP = frozenset(
@@ -103,12 +112,14 @@ _STREET_STOP = frozenset(
 _FILLER = re.compile(
     r"(?:,[ \t]*)?(?<![\w'-])(?:e+u+h+|he+u+(?:e+u+)*|h+u*m+|m+h+|m{3,}|ba+h+|be+n+|hein|bof|pff+|und)(?![\w'-])[,.…]*"
 )
+#: Phrases after which a name stands.
+_INTRODUCED = ("appelle ", "nomme ", "nommee ", "au nom de ", "name is ", "named ", "heisse ", "heisst ", "namens ", "llamo ", "llama ", "nombre de ")
 _CUES = {
-    "email": re.compile(r"mail|courriel|ecri|contact|envoy|photos|bilan|schreiben|write|escrib|adresse|copie|chez|if|pour"),
+    "email": re.compile(r"mail|courriel|ecri|contact|envoy|schreib|write|escrib|adresse|copie|chez|pour"),
     "phone": re.compile(r"\btel|appel|numero|joignable|contact|call|phone|nummer|telefon|sinon|gardez|le\s*$|au\s*$"),
-    "id_number": re.compile(r"secu|identi|carte|passeport|passport|assure|vitale|ausweis|document|dossier|note|lis\b|matricule"),
+    "id_number": re.compile(r"secu|identi|carte|passeport|passport|assure|vitale|ausweis|document|dossier|numero|matricule"),
     "address": re.compile(r"habit|adresse|envoy|c'est au|depart|jusqu|wohne|vivo|live|address|\bat\s*$|\bau\s*$|\bdu\s*$"),
-    "name": re.compile(r"appel|\bnom\b|preven|c'est|\bdit\b|avec|ventre|name|heiss|llam|tell|ask|fragen|pregunte|nomme"),
+    "name": re.compile(r"appel|\bnom\b|preven|c'est|\bdit\b|avec|name|heiss|llam|tell|ask|frag|pregunt|nomme|signe|demand"),
 }
 
 
@@ -125,7 +136,7 @@ class _Plain(dict):
             out = str(unicodedata.digit(c))
         else:
             base = unicodedata.normalize("NFD", c)[0].lower()
-            out = base if len(base) == 1 else c
+            out = {"ı": "i", "ł": "l", "ø": "o", "đ": "d", "ð": "d"}.get(base, base) if len(base) == 1 else c
         self[code] = {"’": "'", "‘": "'", "‐": "-", "‑": "-", "–": "-"}.get(out, out)
         return self[code]
 
@@ -136,7 +147,7 @@ _PLAIN = _Plain()
 @functools.lru_cache(maxsize=1)
 def _triggers() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
-    for words, kind in ((GIVEN, "given"), (TITLES, "title"), (STREETS, "street"), (("zero",), "zero"), (("arobas", "@", "(at", "[at", " at "), "at"), (("appelle ", "name is ", "heisse ", "llamo "), "cue")):
+    for words, kind in ((GIVEN, "given"), (TITLES, "title"), (STREETS, "street"), (("zero",), "zero"), (("arobas", "@", "(at", "[at", " at "), "at"), (_INTRODUCED, "cue")):
         for w in words:
             a.add_word(w, (kind, len(w)))
     for w in ("euh", "heu", "hm", "hum", "mh", "bah", "ben", "hein", "mmm", "euu", "bof", "pff", "und"):
@@ -222,6 +233,9 @@ def candidates(p: Prepared, found: list) -> list[Candidate]:
         sur = f.get("sur", "")
         first = text[a : a + 1]
         gaps = re.findall(r"[^a-z0-9]+", own)
+        words = re.findall(r"[a-z]+", own)
+        around = re.findall(r"[a-z]+", before + " " + after)
+        written = text[a:z]
         out.append(
             Candidate(a, z, KINDS.index(kind), (
                 pattern,
@@ -254,6 +268,21 @@ def candidates(p: Prepared, found: list) -> list[Candidate]:
                 f.get("follow", 0),
                 f.get("domain_dots", 0),
                 f.get("tail", 0),
+                f.get("listed", 0),
+                f.get("run", 0),
+                1.0 if words and words[0] in COMMON else 0.0,
+                sum(w in COMMON for w in words),
+                1.0 if not re.search(r"\w", sentence) else 0.0,
+                sum(w in _GERMAN for w in around) / max(3, len(around)),
+                1.0 if kind == "name" and written.isupper() else 0.0,
+                1.0 if re.search(r"[^\W\d_]{3}", text[max(0, a - 12) : a]) and text[max(0, a - 12) : a].isupper() else 0.0,
+                1.0 if re.match(r"[ ,]+[^\W\d_]", text[z : z + 4]) and text[z : z + 4].strip(" ,")[:1].isupper() else 0.0,
+                f.get("plural", 0),
+                f.get("unit", 0),
+                f.get("caps", 0),
+                f.get("again", 0),
+                1.0 if prev in COMMON else 0.0,
+                1.0 if prev in _DETERMINERS else 0.0,
             ))
         )
 
@@ -276,7 +305,7 @@ def candidates(p: Prepared, found: list) -> list[Candidate]:
             if not x:
                 continue
             dom = _DOMAIN.match(q, x.end())
-            lo = max(0, x.start() - 90)
+            lo = max(q.rfind("\n", 0, x.start()), q.rfind("@", 0, x.start())) + 1  # each sign is searched once
             loc = _LOCAL.search(q[lo : x.start()])
             if not dom or not loc:
                 continue
@@ -307,39 +336,17 @@ def candidates(p: Prepared, found: list) -> list[Candidate]:
             word = q[a:z]
             if word in _ABBREVIATED and q[z : z + 1] not in (".", " "):
                 continue
-            name = _STREET_NAME.match(q, z)
-            if not name:
-                continue
-            stop, words, connector = z, 0, 0
-            for w in re.finditer(r"[a-z0-9]+(?:-[a-z]+)*", name.group()):
-                x = w.group()
-                if x in ("des", "du", "de", "la", "le", "les", "l", "d"):
-                    connector = 1
-                    continue
-                if x in _STREET_STOP or (words and (x.isdigit() or x in COMMON)):
-                    break
-                words, stop = words + 1, z + w.end()
-                if words == 3:
-                    break
-            if not words:
-                continue
-            house = _HOUSE.search(q, max(0, a - 40), a)
-            if house and q[house.start() - 1 : house.start()] == "'":  # "quelqu'un douze rue ..."
-                house = _HOUSE.search(q, house.start() + 2, a) if q.startswith("un ", house.start()) else None
-            numero = _NUMERO.match(q, stop)
-            tail = numero.end() if numero else stop
-            town = _TOWN.match(q, tail)
-            end = town.end() if town else tail
-            abbreviated = int(word in _ABBREVIATED)
-            if house and (house.start() == 0 or not (q[house.start() - 1].isalnum() or q[house.start() - 1] in "'-./:,")):
-                h = house.group().strip()
-                add("address", 9, house.start(), end, name_words=words, connector=connector, spelled=int(not h[:1].isdigit()), one=int(h in ("un", "une")), numero=int(bool(numero)), follow=abbreviated, tail=int(bool(town)))
-            if numero:
-                add("address", 10, a, end, name_words=words, connector=connector, numero=1, follow=abbreviated, tail=int(bool(town)))
+            _street(p, a, z, add, listed=1)
         elif kind in ("given", "title", "cue"):
             _names(p, a, z, kind, add)
     for m in _INITIAL.finditer(q):
         _names(p, m.start(), m.start() + 1, "initial", add)
+    for m in _NUMBERED.finditer(q):
+        word = m.group("kind")
+        if m.group("house") not in ("un", "une", "0") and "\t" not in text[m.start() : m.end()] and word not in STREETS and word not in COMMON and word not in _NUMBERS and (m.group("house")[:1].isdigit() or not word.endswith("s")):
+            _street(p, m.start("kind"), m.end("kind"), add, listed=0, plural=int(word.endswith(("s", "x"))), unit=int(word in _UNITS))
+    if p.cased:
+        _runs(p, add)
     # whether a wider candidate of another kind covers this one
     wide = {k: _Cover([(c.start, c.end) for c in out if KINDS[c.kind] == k]) for k in ("address", "email")}
     for c in out:
@@ -347,6 +354,44 @@ def candidates(p: Prepared, found: list) -> list[Candidate]:
     return out
 
 
+_NUMBERED = re.compile(rf"(?<![\w'./:,-])(?P<house>\d{{1,4}}(?:[ ]?[a-d]\b)?|{_NW}(?:(?:-et-|-){_NW})*)(?:[ ]?(?:bis|ter|quater)\b)?,?[ ]+(?P<kind>[a-z]{{3,}}(?:-[a-z]{{3,}})?)(?=[ ])")
+
+
+def _street(p: Prepared, a: int, z: int, add, **f) -> None:
+    """Addresses around a kind of street at ``a``."""
+    q, text = p.quiet, p.text
+    word, stop, words, connector, caps = q[a:z], z, 0, 0, 0
+    w = _STREET_STEP.match(q, z + (q[z : z + 1] == "."))
+    while w:
+        x, at = w.group(1), w.start(1)
+        if x in _CONNECTORS:
+            connector = 1
+        else:
+            if x in _STREET_STOP or (words and (x.isdigit() or x in COMMON)):
+                break
+            if words >= 3 and not (q[z:at].rstrip().endswith((" de", " du", " des", " la", " et", " d'")) or text[at].isupper()):
+                break  # a long name goes on after a connector or with a capital
+            if not f["listed"] and x in STREETS:
+                return  # the number belongs to something else: "bus 12 waits square ..."
+            words, stop, caps = words + 1, w.end(), caps + text[at].isupper()
+        w = _STREET_STEP.match(q, w.end())
+    if not words or not (f["listed"] or caps or q.startswith((" de ", " du ", " des ", " d'"), z)):
+        return
+    house = _HOUSE.search(q, max(0, a - 40), a)
+    if house and q[house.start() - 1 : house.start()] == "'":  # "quelqu'un douze rue ..."
+        house = _HOUSE.search(q, house.start() + 2, a) if q.startswith("un ", house.start()) else None
+    numero = _NUMERO.match(q, stop)
+    tail = numero.end() if numero else stop
+    town = _TOWN.match(q, tail)
+    end = town.end() if town else tail
+    abbreviated = int(word in _ABBREVIATED)
+    if house and (house.start() == 0 or not (q[house.start() - 1].isalnum() or q[house.start() - 1] in "'-./:,")):
+        h = house.group().strip()
+        add("address", 9, house.start(), end, name_words=words, connector=connector, spelled=int(not h[:1].isdigit()), one=int(h in ("un", "une")), numero=int(bool(numero)), follow=abbreviated, tail=int(bool(town)), caps=caps, **f)
+    if numero:
+        add("address", 10, a, end, name_words=words, connector=connector, numero=1, follow=abbreviated, tail=int(bool(town)), caps=caps, **f)
+
+
 class _Cover:
     """Whether one of many intervals holds a given one."""
 
@@ -365,6 +410,11 @@ _AFTER_CUE = re.compile(rf"[ ]*(?P<part>{_PARTICLES})?{_SURNAME}(?P<next>[ ]+[a-
 _AFTER_GIVEN = re.compile(rf"[ ]+(?P<part>{_PARTICLES})?{_SURNAME}")
 _INITIAL = re.compile(rf"(?<![\w'.@+-])(?P<i>[a-z])\.[ ]?(?P<part>{_PARTICLES})?{_SURNAME}")
 _BEFORE_GIVEN = re.compile(rf"(?<![\w'.@+-])(?P<part>{_PARTICLES})?{_SURNAME}[ ]+$")
+_TWO_AFTER_TITLE = re.compile(rf"\.?[ ]+(?P<one>{_WORD}(?:-{_WORD})?)[ ]+(?P<part>{_PARTICLES})?{_SURNAME}")
+_TWO_AFTER_CUE = re.compile(rf"[ ]*(?P<one>{_WORD}(?:-{_WORD})?)[ ]+(?P<part>{_PARTICLES})?{_SURNAME}")
+_UP = "A-ZÀ-ÖØ-Þ" + "".join(chr(c) for c in range(0x100, 0x250) if chr(c).isupper())
+_CAPITAL = re.compile(rf"(?<![\w'’-])[{_UP}][^\W\d_]*(?:['’-][^\W\d_]+)*(?![\w@])")
+_RUN = re.compile(rf"(?<![\w'’.@+-]){_CAPITAL.pattern}(?:[ ]+(?:(?:de la|de|du|des|da|di|do|dos|van|von|der|den|el|ben|al|le|la)[ ]+)*{_CAPITAL.pattern})+")
 _SECOND_HALF = re.compile(r"-[a-z]+")
 _TITLE_BEFORE = re.compile(r"(?<![a-z])([a-z]+)\.?[ ]+$")
 
@@ -380,14 +430,24 @@ def _names(p: Prepared, a: int, z: int, kind: str, add) -> None:
         end = m.end("sur") + shift if stop is None else stop
         add("name", pattern, start, end, sur=word, sur_upper=text[s : s + 1].isupper(), particle=int(bool(m.group("part"))), **f)
 
+    def whole(m: re.Match | None, second: int) -> bool:
+        """Whether two further words can be a given name and a surname: capitals where the text has any."""
+        return bool(m) and m.group("one") not in COMMON and m.group("sur") not in COMMON and (not p.cased or text[second : second + 1].isupper())
+
     if kind == "title":
         m = _AFTER_TITLE.match(q, z)
-        if m and m.group("sur").split("-")[0] not in GIVEN:  # a given name makes its own proposal
+        if m and m.group("sur").split("-")[0] not in GIVEN:  # a listed given name makes its own proposal
             propose(11, a, m, title=1, follow=int(q[z : z + 1] == "."))
+        m = _TWO_AFTER_TITLE.match(q, z)
+        if whole(m, m.start("sur") if m else 0) and m.group("one").split("-")[0] not in GIVEN:
+            propose(18, a, m, title=1, follow=int(q[z : z + 1] == "."))
     elif kind == "cue":
         m = _AFTER_CUE.match(q, z)
         if m and m.group("sur").split("-")[0] not in GIVEN and (m.group("next") or "").strip() not in GIVEN:
             propose(15, m.start("part") if m.group("part") else m.start("sur"), m)
+        m = _TWO_AFTER_CUE.match(q, z)
+        if whole(m, m.start("sur") if m else 0) and m.group("one").split("-")[0] not in GIVEN and m.group("sur").split("-")[0] not in GIVEN:
+            propose(19, m.start("one"), m)
     elif kind == "initial":
         m = _INITIAL.match(q, a)
         if m and m.group("i") + "." != "m.":
@@ -400,15 +460,35 @@ def _names(p: Prepared, a: int, z: int, kind: str, add) -> None:
         m = _AFTER_GIVEN.match(q, stop)
         after = bool(m) and m.group("sur").split("-")[0] not in COMMON and m.group("sur").split("-")[0] not in GIVEN
         if m:
-            propose(12, start, m, given=1, title=int(start < a))
+            propose(12, start, m, given=1, listed=1, title=int(start < a))
         lo = max(0, a - 48)
         b = _BEFORE_GIVEN.search(q[lo:a])
         if b and b.group("sur").split("-")[0] not in GIVEN:
             shouted = text[lo + b.start("sur") : lo + b.end("sur")].isupper()
-            propose(14, lo + b.start(), b, lo, stop, given=1, follow=int(after), tail=int(shouted))
+            propose(14, lo + b.start(), b, lo, stop, given=1, listed=1, follow=int(after), tail=int(shouted))
+
+
+def _runs(p: Prepared, add) -> None:
+    """Names as two to four capitalised words in a row, particles between them allowed."""
+    text, q = p.text, p.quiet
+    for m in _RUN.finditer(text):
+        words = [(m.start() + w.start(), m.start() + w.end()) for w in _CAPITAL.finditer(m.group())]
+        n = len(words)
+        for size in (2, 3, 4) if n == 4 else (2, 3):
+            for i in range(n - size + 1):
+                a, z = words[i][0], words[i + size - 1][1]
+                one, sur = q[a : words[i][1]], q[words[i + size - 1][0] : z]
+                if one in TITLES or sur in TITLES or sur in _NUMBERS:
+                    continue
+                near = text[max(0, a - 40) : a] + text[z : z + 40]
+                if text[a:z].isupper() and near.isupper():
+                    continue  # capitals say nothing where all are
+                lower = text[words[i + size - 1][0] : z].lower()
+                add("name", 14 + size if size < 4 else 20, a, z, sur=sur.split("'")[-1], sur_upper=1, run=n, particle=int(z - a > sum(y - x for x, y in words[i : i + size]) + size - 1),
+                    listed=int(one.split("-")[0] in GIVEN or sur.split("-")[0] in GIVEN), again=int(lower in text), tail=int(text[words[i][0] : words[i][1]].isupper()) + 2 * int(text[words[i + size - 1][0] : z].isupper()))
 
 
-N_FEATURES = 31
+N_FEATURES = 46
 
 
 def resolve(cands: list[Candidate], prob: np.ndarray, thresholds: np.ndarray) -> list[tuple[int, int, str]]:

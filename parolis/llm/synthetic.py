@@ -1,8 +1,9 @@
 """Labelled sentences to train the redaction trees on, made here from a seed.
 
-Values are random (names from random syllables, numbers from random digits) in all written forms the generators know;
-so are the traps: times, measures, incident, lot and equipment numbers, streets without a house number, towns, short
-emergency numbers. Nothing is taken from the tables.
+Values are random: given names and surnames from random syllables of several sound patterns (somewhat less than half of the
+given names are frequent ones), kinds of streets from a list of which a third is in no list of the library, numbers from random
+digits, in all written forms the generators know. So are the traps: counts and measures, incident, lot and equipment
+numbers, streets without a house number, towns, short emergency numbers, capitalised nouns and headings.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import random
 from parolis.llm.personal import GIVEN
 
 #: Labelled sentences the trees are fitted and calibrated on.
-SENTENCES = 9000
+SENTENCES = 15_000
 
 _UNITS = "zéro un deux trois quatre cinq six sept huit neuf dix onze douze treize quatorze quinze seize dix-sept dix-huit dix-neuf".split()
 _TENS = {20: "vingt", 30: "trente", 40: "quarante", 50: "cinquante", 60: "soixante", 80: "quatre-vingt"}
@@ -27,35 +28,58 @@ def spelled(n: int) -> str:
 
 
 _STREET_KINDS = "rue avenue boulevard chemin impasse place route allée quai lotissement av. bd imp. ch. pl. rte r. cours passage square".split()
+_RARE_KINDS = "traverse drève carriera draille voyette cavée rampe chaussée porte jetée villa cité terrasse raidillon".split()
 _STREET_NAMES = (
-    "des Lilas", "du Moulin", "de la Gare", "des Petits Prés", "du Général Leclerc", "Victor Hugo", "des Grands Chênes",
-    "de la République", "des Vieilles Vignes", "Jean Jaurès", "des Acacias", "du Stade", "de Verdun", "des Carmes", "Pasteur",
-    "des Anciens Fours", "de l'Église", "des Merles",
+    "des Tilleuls", "du Lavoir", "de la Fontaine", "des Deux Ponts", "du Maréchal Foch", "Émile Zola", "des Grands Pins", "de la Liberté", "du Vieux Puits",
+    "Marie Curie", "des Bleuets", "du Cimetière", "de Strasbourg", "des Cordeliers", "Voltaire", "Neuve", "Haute", "Saint-Michel", "Romane", "de l'Abbaye", "des Mésanges",
+    "du Capitaine Roux de Brière", "de la Croix Blanche", "du Onze Novembre",
 )
 _PARTS = ("", "", "", "", "", "", "Le ", "de ", "Da ", "du ", "Van ")
 _CALM = (
-    "la fumée est noire", "il ne bouge plus", "le feu gagne le toit", "elle respire mal", "un camion est en travers",
-    "les secours sont partis", "le moteur fume encore", "on voit des flammes", "deux ambulances arrivent",
-    "the engine is on fire", "a man is bleeding at the station", "der Mann atmet schlecht", "el coche arde",
-    "le portail est ouvert", "la route est glissante", "personne n'est blessé",
+    "la vitrine a cédé", "aucun témoin ici", "tout le quartier est dans le noir", "le chat miaule", "une branche barre le sentier", "le gardien ouvre la grille",
+    "on entend des cris", "il manque une couverture", "la pluie redouble", "the kitchen smells of smoke", "nobody answered the door", "der Keller steht unter Wasser",
+    "die Tür klemmt wieder", "la escalera está rota", "el perro ladra mucho", "the lift has stopped", "les volets sont clos", "son genou enfle",
 )
+_NOUNS = "Hund Garten Schlüssel Fenster Zug Lehrer Schule Wagen Dach Keller Tisch Arzt Schrank Bruder Treppe Lampe Decke Kiste Fluss Kirche".split()
 _TRAPS = (
-    "Départ à {h} h {m} du fourgon", "Température {a},{b} à {h} h {m}", "Tension {c}/{b0} pouls {a}", "Le lot {a}-{m} est complet",
-    "Intervention {y}-{six}", "Matériel sn-{a}-{seven}", "Fiche {y}", "Sur le canal {a}", "La fréquence est {a},{b} @ relais {b}",
-    "La rue des Lilas est fermée", "On attend place du marché", "Le camion {a} attend place de la mairie", "au bout du chemin de terre",
-    "sur le quai numéro deux", "à l'entrée du lotissement", "Appelez le 15, le 18 ou le 112", "Point kilométrique {a} de la d {c}",
-    "Secteur {b} bis", "à {town}", "vers {town}", "Secteur : {town}", "environ {c} mètres", "Équipe {b} sur canal {a}",
-    "deux rues plus loin", "un chemin étroit", "une place libre", "quelqu'un route barrée", "trois places assises",
-    "{h}h{m} reprise", "[00:{m}:{a}] suite", "towards {town} about {c} metres", "etwa {c} Meter weiter", "a unos {c} metros",
-    "la voie numéro {b}", "le quai {b}", "le boulevard est coupé", "monsieur est tombé", "madame respire mal", "le docteur arrive",
-    "docteur nous attend", "Eine alte Frau liegt dort", "eine Frau schreit laut", "una señora cae", "la señora grande grita",
-    "monsieur tousse beaucoup", "madame glisse ici", "le docteur demande un appui", "un monsieur vomit", "une madame pleure",
-    "der Herr schläft", "el señor duerme", "Die Frau hinkt", "monsieur saigne", "a man and miss both", "Herr liegt hier",
-    "prop e. Le chef part", "elle est bless e. La route est coupée", "il va mal\nt. Le médecin est là", "ba s. Le groupe reste",
-    "my name is on the list", "il s'appelle comment", "je m'appelle comment", "contact perdu",
-    "the fire at the roundabout", "il est {h} h {m}. 06 équipes", "bilan {c}/{b0} pouls {a}", "étage {b} porte {a}",
-    "plus de {six} euros", "référence {seven}", "le {h}/{m}/{y}",
+    "{h} h {m}, relève du groupe", "Il fait {a},{b} degrés dehors", "Pression {c}/{b0} mesurée", "Palette {a}-{m} livrée", "Affaire {y}-{six}", "Pompe sn-{a}-{seven}",
+    "Bordereau {y}", "passez canal {a}", "réglage {a},{b} via relais {b}", "La rue {sn} reste bouchée", "rendez-vous place {sn}", "Le bus {a} tourne place {sn}",
+    "au fond du chemin creux", "voyez le quai numéro trois", "devant l'ancien lotissement", "Faites le 17 ou le 115", "borne {a} de la d {c}", "Zone {b} ter",
+    "à {town}", "vers {town}", "Commune : {town}", "à peine {c} mètres", "Binôme {b} sur canal {a}", "cinq rues plus bas", "un chemin boueux", "une place vide",
+    "quelqu'un route fermée", "six places debout", "{h}h{m} départ", "[00:{m}:{a}] fin", "near {town} within {c} metres", "noch {c} Meter bis {town}", "unos {c} metros de {town}",
+    "la voie numéro {b}", "le quai {b}", "le boulevard reste ouvert", "monsieur boite", "madame pleure beaucoup", "le docteur repart", "docteur vient voir",
+    "Eine junge Frau wartet", "eine Frau ruft laut", "una señora espera", "la señora vieja espera", "monsieur a froid", "madame tousse un peu", "le docteur reste joignable",
+    "un monsieur dort", "une madame attend", "der Herr wartet draußen", "el señor espera", "Die Frau zittert", "monsieur transpire", "a miss and a man wait", "Herr wartet dort",
+    "tremp e. Le chef sort", "il est pâl e. La grue arrive", "on y va\nt. Le relais est là", "ga z. Le groupe sort",
+    "my name is missing", "il s'appelle pareil", "je m'appelle pas", "contact rompu", "au nom de tous", "named below",
+    "the flames at the warehouse", "{h} h {m}. 04 lances", "mesures {c}/{b0} puis {a}", "palier {b} porte {a}", "moins de {six} euros", "dossier {seven}", "le {h}/{m}/{y}",
+    "{b} {count} {adj} à {town}", "{a} {count} près du {thing}", "{sp} {count} dans le {thing}", "{sp} {count} de la {thing2}", "il y a {b} {count} du {thing}", "environ {sp} {count} au {thing}",
+    "le {thing} {b} {verb} place {sn}", "la {thing2} {a} {verb} le {thing}", "ligne {b} {verb} au {thing}", "{a} {measure} de {town}", "encore {b} {measure} vers le {thing}",
+    "Der {noun} {verb_de}", "Ein {noun} {verb_de} nach {town}", "Das {noun} Nummer {b}", "Mein {noun} hinter {town}", "Die {noun} bei {town}", "Unser {noun}, Ihr {noun2}",
+    "bis {noun} {town} noch {b} Meter", "die {noun} {noun2} steht", "Drei {noun} {verb_de}",
+    "Der {noun} {verb_de} {noun2} {town}", "der {noun} am {noun2} {town} noch {c} Meter", "Ein {noun} kommt {noun2} {town}", "Die {noun} sperrt uns {noun2} {noun3} {town}", "alles leer {noun} {town} dort",
+    "réglage {a},{b} @ pylône {b}", "niveau {b} @ borne", "waiting at the corner", "he stays at a bridge", "a boy sits at our gate", "smoke at {town}", "she fell at the {thing}",
+    "Le {thing} {town}", "La {thing2} Neuve", "Trois Le", "Du Stade {town}", "Centre de Secours", "{shout}", "{shout}", "{shout}", "{shout}", "{shout}", "{shout}",
+    "Un {thing} d'{noun} {verb} la {thing2}", "une {thing2} d'acier {verb} tout", "Le {thing} neuf d'acier", "{sp} {count} d'un coup",
+    "Le {thing} neuf {verb} le {thing2} vide", "la {thing2} neuve {verb} l'{thing} neuf", "un {thing} neuf {verb} l'ancien {thing}", "le {thing} {b} {verb} la {thing2} rouge",
+    "die {noun} {noun2} {town} etwas weiter", "Das {noun} {verb_de} die {noun2} {town}", "wir sehen den {noun} {noun2} {town}", "ein {noun} {verb_de} {noun2} {town} im {noun3}",
 )
+_COUNTS = "camions blessés étages portes lances chevaux tentes sacs caisses voitures moutons élèves maisons wagons seaux pneus".split()
+_THINGS = "tracteur portique hangar talus garage bassin pont préfabriqué moulin gymnase".split()
+_THINGS_F = "caserne grange ferme cour digue barrière citerne remorque halle borne".split()
+_SHOUTED = "LE LA UN UNE DES DANS SOUS VERS GARAGE TALUS PONT ROUGE CASSÉ TOMBE GRANGE FERME DERRIÈRE PRÈS SANS OUVRE CITERNE HALLE FROIDE".split()
+
+_FRAMES = {
+    "email": ("le courriel reste {}", "répondez sur {} avant midi", "mon adresse est {}", "joindre {} pour la suite", "{} quand c'est fini", "mettez {} en copie", "tout est parti chez {} hier", "please mail {}", "le rapport va à {}", "schreib an {}", "es {} para escribir"),
+    "phone": ("Composez le {}", "tél. {}", "ou alors {} svp", "on me trouve au {} la journée", "le {} sonne occupé", "son numéro : {}", "ring me on {}", "notez le {}", "appelez {}", "{} dès que possible", "Telefon {}", "llame al {}"),
+    "id_number": ("Sécurité sociale {}", "carte nationale {}", "l'attestation porte {}", "immatriculé {} au fichier", "voici {}", "le passeport dit {} dessus", "{} pour le formulaire", "My passport reads {}", "Ausweis {}", "numéro d'assuré {}"),
+    "address": ("Je loge {}", "ça se passe au {} derrière l'école", "domicile : {}", "venez vite {}", "{} côté cour", "on part du {}", "allez au {}", "The house is {}", "Wir wohnen {}", "il attend {}", "livraison {} demain", "Adresse {}"),
+    "name": ("Moi c'est {}", "mon voisin s'appelle {}", "ici {} à l'écoute", "cherchez {} s'il vous plaît", "{} reste en bas", "réservé au nom de {}", "la gardienne monte avec {} à l'étage", "regardez ici, {}", "signé {}", "{} a froid", "Her name is {}", "Er heißt {}", "{} ne bouge pas", "demandez {}", "hier {} a téléphoné", "selon {}, rien", "me llamo {}", "Bonsoir, {} au téléphone", "on a vu {} ce soir", "{} et moi", "remis à {} par le chef", "the caller was {}", "Gestern kam {} zu uns"),
+}
+
+
+#: How often a kind is drawn against twice for the others: names and addresses are the harder ones.
+_WEIGHT = {"address": 4, "name": 6}
 
 
 class _Maker:
@@ -64,27 +88,40 @@ class _Maker:
 
     def surname(self) -> str:
         r = self.r
-        s = "".join(r.choice("b br c ch d f g gr j l m n p pr qu r s t tr v".split()) + r.choice("a e i o u ai ou an on eu".split()) for _ in range(r.randint(1, 3)))
-        s = (s + r.choice(("", "r", "l", "t", "n", "x", "rd", "lin", "let", "zac", "rel", "nier", "ssac"))).capitalize()
-        return s if len(s) > 3 else s + "rin"
+        x = r.random()
+        if x < 0.6:
+            s = "".join(r.choice("b br c ch d f g gr j l m n p pr qu r s t tr v".split()) + r.choice("a e i o u ai ou an on eu".split()) for _ in range(r.randint(1, 3)))
+            s += r.choice(("", "r", "l", "t", "n", "x", "rd", "lin", "let", "zac", "rel", "nier", "ssac"))
+        elif x < 0.8:
+            s = "".join(r.choice("k w z sz cz j m n r l st b g h".split()) + r.choice("a e i o u ie y".split()) for _ in range(r.randint(1, 3))) + r.choice(("ski", "k", "mann", "er", "sen", "son", "wicz", "sch", "ler"))
+        else:
+            s = "".join(r.choice("d n k b t y m s g l nd mb ng".split()) + r.choice("a o i u e é ou".split()) for _ in range(r.randint(2, 3)))
+        return s.capitalize() if len(s) > 3 else s.capitalize() + "rin"
+
+    def given(self) -> str:
+        """A given name; more than half are in no list."""
+        r = self.r
+        if r.random() < 0.45:
+            return r.choice(sorted(GIVEN)).capitalize()
+        s = "".join(r.choice("b c d f g h j k l m n p r s t v w y z th ch sh".split()) + r.choice("a e i o u é ï ie ou".split()) for _ in range(r.randint(1, 3)))
+        return (s + r.choice(("", "", "n", "l", "r", "s", "d", "line", "na", "tte", "ric", "mir", "ndra"))).capitalize() if len(s) > 2 else (s + "line").capitalize()
 
     def town(self) -> str:
-        return self.surname()[:9] + self.r.choice(("ville", "court", "ac", "ens", "mont", "olles"))
+        return self.surname()[:9] + self.r.choice(("ville", "court", "ac", "ens", "mont", "olles", "", "burg", "ey"))
 
     def digits(self, n: int) -> str:
         return "".join(self.r.choice("0123456789") for _ in range(n))
 
     def name(self) -> str:
-        r, given = self.r, self.r.choice(sorted(GIVEN))
-        given = r.choice(({"zoe": "Zoé", "leon": "Léon", "noe": "Noé"}.get(given, given.capitalize()), given.capitalize()))
-        if r.random() < 0.08:
-            given += "-" + r.choice(("Luc", "Marie", "Pierre", "Noëlle"))
+        r, given = self.r, self.given()
+        if r.random() < 0.1:
+            given += "-" + r.choice((self.given(), "Marie", "Pierre", "Luc"))
         sur = self.surname() + ("-" + self.surname() if r.random() < 0.15 else "")
-        title = r.choice(("M.", "Monsieur", "Madame", "Mme", "docteur", "Mlle", "Mr", "Dr"))
+        title = r.choice(("M.", "Monsieur", "Madame", "Mme", "docteur", "Mlle", "Mr", "Dr", "maître", "Herr", "Frau"))
         part = r.choice(_PARTS)
         return r.choice((
             f"{given} {part}{sur}", f"{given} {part}{sur}", f"{given} {sur}", f"{title} {part}{sur}", f"{title} {given} {sur}",
-            f"{sur.upper()} {given}", f"{sur.upper()} {given}", f"{given[0]}. {sur}", f"{given} {sur}", f"{given.upper()} {sur.upper()}",
+            f"{sur.upper()} {given}", f"{sur.upper()} {given}", f"{given[0]}. {sur}", f"{given} {sur}", f"{given} {sur.upper()}", f"{given.upper()} {sur.upper()}", f"{given} {self.given()} {sur}",
         ))
 
     def gap(self) -> str:
@@ -94,7 +131,7 @@ class _Maker:
         r = self.r
         kind, d = r.choice("1 2 3 4 5 6 7 9".split()), self.digits(8)
         pairs = [d[i : i + 2] for i in range(0, 8, 2)]
-        if r.random() < 0.16:
+        if r.random() < 0.24:
             words = ["zéro " + spelled(int(kind))]
             for x in pairs:
                 words.append("zéro " + spelled(int(x[1])) if x[0] == "0" else spelled(int(x)))
@@ -123,15 +160,20 @@ class _Maker:
         sep = r.choice((" ", ".", "", ""))
         return r.choice((sep.join([*body, key]), "".join(body) + " " + key, sep.join([*body, key])))
 
+    def street_name(self) -> str:
+        r = self.r
+        return r.choice(_STREET_NAMES) if r.random() < 0.5 else "des " + r.choice(("", "Petits ", "Grands ", "Vieux ")) + self.surname() + "s"
+
     def address(self) -> str:
         r = self.r
-        kind, name = r.choice(_STREET_KINDS), r.choice(_STREET_NAMES)
-        if r.random() < 0.4:
-            name = "des " + r.choice(("", "Petits ", "Grands ", "Vieux ")) + self.surname() + "s"
+        kind, name = r.choice(_STREET_KINDS if r.random() < 0.6 else _RARE_KINDS), self.street_name()
+        if kind not in _STREET_KINDS and r.random() < 0.5:
+            kind = self.surname().lower().rstrip("sx")  # a local word
+            kind = kind if len(kind) > 2 else "venteau"
         suffix = r.choice(("", "", "", "", " bis", " ter", "B", "A"))
         number = f"{r.randint(1, 250)}{suffix}"
         town = f", {r.randint(10, 95)}{self.digits(3)} {self.town()}" if r.random() < 0.3 else ""
-        if r.random() < 0.2:
+        if kind in _STREET_KINDS and r.random() < 0.2:
             return f"{kind} {name} numéro {number}{town}"
         if r.random() < 0.25:
             return f"{spelled(r.randint(1, 99))} {kind} {name}{town}"
@@ -149,30 +191,29 @@ class _Maker:
         at = r.choice(("@", "@", "@", " @ ", "(at)", " (arobase) ", " [at] ", " arobase "))
         return f"{local}{at}{domain}.{end}"
 
-    _FRAMES = {
-        "email": ("Écrivez à {} pour le compte rendu", "mon adresse mail c'est {}", "le contact est {} si besoin", "{} si ça coupe", "copie envoyée à {}", "les photos sont chez {} ce matin", "write to {}", "bilan pour {}"),
-        "phone": ("Rappelez-moi au {}", "tel {}", "sinon {} merci", "joignable au {} le soir", "le {} est sur répondeur", "mon numéro c'est le {}", "call me back on {}", "gardez le {}", "contact {}", "{} ce matin"),
-        "id_number": ("Numéro de sécu {}", "pièce d'identité numéro {}", "sa carte vitale indique {}", "assuré {} selon le dossier", "c'est noté {}", "sur la carte je lis {} à l'instant", "{} pour la prise en charge", "His identity number is {}"),
-        "address": ("J'habite {}", "c'est au {} juste après le feu", "adresse relevée : {}", "envoyez quelqu'un {}", "{} par la fenêtre", "le départ se fait du {}", "jusqu'au {}", "We are at {}", "Ich wohne {}", "il tombe {}"),
-        "name": ("Je m'appelle {}", "la victime s'appelle {}", "c'est {} à l'appareil", "prévenez {} tout de suite", "{} nous attend dehors", "dossier au nom de {}", "le chef attend avec {} dans la cour", "posez la main là, {}", "dit {}", "{} a mal au dos", "My name is {}", "Ich heiße {}", "{} ne répond plus"),
-    }
+    def _trap(self) -> str:
+        r = self.r
+        return r.choice(_TRAPS).format(
+            h=f"{r.randint(0, 23):02d}", m=f"{r.randint(0, 59):02d}", a=r.randint(10, 99), b=r.randint(1, 9), b0=f"{r.randint(5, 12)}0", c=r.randint(100, 400), y=r.randint(1000, 9999),
+            six=self.digits(6), seven=self.digits(7), town=self.town(), sn=self.street_name(), sp=spelled(r.randint(2, 40)), count=r.choice(_COUNTS), adj=r.choice(("neufs", "vides", "rouges", "perdus")),
+            thing=r.choice(_THINGS), thing2=r.choice(_THINGS_F), verb=r.choice(("attend", "quitte", "longe", "traverse", "rejoint")), measure=r.choice(("mètres", "minutes", "km", "heures", "kilomètres")),
+            noun=r.choice(_NOUNS), noun2=r.choice(_NOUNS), noun3=r.choice(_NOUNS), verb_de=r.choice(("brennt", "fehlt", "steht offen", "kommt gleich", "ist nass")),
+            shout=" ".join(r.choice(_SHOUTED) if r.random() < 0.65 else r.choice(("", "L'")) + self.surname().upper() for _ in range(r.randint(2, 11))),
+        )
 
     def sentence(self) -> tuple[str, list[tuple[int, int, str]]]:
-        r = self.r
+        r, frames = self.r, _FRAMES
         parts: list[tuple[str, list]] = []
         for _ in range(r.randint(1, 4)):
             x = r.random()
             if x < 0.5:
-                kind = r.choice(tuple(self._FRAMES))
+                kind = r.choice([k for k in frames for _ in range(_WEIGHT.get(k, 2))])
                 value = {"email": self.email, "phone": self.phone, "id_number": self.identity, "address": self.address, "name": self.name}[kind]()
-                frame = r.choice(self._FRAMES[kind])
+                frame = r.choice(frames[kind])
                 at = frame.index("{}")
                 parts.append((frame.replace("{}", value), [(at, at + len(value), kind)]))
-            elif x < 0.8:
-                f = {"h": f"{r.randint(0, 23):02d}", "m": f"{r.randint(0, 59):02d}", "a": str(r.randint(10, 99)), "b": str(r.randint(1, 9)), "b0": str(r.randint(5, 12)) + "0", "c": str(r.randint(100, 400)), "y": str(r.randint(1000, 9999)), "six": self.digits(6), "seven": self.digits(7), "town": self.town()}
-                parts.append((r.choice(_TRAPS).format(**f), []))
             else:
-                parts.append((r.choice(_CALM), []))
+                parts.append((self._trap() if x < 0.85 else r.choice(_CALM), []))
         text, spans = "", []
         mode = r.random()
         for s, found in parts:

@@ -1,4 +1,4 @@
-import collections
+import random
 import unicodedata
 
 import numpy as np
@@ -6,9 +6,9 @@ import pytest
 from conftest import rows
 
 from parolis.llm.boosting import BoostedTrees, platt
-from parolis.llm.personal import KINDS
+from parolis.llm.personal import GIVEN, KINDS, STREETS
 from parolis.llm.redaction import personal_values, redact_text, redact_words, redacted, trained
-from parolis.llm.synthetic import labelled
+from parolis.llm.synthetic import _FRAMES, labelled
 
 
 def test_trees_learn_an_interaction():
@@ -22,17 +22,17 @@ def test_trees_learn_an_interaction():
     assert a > 0 and np.isfinite(b)
 
 
-def test_held_out_accuracy():
-    test = labelled(800, seed=2024)
+@pytest.mark.parametrize(("capitals", "name_recall"), [(True, 0.95), (False, 0.6)])
+def test_held_out_spans(capitals, name_recall):
+    """Overlap by more than half with the true span. Without capitals names outside the list need a title or a phrase."""
+    test = [(t, s) for t, s in labelled(2000, seed=2024) if (t not in (t.lower(), t.upper())) == capitals]
     found = trained().find([t for t, _ in test])
-    n = collections.Counter()
-    for (_, truth), got in zip(test, found):
-        for k in KINDS:
-            a, b = sum(x[2] == k for x in truth), sum(x[2] == k for x in got)
-            n[k, "hit"] += min(a, b)
-            n[k, "wrong"] += abs(a - b)
+    over = lambda a, b: 2 * (min(a[1], b[1]) - max(a[0], b[0])) > max(a[1] - a[0], b[1] - b[0])
     for k in KINDS:
-        assert n[k, "hit"] / (n[k, "hit"] + n[k, "wrong"]) > 0.95, (k, n)
+        pairs = [([x for x in s if x[2] == k], [x for x in f if x[2] == k]) for (_, s), f in zip(test, found)]
+        recall = sum(any(over(x, y) for y in f) for s, f in pairs for x in s) / sum(len(s) for s, _ in pairs)
+        precision = sum(any(over(x, y) for x in s) for s, f in pairs for y in f) / sum(len(f) for _, f in pairs)
+        assert recall > (name_recall if k == "name" else 0.93) and precision > 0.9, (k, recall, precision)
 
 
 @pytest.mark.parametrize(
@@ -104,3 +104,82 @@ def test_operator(spark):
     got = rows(redacted(df), "origin", "row_id", "text", "words", "n_values")
     assert len(got) == 5 and ("d", 2, None, [None], 0) in got and ("d", 1, "[NAME]", None, 1) in got
     assert personal_values(df.limit(0)).count() == 0
+
+
+#: Given names, surnames and kinds of streets that stand in no list of the library.
+FOREIGN = """Ousmane Priscilla Zbigniew Wendy Hippolyte Karin Solveig Aïssatou Fatoumata Agnieszka Akira Alejandra Amadou Amandine Anouk Ansel Apolline Arnaud Astrid
+Awa Ayoub Azadeh Babacar Barbara Beatriz Bilal Birgit Bogdan Bertrand Bouchra Brahim Candice Cassandra Celestino Cheikh Chiara Ciara Clarisse Clotilde Cosima Cyprien
+Dagmar Damien Danuta Deborah Delphine Demba Desmond Dorothée Driss Edouard Ekaterina Elvire Emeline Esteban Eulalie Evelyne Ewa Fanny Faustine Ferdinand Fiona Flavien
+Francesca Fredrik Gaspard Geneviève Ghislaine Giorgio Gisèle Grzegorz Guilhem Gunnar Gwenaëlle Habib Hadrien Hakim Halima Hannelore Hatice Hedwige Heinrich Hermine Hideo
+Honorine Hortense Huseyin Iker Ilhan Imane Ingrid Ioana Irena Isaure Ismaël Ivana Jacinthe Jadwiga Javier Jérémie Joachim Joséphine Jovana Jutta Kaitlyn Kamel Katarzyna
+Kenza Khalil Kilian Klaus Krystyna Lamine Lars Laurence Leopold Ligia Lindsay Liselotte Loïc Lorenzo Lubomir Lucien Ludmila Luigi Maddalena Magali Maïssa Mamadou Marcel
+Mariam Marjorie Marwan Maud Maximilien Melchior Mercedes Milena Mirko Modibo Moncef Nabil Nadège Nasser Natacha Neven Nils Noureddine Octave Olga Ondine Orlando Ottavia
+Paola Patrice Pavel Perrine Petra Piotr Prune Rafał Raoul Rashid Régine Reinhard Rokhaya Rosalie Roxane Rüdiger Salif Salvatore Sandor Segolene Sigrid Siham Sixtine Slimane
+Stanislas Svetlana Tamara Tanguy Tatiana Thaddée Thibault Tiphaine Ulrike Ursule Valentine Vasco Vianney Viviane Vladimir Waldemar Wassila Wilfried Wolfgang Xiomara Yamina
+Yohann Youssef Ysaline Yuki Zacharie Zeynep Zinedine""".split()
+SURNAMES = "Traoré Nguyen Nowak Lefèvre Durand Schmidt Andersen Diallo Camara Vasseur Okonkwo Benali Marchetti Kovács Delacroix Svensson Haddad Ferreira Petrov Yılmaz O'Brien Castaing Wójcik Roussel".split()
+RARE_STREETS = """clos montée voie mail sente traboule côte coursive galerie pont domaine enclos carrefour rond-point zone corniche digue levée passerelle
+jardin balcon castel métairie closerie vallon plaine chaume aire belvédère barrage port berge""".split()
+CONTEXTS = {
+    "name": ("Hier soir {} est venu chercher ses clés.", "Le dossier revient à {} pour examen.", "Nous avons croisé {} sur le parking.", "{} souhaite une attestation.", "Merci de rappeler {} dès demain.",
+             "Je parle bien à {} ?", "Ce courrier, {} ne l'a jamais reçu.", "Sa tante {} habite loin.", "Il faudrait que {} revienne.", "Ses parents, {} et sa femme, arrivent."),
+    "address": ("Livrez le colis {} avant lundi.", "Elle vit désormais {} avec sa sœur.", "Rendez-vous {} à midi.", "Le sinistre a eu lieu {}.", "Nos bureaux sont {}.", "On l'a trouvé {} hier."),
+}
+
+
+PLAIN = [
+    "La voiture 12 attend devant la gare de Bordeaux.", "Il reste 4 places de parking.", "Trois agents de la ville passent demain.", "Le Conseil se réunit à Toulouse.", "Vers Saint-Jean, la route est libre.",
+    "Der Bus fährt heute nicht nach Köln.", "Die Polizei sucht einen Zeugen.", "Comptez 15 minutes de marche.", "LE TRAIN EST EN RETARD.", "Bonjour, je rappelle plus tard.", "The train leaves at noon.", "Canal 7 puis canal 12.",
+]
+
+
+def unlisted(seed=4):
+    r = random.Random(seed)
+    streets = ("des Lilas", "de la Forge", "du Prieuré", "des Alouettes", "Romaine", "Jules Ferry", "des Trois Fontaines", "de l'Horloge")
+    out = []
+    for given in FOREIGN:
+        frame, value = r.choice(CONTEXTS["name"]), f"{given} {r.choice(SURNAMES)}"
+        out.append((frame.format(value), frame.index("{}"), value, "name"))
+    for kind in RARE_STREETS * 4:
+        frame, value = r.choice(CONTEXTS["address"]), f"{r.randint(1, 120)}{r.choice(('', '', ' bis'))} {kind} {r.choice(streets)}{r.choice(('', ', 64200 Ustaritz'))}"
+        out.append((frame.format(value), frame.index("{}"), value, "address"))
+    out += [(t, 0, "", "none") for t in PLAIN for _ in range(3)]
+    return out
+
+
+def test_values_that_stand_in_no_list():
+    fold = lambda w: unicodedata.normalize("NFD", w.lower()).encode("ascii", "ignore").decode()
+    names = [g for g in FOREIGN if fold(g) not in GIVEN]
+    assert len(set(names)) >= 200 and len([s for s in RARE_STREETS if fold(s) not in STREETS]) >= 30
+    assert not any(f.split("{}")[0].strip() and f.split("{}")[0] in g for k, fs in CONTEXTS.items() for f in fs for g in _FRAMES[k])
+    cases = [c for c in unlisted() if not c[2] or fold(c[2].split()[0]) not in GIVEN]
+    found = trained().find([t for t, *_ in cases])
+    for kind in ("name", "address"):
+        hit = said = truth = 0
+        for (_, at, value, k), spans in zip(cases, found):
+            over = [k == kind and 2 * (min(z, at + len(value)) - max(a, at)) > max(z - a, len(value)) for a, z, x in spans if x == kind]
+            truth, said, hit = truth + (k == kind), said + len(over), hit + any(over)
+        assert hit >= 0.9 * truth and hit >= 0.9 * said, (kind, hit, truth, said)
+
+
+def test_names_behind_titles_and_phrases_are_redacted_whole():
+    r = trained()
+    for text in ("Je m'appelle Aïssatou Diallo.", "Mme Fatoumata Camara attend.", "je m'appelle ousmane traoré"):
+        spans = r.find([text])[0]
+        assert [k for _, _, k in spans] == ["name"] and not {"Diallo", "Camara", "traoré"} & set(redact_text(text, spans).strip(".").split())
+
+
+def test_long_street_names_and_local_parts():
+    r = trained()
+    street = "12 rue du Maréchal de Lattre de Tassigny"
+    assert [(a, z) for a, z, k in r.find([street])[0] if k == "address"] == [(0, len(street))]
+    mail = "x" * 40 + ".y" * 40 + "@poste.fr"
+    assert r.find(["Contact " + mail])[0] == [(8, 8 + len(mail), "email")]
+
+
+def test_no_word_of_a_value_stays():
+    text = "C'est au boulevard des Ormes numéro 39, dossier numéro quatre."
+    spans = trained().find([text])[0]
+    got = redact_words(text, spans, text.replace(",", "").strip(".").split())
+    assert not {"Ormes", "39"} & set(got) and got[-3:] == ["dossier", "numéro", "quatre"]
+    assert redact_words("au 06 ou 0639981234", [(9, 19, "phone")], ["au", "06", "ou", "0639981234"]) == ["au", "06", "ou", "[PHONE]"]
