@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from conftest import rows
 from hypothesis import given, settings
@@ -51,6 +52,40 @@ def test_threshold_is_a_lower_bound_and_long_texts():
     assert Bm25Index([], 12).search(["a b c"]) == [] and Bm25Index([(1, "a b")], 12).search(["a b c"]) == []
 
 
+def test_retrieval_equals_full_scoring_and_reads_few_postings():
+    r = random.Random(3)
+    vocab = [f"common{i % 25}" for i in range(4000)] + [f"rare{i}" for i in range(4000)]
+    index = Bm25Index([(i, " ".join(r.choices(vocab, k=r.randint(12, 40)))) for i in range(3000)], 12)
+    full = np.zeros((len(index.first) - 1, len(index.item_ids)))
+    full[index.key // index.size, index.item] = index.impact
+    passages = [[int(w) for w in r.choice(index.words)[:30]] for _ in range(60)] + [r.choices(range(len(full)), k=r.randint(12, 64)) for _ in range(200)]
+    want = {(p, i) for p, w in enumerate(passages) for i in np.flatnonzero(full[sorted(set(w))].sum(axis=0) >= 0.999)}
+    got = index.retrieve(passages)
+    assert len(got) == len(set(got)) and set(got) == want and len(want) >= 60
+    assert index.read < 0.2 * index.queried
+
+
+@pytest.mark.parametrize("shard_items", [700, 16_384])
+def test_many_items_in_one_scan(spark, shard_items):
+    r = random.Random(4)
+    vocab = [f"m{i}" for i in range(5000)]
+    items = [(i, " ".join(r.choices(vocab, k=15)), 0) for i in range(5000)]
+    docs = [(d, " ".join(r.choices(vocab, k=40) + items[d][1].split()[:13] + r.choices(vocab, k=40)), "z") for d in range(300)]
+    out = leaked_items(spark.createDataFrame(docs, DOCS).repartition(3), spark.createDataFrame(items, ITEMS), shard_items=shard_items)
+    assert set(rows(out)) == {(d, d) for d in range(300)} and out.count() == 300
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Union" not in plan
+
+
+def test_answers(spark):
+    question = "one two three four five six seven eight nine ten eleven twelve"
+    items = [(1, question, "blue green"), (2, question + " more", None), (3, question + " less", "")]
+    items = spark.createDataFrame(items, "item_id bigint, q string, a string")
+    docs = spark.createDataFrame([(1, "well " + question + " is green", "z"), (2, question.upper() + ": blue, green!", "z"), (3, "blue green", "z")], DOCS)
+    got = {(x.doc_id, x.item_id): x.answer_share for x in leaked_items(docs, items, item_text="q", answer="a").collect()}
+    assert got == {(1, 1): 0.5, (1, 2): None, (1, 3): None, (2, 1): 1.0, (2, 2): None, (2, 3): None}
+
+
 def test_no_leaks_in_empty_tables(spark):
     d, i = spark.createDataFrame([], DOCS), spark.createDataFrame([], ITEMS)
     assert leaked_items(d, i).count() == 0
