@@ -1,24 +1,29 @@
-"""Navigable small-world graph of one shard, as flat neighbour arrays, built and searched in batches on numpy.
-
-Two levels. The upper level is a cover: a vector joins it when nothing in it is as similar as ``COVER``, so that every
-dense region has an entry of its own (levels drawn at random, as usual, would leave small regions without one); it is
-scanned in one matrix product a batch. The base level holds all vectors with up to ``DEGREE`` neighbours each, in two
-arrays (ids and similarities). Searches of a batch run in lockstep: every step expands the best unexpanded candidates of
-each query at once. Navigation uses a fixed orthogonal projection to fewer dimensions; the candidates a search ends with
-are compared in full and in double precision. Inside one region of very many vectors a walk misses neighbours, whatever
-its entry; vectors of such regions are compared with all others in matrix products instead.
+"""Hierarchical navigable small-world graph of one shard, as flat neighbour arrays, built and searched in batches on numpy.
+
+Every vector draws a level; level ``l`` holds those that drew ``l`` or more, each with up to ``DEGREE`` neighbours of that
+level in two arrays (ids and similarities). A search begins at all vectors of the highest level and descends: on each
+level it walks to the best vectors it can reach, which are its entries one level below. A vector that finds nothing as
+similar as ``COVER`` on level 1 is raised to it, so that every dense region, however small, can be entered (levels drawn
+at random alone leave small regions far from all others without an entry). Searches of a batch run in lockstep: every
+step expands the best unexpanded candidates of each query at once. The candidates a search ends with are compared in
+full and in double precision; the walk itself goes by a fixed orthogonal projection to fewer dimensions. Inside one region of very many vectors a walk misses neighbours, whatever its entry;
+vectors of such regions are compared with all others in matrix products instead.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 #: Neighbours a vector keeps, neighbours it asks for when inserted, similarity of the cover.
-DEGREE, LINKS, COVER = 24, 12, 0.5
-#: Candidates that a search keeps at the end and while the graph is built.
-BREADTH, BUILD_BREADTH = 40, 24
+DEGREE, LINKS, COVER = 16, 8, 0.5
+#: One vector in so many reaches the next level; a level of so few is the highest.
+RATIO, SUMMIT = 16, 48
+#: Candidates that a search keeps at the end, while the graph is built, and on the levels above the base.
+BREADTH, BUILD_BREADTH, UPPER_BREADTH = 32, 16, 16
 #: Dimensions of the projection, batch of insertions and searches, candidates expanded a step.
-PROJECTED, BATCH, BEAM = 192, 512, 4
+PROJECTED, BATCH, BEAM = 96, 512, 4
 
 #: Vectors under one entry of the cover from which on the region is dense.
 DENSE = 700
@@ -58,15 +63,21 @@ class Graph:
         #: How far a navigation similarity may lie below the true one.
         self.slack = 1e-3 if self.basis is None else 0.35
         self.flat = self._project(unit)
-        self.links = np.full((n, DEGREE), -1, dtype=np.int32)
-        self.sims = np.full((n, DEGREE), _NONE, dtype=np.float32)
-        self.upper = np.empty(0, dtype=np.int32)
+        #: Level of each vector (-1: not yet inserted) and neighbour arrays of each level, base first.
+        self.level = np.full(n, -1, dtype=np.int8)
+        self.height = 1
+        while n > SUMMIT * RATIO**self.height:
+            self.height += 1
+        self.links = [np.full((n, DEGREE), -1, dtype=np.int32) for _ in range(self.height + 1)]
+        self.sims = [np.full((n, DEGREE), _NONE, dtype=np.float32) for _ in range(self.height + 1)]
+        drawn = np.minimum((-np.log(rng.random(n)) / np.log(RATIO)).astype(np.int8), self.height)
+        self.summit = np.empty(0, dtype=np.int32)
         self._seen = np.zeros((BATCH, n), dtype=bool)
         order = rng.permutation(n).astype(np.int32)
         at = 0
         while at < n:
             size = min(BATCH, max(64, at // 2), n - at)
-            self._insert(order[at : at + size])
+            self._insert(order[at : at + size], drawn[order[at : at + size]])
             at += size
         del self._seen
 
@@ -77,14 +88,22 @@ class Graph:
             flat /= np.maximum(np.linalg.norm(flat, axis=1, keepdims=True), 1e-9)
         return np.ascontiguousarray(flat)
 
-    def _entries(self, q: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
-        s = q @ self.flat[self.upper].T
+    def _nearest_of(self, q: np.ndarray, ids: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+        s = q @ self.flat[ids].T
         k = min(count, s.shape[1])
         at = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < s.shape[1] else np.broadcast_to(np.arange(k), s.shape)
-        return self.upper[at], np.take_along_axis(s, at, 1)
+        return ids[at], np.take_along_axis(s, at, 1)
+
+    def _entries(self, q: np.ndarray, seen: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Level, ids and similarities found on the levels above the base, downwards."""
+        ids, sims = self._nearest_of(q, self.summit, 8)
+        for level in range(self.height, 0, -1):
+            ids, sims = self._search(q, ids, sims, seen, UPPER_BREADTH, level)
+            seen[: len(q)] = False
+            yield level, ids, sims
 
-    def _search(self, q: np.ndarray, ids: np.ndarray, sims: np.ndarray, seen: np.ndarray, breadth: int) -> tuple:
-        """Best ``breadth`` base-level candidates of each row of ``q`` from the given entries."""
+    def _search(self, q: np.ndarray, ids: np.ndarray, sims: np.ndarray, seen: np.ndarray, breadth: int, level: int = 0) -> tuple:
+        """Best ``breadth`` candidates of one level for each row of ``q`` from the given entries."""
         b = len(q)
         rows = np.arange(b)[:, None]
         seen[rows, ids] = True
@@ -102,7 +121,7 @@ class Graph:
             if not len(live):
                 break
             done[live[:, None], pick] = True
-            nxt = self.links[ids[live[:, None], pick]]
+            nxt = self.links[level][ids[live[:, None], pick]]
             nxt[value == _NONE] = -1
             nxt = np.sort(nxt.reshape(len(live), -1), axis=1)
             nxt[:, 1:][nxt[:, 1:] == nxt[:, :-1]] = -1  # reached from two sides at once
@@ -122,25 +141,38 @@ class Graph:
             done[live] = np.take_along_axis(all_done, keep, 1)
         return ids, sims
 
-    def _insert(self, new: np.ndarray) -> None:
+    def _insert(self, new: np.ndarray, drawn: np.ndarray) -> None:
         q = self.flat[new]
-        b = len(new)
         among = q @ q.T
         np.fill_diagonal(among, _NONE)
-        best = np.full(b, -1.0, dtype=np.float32)
-        ids, sims = np.empty((b, 0), np.int32), np.empty((b, 0), np.float32)
-        if len(self.upper):
-            ids, sims = self._entries(q, 8)
+        found: dict[int, tuple] = {}
+        best = np.full(len(new), -1.0, dtype=np.float32)
+        if len(self.summit):
+            for level, ids, sims in self._entries(q, self._seen):
+                found[level] = ids, sims
             best = sims.max(axis=1)
-            ids, sims = self._search(q, ids, sims, self._seen, BUILD_BREADTH)
-            self._seen[:b] = False
-        # the cover grows by the vectors of the batch that nothing in it resembles
-        joined: list[int] = []
-        for i in np.flatnonzero(best < COVER):
+            found[0] = self._search(q, ids[:, :8], sims[:, :8], self._seen, BUILD_BREADTH)
+            self._seen[: len(new)] = False
+        # raised to level 1: what nothing there resembles
+        joined: list[int] = np.flatnonzero(drawn > 0).tolist()
+        for i in np.flatnonzero((best < COVER) & (drawn == 0)):
             if not joined or among[i, joined].max() < COVER:
                 joined.append(i)
-        self.upper = np.concatenate([self.upper, new[joined]])
-        # candidates: what the search found and the batch itself
+                drawn[i] = 1
+        self.level[new] = drawn
+        for level in range(min(self.height, int(drawn.max())) + 1):
+            mine = np.flatnonzero(drawn >= level)
+            self._attach(new[mine], among[np.ix_(mine, mine)], *(x[mine] for x in found[level]) if level in found else (), level=level)
+        high = self.height
+        while high > 1 and not (self.level == high).any():
+            high -= 1
+        top = np.flatnonzero(self.level >= high).astype(np.int32)
+        self.summit = top if len(top) else new[:1]
+
+    def _attach(self, new: np.ndarray, among: np.ndarray, *found: np.ndarray, level: int) -> None:
+        """Links vectors on a level to what their search found there and to each other."""
+        b = len(new)
+        ids, sims = found if found else (np.empty((b, 0), np.int32), np.empty((b, 0), np.float32))
         k = min(LINKS, b - 1)
         if k > 0:
             at = np.argpartition(-among, k - 1, axis=1)[:, :k]
@@ -154,9 +186,10 @@ class Graph:
         src = np.repeat(new, k)
         ok = how > _NONE
         src, to, how = src[ok], to[ok], how[ok]
-        self._link(np.concatenate([src, to]), np.concatenate([to, src]), np.concatenate([how, how]))
+        if len(src):
+            self._link(level, np.concatenate([src, to]), np.concatenate([to, src]), np.concatenate([how, how]))
 
-    def _link(self, of: np.ndarray, to: np.ndarray, how: np.ndarray) -> None:
+    def _link(self, level: int, of: np.ndarray, to: np.ndarray, how: np.ndarray) -> None:
         """Adds neighbours; a full list keeps its most similar ones."""
         order = np.lexsort((to, -how, of))
         of, to, how = of[order], to[order], how[order]
@@ -171,11 +204,11 @@ class Graph:
         width = int(rank.max()) + 1
         ids = np.full((len(target), DEGREE + width), -1, dtype=np.int32)
         sims = np.full((len(target), DEGREE + width), _NONE, dtype=np.float32)
-        ids[:, :DEGREE], sims[:, :DEGREE] = self.links[target], self.sims[target]
+        ids[:, :DEGREE], sims[:, :DEGREE] = self.links[level][target], self.sims[level][target]
         ids[group, DEGREE + rank], sims[group, DEGREE + rank] = to, how
         keep = np.argpartition(-sims, DEGREE - 1, axis=1)[:, :DEGREE]
-        self.links[target] = np.take_along_axis(ids, keep, 1)
-        self.sims[target] = np.take_along_axis(sims, keep, 1)
+        self.links[level][target] = np.take_along_axis(ids, keep, 1)
+        self.sims[level][target] = np.take_along_axis(sims, keep, 1)
 
     def neighbours(self, k: int, least: float, decimals: int = 6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For every vector its ``k`` most similar others with rounded cosine >= ``least``, as (from, to, cosine).
@@ -195,8 +228,8 @@ class Graph:
             out.append((me[row], to, cos))
         for a in range(0, len(rest), BATCH):
             me = rest[a : a + BATCH]
-            start = np.concatenate([me[:, None], self.links[me]], axis=1)
-            sims = np.concatenate([np.ones((len(me), 1), np.float32), self.sims[me]], axis=1)
+            start = np.concatenate([me[:, None], self.links[0][me]], axis=1)
+            sims = np.concatenate([np.ones((len(me), 1), np.float32), self.sims[0][me]], axis=1)
             start = np.where(start < 0, me[:, None], start)
             ids, sims = self._search(self.flat[me], start, sims, seen, BREADTH)
             seen[: len(me)] = False
@@ -211,17 +244,29 @@ class Graph:
         flat, out = self._project(unit), []
         for a in range(0, len(unit), BATCH):
             q = flat[a : a + BATCH]
-            ids, sims = self._search(q, *self._entries(q, 8), seen, BREADTH)
+            for _, ids, sims in self._entries(q, seen):
+                pass
+            ids, sims = self._search(q, ids, sims, seen, BREADTH)
             seen[: len(q)] = False
             row, to, cos = self._best(unit[a : a + BATCH], ids, sims, k, least, decimals)
             out.append((row + a, to, cos))
         return self._joined(out)
 
     def _dense(self) -> np.ndarray:
-        """Whether a vector's nearest entry of the cover has ``DENSE`` vectors or more."""
-        at = [(self.flat[a : a + BATCH] @ self.flat[self.upper].T).argmax(axis=1) for a in range(0, len(self.flat), BATCH)]
-        at = np.concatenate(at) if at else np.empty(0, np.int64)
-        return np.bincount(at, minlength=len(self.upper))[at] >= DENSE
+        """Whether a vector's nearest vector of level 1 is the nearest of ``DENSE`` vectors or more, or such a vector's."""
+        upper = np.flatnonzero(self.level >= 1)
+        if not len(upper):
+            return np.zeros(len(self.flat), dtype=bool)
+        region = np.arange(len(upper))  # vectors of level 1 within the cover of each other are one region
+        for a in range(0, len(upper), BATCH):
+            near = self.flat[upper[a : a + BATCH]] @ self.flat[upper].T >= COVER
+            for i in range(len(near)):
+                least = region[near[i]].min()
+                region[near[i]] = np.minimum(region[near[i]], least)
+                region[a + i] = min(region[a + i], least)
+        at = [(self.flat[a : a + BATCH] @ self.flat[upper].T).argmax(axis=1) for a in range(0, len(self.flat), BATCH)]
+        at = region[np.concatenate(at)]
+        return np.bincount(at, minlength=len(upper))[at] >= DENSE
 
     @staticmethod
     def _joined(parts: list) -> tuple:

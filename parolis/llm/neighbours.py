@@ -1,11 +1,13 @@
 """The k most similar vectors of every vector, from small-world graphs built shard by shard.
 
-Up to ``CAPACITY`` vectors are one shard. Beyond it vectors are routed to cells (centroids of a bounded sample) and every
-vector joins the graphs of its ``PROBES`` nearest cells, so that neighbours on either side of an edge meet in at least
-one graph. Centroids closer than ``MERGED`` cut one voice and are one cell, as no few probes would reach the neighbours
-of a vector there. A cell that grew too large is split by hash: every part has its graph, and every two parts are compared
-vector by vector, which grows with the square of the cell. The results of all shards are merged by exact rounded cosine. Copies (equal directions) are one node of a graph, whatever their
-number.
+Vectors are routed to cells (centroids of a bounded sample). A vector is a member of its nearest cell, whose graph holds
+it, and a guest of every cell whose centroid is little farther (``MARGIN``): there it only asks for its neighbours. How
+many cells that are depends on the place of the vector, not on a fixed number of probes, so the share of neighbours that
+meet does not fall as cells grow in number. Centroids closer than ``MERGED`` cut one voice and are one cell. A cell of
+more members than half the capacity is split by hash: every part has its graph, and every two parts are compared vector
+by vector, two parts a group, which grows with the square of the cell. Guests come in batches. No group has more rows
+than the capacity. The results of all shards are merged by exact rounded cosine. Copies (equal directions) are one node
+of a graph, whatever their number.
 """
 
 from __future__ import annotations
@@ -20,8 +22,11 @@ from pyspark.sql import functions as F
 from parolis.llm.hnsw import BATCH, BREADTH, Graph, best_of, closest
 from parolis.runtime import cut_lineage
 
-#: Vectors of one graph; cells a vector joins; vectors that the centroids are fitted on; superseded rows still broadcast.
-CAPACITY, PROBES, SAMPLE, BROADCAST_ROWS = 65_536, 3, 20_000, 100_000
+#: Rows of one group, members and guests; vectors that the centroids are fitted on; superseded rows still broadcast.
+CAPACITY, SAMPLE, BROADCAST_ROWS = 16_384, 20_000, 100_000
+#: Share of half the capacity that a cell has on average; how much farther than the nearest a cell may be, in deviations
+#: of the cosine of random directions (1 / sqrt(dim)).
+FILL, MARGIN = 0.6, 1.1
 #: Cosine of centroids that are one cell.
 MERGED = 0.6
 
@@ -79,20 +84,26 @@ def regions(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _route(shared, dim: int, with_vectors: bool):
+    """Rows -> a row a cell, ``role`` 0 for the member and 2 for a guest; or their numbers alone."""
+
     def run(batches):
         c, starts = shared.value
         for b in batches:
             for at in range(0, b.num_rows, 8192):
                 part = b.slice(at, 8192)
                 s = np.maximum.reduceat(unit_rows(part.column("v"), dim) @ c.T, starts, axis=1)
-                k = min(PROBES, s.shape[1])
-                cell = np.argpartition(-s, k - 1, axis=1)[:, :k].astype(np.int32).ravel()
+                home = s.argmax(axis=1)
+                near = s >= s[np.arange(len(s)), home][:, None] - MARGIN / math.sqrt(dim)
+                row, cell = np.nonzero(near)
+                role = np.where(cell == home[row], 0, 2)
                 if not with_vectors:
-                    found, n = np.unique(cell, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["cell", "n"])
+                    found, n = np.unique(cell * 4 + role, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array((found // 4).astype(np.int32)), pa.array((found % 4).astype(np.int32)), pa.array(n)], ["cell", "role", "n"])
                     continue
-                row = pa.array(np.repeat(np.arange(part.num_rows), k))
-                yield pa.RecordBatch.from_arrays([pa.array(cell), part.column("id").take(row), part.column("v").take(row)], ["cell", "id", "v"])
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cell.astype(np.int32)), pa.array(role.astype(np.int32)), part.column("id").take(take), part.column("v").take(take)], ["cell", "role", "id", "v"]
+                )
 
     return run
 
@@ -135,26 +146,38 @@ def _across(one: _Nodes, other: _Nodes, k: int, least: float) -> tuple:
     return other.into(*one.leaving(*(np.concatenate(x) for x in zip(*out))), k)
 
 
-def shard_pairs(ids: np.ndarray, unit: np.ndarray, guest: np.ndarray, k: int, least: float) -> tuple:
-    """(from, to, cosine) positions: for each row its ``k`` most similar rows, ties by smaller id. With guests (another
-    part of the cell) only pairs of a guest and a row that is none are looked for."""
-    order = np.lexsort((guest, ids))
-    keep = np.concatenate(([True], ids[order][1:] != ids[order][:-1]))
+#: Roles of the rows of a group: a member, a member of the other part, a guest, a guest that is compared in full.
+MEMBER, OTHER, GUEST, LATE = range(4)
+
+
+def shard_pairs(ids: np.ndarray, unit: np.ndarray, role: np.ndarray, k: int, least: float) -> tuple:
+    """(from, to, cosine) positions: for each row its ``k`` most similar rows, ties by smaller id.
+
+    Members ask among themselves and guests among the members. With members of another part only pairs across are
+    looked for."""
+    order = np.lexsort((role, ids))
+    keep = np.concatenate(([True], (ids[order][1:] != ids[order][:-1]) | (role[order][1:] != role[order][:-1])))
     order = order[keep]  # an id given again counts once
-    unit, guest = unit[order], guest[order]
-    here, away = np.flatnonzero(guest == 0), np.flatnonzero(guest == 1)
+    unit, role = unit[order], role[order]
+    here, other, guest, late = (np.flatnonzero(role == r) for r in (MEMBER, OTHER, GUEST, LATE))
     nothing = (np.empty(0, np.int64),) * 2 + (np.empty(0),)
     if not len(here):
         return nothing
-    own = _Nodes(unit, here)
-    if len(away):
-        others = _Nodes(unit, away)
-        parts = [_across(own, others, k, least), _across(others, own, k, least)]
+    own, parts = _Nodes(unit, here), [nothing]
+    if len(other):
+        others = _Nodes(unit, other)
+        parts += [_across(own, others, k, least), _across(others, own, k, least)]
+    elif len(late):
+        parts.append(_across(_Nodes(unit, late), own, k, least))
     else:
-        parts = [own.into(*own.leaving(*Graph(own.unit).neighbours(k, least, _ROUND)), k)]
+        graph = Graph(own.unit)
+        parts.append(own.into(*own.leaving(*graph.neighbours(k, least, _ROUND)), k))
         twin = np.flatnonzero(np.diff(own.starts)[own.node] > 1)
         if least <= 1 and len(twin):
             parts.append(own.into(here[twin], own.node[twin], np.ones(len(twin)), k))
+        if len(guest):
+            asking = _Nodes(unit, guest)
+            parts.append(own.into(*asking.leaving(*graph.search(asking.unit, k, least, _ROUND)), k))
     src, to, cos = (np.concatenate(x) for x in zip(*parts))
     other = src != to
     src, to, cos = src[other], to[other], cos[other]
@@ -170,13 +193,45 @@ def shard_pairs(ids: np.ndarray, unit: np.ndarray, guest: np.ndarray, k: int, le
 def _shard(dim: int, k: int, least: float):
     def run(t: pa.Table) -> pa.Table:
         ids = np.asarray(t.column("id").to_pylist(), dtype=object)
-        src, to, cos = shard_pairs(ids, unit_rows(t.column("v"), dim), t.column("guest").to_numpy(), k, least)
+        src, to, cos = shard_pairs(ids, unit_rows(t.column("v"), dim), t.column("role").to_numpy(), k, least)
         names = t.column("id").combine_chunks()
         return pa.table({"a": names.take(pa.array(src)), "b": names.take(pa.array(to)), "cos": pa.array(cos)})
 
     return run
 
 
+def _parts(sizes: dict[tuple[int, int], int], capacity: int) -> dict[int, tuple[int, int]]:
+    """Parts of the members and batches of the guests of each cell."""
+    half = max(1, capacity // 2)
+    return {c: (math.ceil(n / half), max(1, math.ceil(sizes.get((c, GUEST), 0) / half))) for (c, role), n in sizes.items() if role == MEMBER}
+
+
+def grouped(rows: DataFrame, sizes: dict[tuple[int, int], int], capacity: int) -> DataFrame:
+    """Routed rows with the groups (``cell, part, other``) they stand in, none of more than about ``capacity`` rows.
+
+    A cell of ``p`` parts has a group a part (``part = other``) with the first batch of guests, one for every two parts,
+    and one for each part and further batch of guests (``other >= p``).
+    """
+    many = {c: x for c, x in _parts(sizes, capacity).items() if x != (1, 1)}  # at most the number of vectors over half the capacity
+    if not many:
+        return rows.withColumn("part", F.lit(0)).withColumn("other", F.lit(0))
+
+    def of(i: int):
+        return F.coalesce(F.element_at(F.create_map(*[F.lit(y) for c, x in many.items() for y in (c, x[i])]), F.col("cell")), F.lit(1))
+
+    rows = rows.withColumn("p", of(0)).withColumn("b", of(1)).withColumn("h", F.xxhash64("id"))
+    member = F.col("role") == MEMBER
+    rows = rows.withColumn("slot", F.when(member, F.pmod("h", F.col("p"))).otherwise(F.pmod("h", F.col("b"))).cast("int"))
+    # members meet every part and every later batch; guests every part
+    last = F.when(member, F.col("p") + F.col("b") - 2).otherwise(F.col("p") - 1)
+    rows = rows.withColumn("x", F.explode(F.sequence(F.lit(0), last)))
+    later = F.col("p") + F.col("slot") - 1
+    part = F.when(~member, F.col("x")).when(F.col("x") < F.col("p"), F.least("slot", "x")).otherwise(F.col("slot"))
+    other = F.when(~member & (F.col("slot") == 0), F.col("x")).when(~member, later).when(F.col("x") < F.col("p"), F.greatest("slot", "x")).otherwise(F.col("x"))
+    role = F.when(member & (F.col("x") < F.col("slot")), OTHER).when(~member & (F.col("slot") > 0), LATE).otherwise(F.col("role"))
+    return rows.select("cell", part.alias("part"), other.alias("other"), role.alias("role"), "id", "v")
+
+
 def nearest_vectors(
     df: DataFrame, utt_id: str = "utt_id", vector: str = "v", version: str = "line_no", dim: int = 192, k: int = 5,
     least: float = 0.7, capacity: int = CAPACITY,
@@ -194,30 +249,23 @@ def nearest_vectors(
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.where((F.size("v") == dim) & finite & F.exists("v", lambda x: x != 0)).select("id", "v")
     n = rows.count()
-    spread = n > capacity
-    if spread:
-        cells = max(4, math.ceil(1.25 * PROBES * n / capacity))
-        sample = rows.orderBy(F.xxhash64("id")).limit(SAMPLE).toArrow()
-        shared = spark.sparkContext.broadcast(regions(centroids(unit_rows(sample.column("v"), dim), cells).astype(np.float32)))
-        sizes = rows.mapInArrow(_route(shared, dim, False), "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
-        parts = {r.cell: math.ceil(r.n / capacity) for r in sizes.where(F.col("n") > capacity).collect()}
-        rows = rows.mapInArrow(_route(shared, dim, True), "cell int, id string, v array<float>")
-    else:
-        parts = {}
-        rows = rows.select(F.lit(0).alias("cell"), "id", "v")
-    rows = rows.withColumn("part", F.lit(0)).withColumn("other", F.lit(0)).withColumn("guest", F.lit(0))
-    if parts:  # a part by itself (part = other) and every two parts
-        n_parts = F.coalesce(*[F.when(F.col("cell") == c, F.lit(p)) for c, p in parts.items()], F.lit(1))
-        rows = rows.withColumn("home", F.pmod(F.xxhash64("id"), n_parts).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), n_parts - 1)))
-        rows = rows.withColumn("part", F.least("home", "x")).withColumn("other", F.greatest("home", "x"))
-        rows = rows.withColumn("guest", (F.col("part") < F.col("home")).cast("int")).drop("home", "x")
-    found = rows.groupBy("cell", "part", "other").applyInArrow(_shard(dim, k, least), "a string, b string, cos double")
-    if spread:  # a pair seen from one side only counts for the other as well
-        found = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "cos"))
-        found = found.groupBy("a", "b").agg(F.max("cos").alias("cos"))
-        rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cos"), "b"))
-        found = found.withColumn("r", rank).where(F.col("r") <= k).drop("r")
-    return found
+    if not n:
+        return spark.createDataFrame([], "a string, b string, cos double")
+    cells = math.ceil(n / (FILL * max(1, capacity // 2)))
+    sample = rows.orderBy(F.xxhash64("id")).limit(SAMPLE).toArrow()
+    shared = spark.sparkContext.broadcast(regions(centroids(unit_rows(sample.column("v"), dim), cells).astype(np.float32)))
+    sizes = rows.mapInArrow(_route(shared, dim, False), "cell int, role int, n bigint").groupBy("cell", "role").agg(F.sum("n").alias("n"))
+    sizes = {(r.cell, r.role): r.n for r in sizes.collect()}  # two rows a cell
+    routed = grouped(rows.mapInArrow(_route(shared, dim, True), "cell int, role int, id string, v array<float>"), sizes, capacity)
+    key = ["cell", "part", "other"]
+    n_groups = sum((p * (p + 1)) // 2 + p * (b - 1) for p, b in _parts(sizes, capacity).values())
+    routed = routed.repartition(n_groups * 4 if n_groups <= 256 else n_groups, *key)  # few groups: hardly two in a task
+    found = routed.groupBy(*key).applyInArrow(_shard(dim, k, least), "a string, b string, cos double")
+    # a pair seen from one side only counts for the other as well
+    both = F.explode(F.array(F.struct("a", "b", "cos"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "cos")))
+    found = found.select(both.alias("x")).select("x.*").groupBy("a", "b").agg(F.max("cos").alias("cos"))
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cos"), "b"))
+    return found.withColumn("r", rank).where(F.col("r") <= k).drop("r")
 
 
 def similar_pairs(df: DataFrame, **columns) -> DataFrame:

@@ -1,8 +1,10 @@
+import math
+
 import numpy as np
 import pytest
 
 from parolis.llm.hnsw import Graph
-from parolis.llm.neighbours import nearest_vectors, similar_pairs
+from parolis.llm.neighbours import GUEST, LATE, MEMBER, OTHER, grouped, nearest_vectors, similar_pairs
 
 DIM = 24
 
@@ -63,6 +65,37 @@ def test_hot_voice_is_split(spark):
     assert len(got & want) / len(want) >= 0.9
 
 
+def test_groups_of_a_cell_of_ten_times_the_capacity(spark):
+    """Every two members and every guest and member meet in exactly one group, and no group is larger than the capacity."""
+    capacity, members, guests = 100, 1000, 260
+    data = [(7, MEMBER, f"m{i}") for i in range(members)] + [(7, GUEST, f"g{i}") for i in range(guests)] + [(8, MEMBER, f"n{i}") for i in range(40)] + [(8, GUEST, f"h{i}") for i in range(9)]
+    rows_ = spark.createDataFrame(data, "cell int, role int, id string").selectExpr("*", "array(1.0f) AS v")
+    got = grouped(rows_, {(7, MEMBER): members, (7, GUEST): guests, (8, MEMBER): 40, (8, GUEST): 9}, capacity).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault((r.cell, r.part, r.other), []).append((r.id, r.role))
+    assert max(map(len, groups.values())) <= 1.5 * capacity  # hashing is not quite even
+    assert sorted(r for _, r in groups[8, 0, 0]) == [MEMBER] * 40 + [GUEST] * 9
+    met = {}
+    for g in groups.values():
+        here, other = [i for i, r in g if r == MEMBER], [i for i, r in g if r == OTHER]
+        asking = [i for i, r in g if r in (GUEST, LATE)]
+        pairs = [(a, b) for a in here for b in other or ([] if LATE in {r for _, r in g} else here) if a != b] + [(a, b) for a in asking for b in here]
+        for a, b in pairs:
+            met[min(a, b), max(a, b)] = met.get((min(a, b), max(a, b)), 0) + (1 if (a in other or b in other or a in asking or b in asking or other) else 0.5)
+    assert set(met.values()) == {1} and len(met) == members * (members - 1) // 2 + members * guests + 40 * 39 // 2 + 40 * 9
+
+
+@pytest.mark.parametrize("cells", [1, 16, 64])
+def test_recall_by_number_of_cells(spark, cells):
+    v = voices(2400, 240, seed=4, noise=0.1)
+    ids = [f"u{i:04d}" for i in range(len(v))]
+    df = frame(spark, [(u, i, x.tolist()) for i, (u, x) in enumerate(zip(ids, v))])
+    want = brute(ids, v)
+    got = found(similar_pairs(df, dim=DIM, capacity=math.ceil(2 * len(v) / 0.6 / cells)))
+    assert len(got & want) / len(want) >= 0.95
+
+
 def test_voice_of_a_third_of_all_rows_over_routed_shards(spark):
     rng = np.random.default_rng(8)
     dim, n = 64, 2000
