@@ -201,9 +201,13 @@ def _shard(dim: int, k: int, least: float):
 
 
 def _parts(sizes: dict[tuple[int, int], int], capacity: int) -> dict[int, tuple[int, int]]:
-    """Parts of the members and batches of the guests of each cell."""
-    half = max(1, capacity // 2)
-    return {c: (math.ceil(n / half), max(1, math.ceil(sizes.get((c, GUEST), 0) / half))) for (c, role), n in sizes.items() if role == MEMBER}
+    """Parts of the members (half the capacity at most) and batches of the guests (what a part leaves) of each cell."""
+    out = {}
+    for (c, role), n in sizes.items():
+        if role == MEMBER:
+            p = math.ceil(n / max(1, capacity // 2))
+            out[c] = p, max(1, math.ceil(sizes.get((c, GUEST), 0) / max(1, capacity - math.ceil(n / p))))
+    return out
 
 
 def grouped(rows: DataFrame, sizes: dict[tuple[int, int], int], capacity: int) -> DataFrame:
@@ -263,7 +267,7 @@ def nearest_vectors(
     found = routed.groupBy(*key).applyInArrow(_shard(dim, k, least), "a string, b string, cos double")
     # a pair seen from one side only counts for the other as well
     both = F.explode(F.array(F.struct("a", "b", "cos"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "cos")))
-    found = found.select(both.alias("x")).select("x.*").groupBy("a", "b").agg(F.max("cos").alias("cos"))
+    found = found.select(both.alias("x")).select("x.*").repartition("a").groupBy("a", "b").agg(F.max("cos").alias("cos"))
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cos"), "b"))
     return found.withColumn("r", rank).where(F.col("r") <= k).drop("r")
 
