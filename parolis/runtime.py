@@ -35,12 +35,17 @@ def ship(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (``spark.checkpoint.dir``); a local one only where none is set, as in tests."""
+    """The shared folder of the cluster (``spark.checkpoint.dir``). Where none is set a local master gets a local one; on
+    a cluster that is an error, as other machines could not read it."""
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    chosen = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "parolis-checkpoints")
+    chosen = spark.conf.get("spark.checkpoint.dir", None)
+    if not chosen:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        chosen = os.path.join(tempfile.gettempdir(), "parolis-checkpoints")
     sc.setCheckpointDir(chosen)
     return chosen
 

@@ -43,3 +43,14 @@ def test_query_runs_and_equals_its_sql(spark, name):
     if sql is not None:
         want = connection().sql(sql).df()
         assert sorted(got.columns) == sorted(want.columns) and canonical(got) == canonical(want)
+
+
+def test_no_machine_local_checkpoints_on_a_cluster():
+    from types import SimpleNamespace
+
+    from parolis.runtime import ensure_checkpoint_dir
+
+    undefined = SimpleNamespace(isDefined=lambda: False)
+    sc = SimpleNamespace(_jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: undefined)), master="spark://host:7077")
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, d: d)))
