@@ -37,7 +37,7 @@ def with_reciprocal(edges: DataFrame) -> DataFrame:
     return edges.join(back, ["ref", "target"], "left").withColumn("reciprocal", F.coalesce("reciprocal", F.lit(False)))
 
 
-def with_levels(edges: DataFrame, hub: int = 10_000) -> DataFrame:
+def with_levels(edges: DataFrame) -> DataFrame:
     """Edges with ``level``: 3 where some third node C has ref -> C and C -> target, else 1 if reciprocal, else 2.
 
     The two-hop join goes through the middle node and is reduced to the edges that exist by a semi join on both ends. A
@@ -68,6 +68,13 @@ def level_counts(levels: DataFrame) -> DataFrame:
     )
 
 
+def sparse_matrix(levels: DataFrame) -> DataFrame:
+    """``ref, row``: the links of each reference as ``target=level``, in order of target, joined by commas. References and
+    targets without a link do not occur."""
+    cells = F.array_sort(F.collect_list(F.struct("target", "level")))
+    return levels.groupBy("ref").agg(F.array_join(F.transform(cells, lambda x: F.concat_ws("=", x["target"], x["level"].cast("string"))), ",").alias("row"))
+
+
 def matrix(levels: DataFrame, targets: list[str], prefix: str = "t_") -> DataFrame:
     """Wide form for a report: one row a reference, one column a target, 0 where there is no link."""
     wide = levels.groupBy("ref").pivot("target", targets).agg(F.first("level"))

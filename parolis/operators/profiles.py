@@ -65,9 +65,10 @@ def intra(segments: DataFrame, top: DataFrame, prof: DataFrame) -> DataFrame:
     return out.withColumn("mean_sim", F.coalesce("mean_sim", F.lit(1.0))).withColumn("n_evaluated", F.coalesce("n_evaluated", F.lit(0)))
 
 
-def _block_product(rows: DataFrame, visit, schema: str, block: int) -> DataFrame:
+def _block_product(rows: DataFrame, visit, schema: str, block: int, unit: bool = True) -> DataFrame:
     """All ordered pairs of rows ``key, v`` block by block: each (block, block) pair meets in one group of bounded size
-    and ``visit(keys_a, a, keys_b, b)`` gets two matrices of unit rows. Nothing is collected or broadcast."""
+    and ``visit(keys_a, a, keys_b, b)`` gets two matrices of unit rows (of rows as they are without ``unit``). Nothing is
+    collected or broadcast."""
     n = rows.count()
     blocks = max(1, -(-n // block))
     placed = rows.withColumn("at", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
@@ -79,14 +80,15 @@ def _block_product(rows: DataFrame, visit, schema: str, block: int) -> DataFrame
         side = t.column("side").to_numpy()
         keys = np.asarray(t.column("key").to_pylist(), dtype=object)
         x = np.asarray(t.column("v").combine_chunks().flatten(), dtype=np.float64).reshape(len(side), -1)
-        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), vec.EPS)
+        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), vec.EPS) if unit else x
         return visit(keys[side == 0], x[side == 0], keys[side == 1], x[side == 1])
 
     return left.unionByName(right).groupBy("i", "j").applyInArrow(run, schema)
 
 
-def all_pairs(prof: DataFrame, key: str = "discussion", vector: str = "profile", block: int = BLOCK) -> DataFrame:
-    """``ref, target, sim`` for all ordered pairs of different keys (as strings), by block matrix products."""
+def all_pairs(prof: DataFrame, key: str = "discussion", vector: str = "profile", block: int = BLOCK, unit: bool = True) -> DataFrame:
+    """``ref, target, sim`` for all ordered pairs of different keys (as strings), by block matrix products; without
+    ``unit`` the inner products."""
 
     def visit(ka, a, kb, b) -> pa.Table:
         s = a @ b.T
@@ -94,7 +96,31 @@ def all_pairs(prof: DataFrame, key: str = "discussion", vector: str = "profile",
         return pa.table({"ref": pa.array(ka[i], pa.string()), "target": pa.array(kb[j], pa.string()), "sim": pa.array(s[i, j], pa.float64())})
 
     rows = prof.select(F.col(key).cast("string").alias("key"), F.col(vector).alias("v"))
-    return _block_product(rows, visit, "ref string, target string, sim double", block)
+    return _block_product(rows, visit, "ref string, target string, sim double", block, unit)
+
+
+def nearest_keys(keys: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the ``k`` greatest of each row, ties by key; ``-inf`` never counts."""
+    order = np.argsort(keys.astype(str), kind="stable")
+    best = order[np.argsort(-sims[:, order], axis=1, kind="stable")[:, :k]]
+    row, col = np.repeat(np.arange(len(sims)), best.shape[1]), best.ravel()
+    real = np.isfinite(sims[row, col])
+    return row[real], col[real]
+
+
+def nearest_profiles(prof: DataFrame, n: int, decimals: int = 12, block: int = BLOCK) -> DataFrame:
+    """``ref, target, sim, rank``: the ``n`` most similar profiles of each, ties of the rounded similarity by target. A
+    block sends no more than ``n`` rows a profile."""
+
+    def visit(ka, a, kb, b) -> pa.Table:
+        s = np.where(ka[:, None] == kb[None, :], -np.inf, (a @ b.T).round(decimals)) if len(kb) else np.empty((len(ka), 0))
+        i, j = nearest_keys(kb, s, n)
+        return pa.table({"ref": pa.array(ka[i], pa.string()), "target": pa.array(kb[j], pa.string()), "sim": pa.array(s[i, j], pa.float64())})
+
+    rows = prof.select(F.col("discussion").cast("string").alias("key"), F.col("profile").alias("v"))
+    found = _block_product(rows, visit, "ref string, target string, sim double", block)
+    w = Window.partitionBy("ref").orderBy(F.desc("sim"), "target")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
 def pair_statistics(segments: DataFrame, block: int = BLOCK) -> DataFrame:

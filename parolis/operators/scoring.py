@@ -1,38 +1,69 @@
 """Speaker search: raw cosine and cohort-normalised scores of one enrolled vector against a corpus.
 
 The cohort of impostors is the corpus without the enrolled id. What a normalisation needs of it is computed once per
-vector by block products (:mod:`parolis.operators.profiles`), never once per comparison.
+vector, never once per comparison.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parolis.functions import vec
-from parolis.operators.profiles import BLOCK, _block_product
+from parolis.operators.profiles import BLOCK, _block_product, nearest_keys
 
-#: Default thresholds of a decision, cohort size and number of results shown.
+#: Default thresholds of a decision, cohort size.
 THRESHOLDS = {"cosine": 0.75, "snorm": 2.0, "asnorm": 2.0, "adnorm": 0.75}
-COHORT, SHOWN = 100, 60
-#: Adaptive threshold: floor, factor of the deviation, number of scores it needs, value without them.
+COHORT = 100
+#: Groups in which tasks' moments are added up. Adaptive threshold: floor, factor of the deviation, number of scores it needs, value without them.
+_GROUPS = 64
 FLOOR, FACTOR, ENOUGH, FALLBACK = 0.45, 0.5, 5, 0.50
 
 
-def _cohort_stats(corpus: DataFrame, ref_id: str, block: int) -> DataFrame:
-    """Mean and sample deviation of each vector's cosines with all impostors: ``utt_id, mu, sigma, n``."""
+def _cohort_stats(corpus: DataFrame, ref_id: str) -> DataFrame:
+    """Mean and sample deviation of each vector's cosines with all impostors: ``utt_id, mu, sigma, n``.
 
-    def visit(ka, a, kb, b) -> pa.Table:
-        s = a @ b[kb != ref_id].T
-        return pa.table({"utt_id": pa.array(ka, pa.string()), "n": pa.array([s.shape[1]] * len(ka), pa.int64()), "s": s.sum(axis=1), "ss": (s**2).sum(axis=1)})
+    They follow from the impostors' mean ``m`` and second moments ``G`` (``d x d``): a vector's cosines have mean ``u.m``
+    and mean square ``u.G.u``. So the cost is linear in the vectors; tasks send one row each, added up in a few groups.
+    """
 
-    rows = corpus.select(F.col("utt_id").cast("string").alias("key"), "v")
-    parts = _block_product(rows, visit, "utt_id string, n bigint, s double, ss double", block)
-    n, s, ss = F.sum("n"), F.sum("s"), F.sum("ss")
-    var = F.greatest((ss - s * s / n) / (n - 1), F.lit(0.0))
-    return parts.groupBy("utt_id").agg((s / n).alias("mu"), F.when(n > 1, F.sqrt(var)).alias("sigma"), n.alias("n"))
+    def unit_rows(column) -> np.ndarray:
+        x = np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), vec.EPS)
+
+    def moments(batches):
+        n, s, g = 0, 0.0, 0.0
+        for b in batches:
+            pick = b.filter(pc.not_equal(b.column("utt_id"), ref_id))
+            if pick.num_rows:
+                u = unit_rows(pick.column("v"))
+                n, s, g = n + len(u), s + u.sum(axis=0), g + u.T @ u
+        if n:
+            yield pa.RecordBatch.from_pydict({"at": pa.array([hash((n, float(s[0]))) % _GROUPS], pa.int32()), "n": pa.array([n], pa.int64()), "x": pa.array([np.concatenate([s, g.ravel()])], pa.list_(pa.float64()))})
+
+    def added(t: pa.Table) -> pa.Table:
+        x = np.asarray(t.column("x").combine_chunks().flatten()).reshape(t.num_rows, -1).sum(axis=0)
+        return pa.table({"n": pa.array([sum(t.column("n").to_pylist())], pa.int64()), "x": pa.array([x], pa.list_(pa.float64()))})
+
+    parts = corpus.select("utt_id", "v").mapInArrow(moments, "at int, n bigint, x array<double>")
+    parts = parts.groupBy("at").applyInArrow(added, "n bigint, x array<double>").collect()  # _GROUPS rows at most
+    n = sum(r.n for r in parts)
+    x = sum((np.asarray(r.x) for r in parts), np.zeros(1))
+    d = int((np.sqrt(4 * len(x) + 1) - 1) // 2)
+    m, g = x[:d] / max(1, n), x[d:].reshape(d, -1) / max(1, n) if n else np.zeros((0, 0))
+
+    def scored(batches):
+        for b in batches:
+            u = unit_rows(b.column("v"))
+            mu = u @ m if n else np.full(len(u), np.nan)
+            var = np.maximum(((u @ g) * u).sum(axis=1) - mu**2, 0.0) * n / (n - 1) if n > 1 else np.full(len(u), np.nan)
+            sigma = pa.array(np.sqrt(var), from_pandas=True)
+            yield pa.RecordBatch.from_arrays([b.column("utt_id"), pa.array(mu, from_pandas=True), sigma, pa.array(np.full(len(u), n))], ["utt_id", "mu", "sigma", "n"])
+
+    return corpus.select("utt_id", "v").mapInArrow(scored, "utt_id string, mu double, sigma double, n bigint")
 
 
 def _top_cohort(corpus: DataFrame, ref_id: str, k: int, block: int) -> DataFrame:
@@ -43,10 +74,7 @@ def _top_cohort(corpus: DataFrame, ref_id: str, k: int, block: int) -> DataFrame
         kb, s = kb[pick], (a @ b[pick].T).round(12)
         if not len(kb):
             return pa.table({"utt_id": pa.array([], pa.string()), "impostor": pa.array([], pa.string()), "sim": pa.array([], pa.float64())})
-        order = np.argsort(kb.astype(str), kind="stable")
-        best = order[np.argsort(-s[:, order], axis=1, kind="stable")[:, :k]]
-        rows = np.repeat(np.arange(len(ka)), best.shape[1])
-        cols = best.ravel()
+        rows, cols = nearest_keys(kb, s, k)
         return pa.table({"utt_id": pa.array(ka[rows], pa.string()), "impostor": pa.array(kb[cols], pa.string()), "sim": pa.array(s[rows, cols], pa.float64())})
 
     rows = corpus.select(F.col("utt_id").cast("string").alias("key"), "v")
@@ -72,7 +100,7 @@ def search(
     if method == "cosine":
         return scored.select("utt_id", F.col("cos").alias("score"), (F.col("cos") >= threshold).alias("same_speaker"))
     if method == "snorm":
-        stats = _cohort_stats(corpus, ref_id, block)
+        stats = _cohort_stats(corpus, ref_id)
     else:
         if corpus.where(F.col("utt_id") != ref_id).limit(k).count() < k:
             raise ValueError("the cohort has fewer vectors than k")

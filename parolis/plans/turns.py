@@ -110,6 +110,7 @@ TURNS_SQL = rf"""WITH t AS (SELECT *, round("end" - start, 3) AS duration FROM (
   round(start, 3) AS start, round("end", 3) AS "end" FROM turns) WHERE audio_id IS NOT NULL AND speaker IS NOT NULL AND start IS NOT NULL AND "end" > start)"""
 _ORD = TURNS_SQL + """, o AS (SELECT *, row_number() OVER (PARTITION BY audio_id, speaker ORDER BY turn_no, start, "end") AS ordinal FROM t),
 u AS (SELECT *, audio_id || '_' || speaker || '_' || CAST(ordinal AS VARCHAR) AS utt_id FROM o)"""
+ORDINALS_SQL = _ORD
 _NAME = "CASE WHEN speaker = 'operateur' THEN 'OP-SDIS1' WHEN speaker IN ('0', '1', '2', '3', '4') THEN 'requerant' || speaker ELSE 'locuteur_' || speaker END"
 
 SQL = {

@@ -106,16 +106,33 @@ def test_clusters_in_degree_and_matrix(spark):
     assert rows(graph.level_counts(levels)) == [("a", 1, 1, 0), ("b", 1, 0, 0)]
 
 
-def test_matrix_has_a_column_for_every_label(spark, tmp_path):
-    from parolis.plans.similarity import cooccurrence_matrix
-
-    labels = ["0", "10", "a.b", "x`y"]
-    data = [(label, 10 * i + j, [float(i + 1), float(j), 1.0]) for i, label in enumerate(labels) for j in range(4)]
-    spark.createDataFrame(data, "label string, vec_id bigint, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
-    got = cooccurrence_matrix(spark, str(tmp_path))
-    assert got.columns == ["ref", *["t_" + x for x in labels]]
-    links = {r["ref"]: [r["t_" + x] for x in labels] for r in got.collect()}
-    assert set(links) == set(labels) and all(v > 0 for r, row in links.items() for x, v in zip(labels, row) if x != r)
+def test_matrix_holds_every_label(spark):
+    names = [f"label {i:02d}" for i in range(30)]
+    edges = spark.createDataFrame([(a, b) for a in names for b in names if a < b], "ref string, target string")
+    got = {r.ref: r.row.split(",") for r in graph.sparse_matrix(graph.with_levels(edges)).collect()}
+    assert len(got) == 29 and got["label 00"] == [f"{n}=2" for n in names[1:]]
+    wide = graph.matrix(graph.with_levels(edges), names)
+    assert wide.columns == ["ref"] + [f"t_{n}" for n in names]
+
+
+def test_nearest_profiles_and_cohort_moments(spark):
+    rng = np.random.default_rng(1)
+    v = rng.standard_normal((40, 6))
+    v[7] = 3 * v[5]  # a tie for everyone
+    df = spark.createDataFrame([(f"d{i:02d}", x.tolist()) for i, x in enumerate(v)], "discussion string, profile array<double>")
+    got = {(r.ref, r["rank"]): r.target for r in profiles.nearest_profiles(df, 4, block=7).collect()}
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = (u @ u.T).round(12)
+    for i in range(40):
+        want = sorted((-s[i, j], f"d{j:02d}") for j in range(40) if j != i)[:4]
+        assert [got[f"d{i:02d}", k + 1] for k in range(4)] == [t for _, t in want]
+    corpus = df.withColumnsRenamed({"discussion": "utt_id", "profile": "v"}).repartition(5)
+    stats = {r.utt_id: r for r in scoring._cohort_stats(corpus, "d03").collect()}
+    others = np.delete(u, 3, axis=0)
+    for i in range(40):
+        c = others @ u[i]
+        assert stats[f"d{i:02d}"].mu == pytest.approx(c.mean()) and stats[f"d{i:02d}"].sigma == pytest.approx(c.std(ddof=1)) and stats[f"d{i:02d}"].n == 39
+
 
 
 def test_snorm_ignores_scale_and_asnorm_needs_a_cohort(spark):
