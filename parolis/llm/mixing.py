@@ -21,6 +21,8 @@ from parolis.runtime import cut_lineage
 
 #: Bins of the seeded order of one (source, length); rows of quotas that are still broadcast.
 BINS = 256
+#: Documents of each length up to ``SHORT`` tokens that the dynamic program chooses anew.
+GIVEN_BACK, SHORT = 16, 64
 BROADCAST_ROWS = 200_000
 
 
@@ -55,6 +57,10 @@ def fit_lengths(counts: dict[int, int], budget: int, cap: int, seed: int = 0) ->
                 extra[n] += 1
                 rest -= n
                 moved = True
+    for n in lengths:  # some short documents go back, so that the program can also choose to leave them out
+        back = min(extra[n], GIVEN_BACK) if n <= SHORT else 0
+        extra[n] -= back
+        rest += back * n
     # reachable sums as bits of one integer; each part is 1, 2, 4, ... documents of a length
     reach, parts, mask = 1, [], (1 << (rest + 1)) - 1
     for n in lengths:
@@ -111,7 +117,7 @@ def sized_documents(df: DataFrame, doc_id: str, text: str, source: str, vocabula
     """``doc_id, source, n_tokens`` of documents that have an id, a source and at least one token; ids once."""
     x = df.select(df[doc_id].cast("bigint").alias("doc_id"), df[source].cast("string").alias("source"), df[text].cast("string").alias("text"))
     x = x.where("doc_id IS NOT NULL AND source IS NOT NULL AND text IS NOT NULL")
-    x = x.mapInArrow(counted(vocabulary), "doc_id bigint, source string, n_tokens bigint").where("n_tokens > 0")
+    x = x.mapInArrow(counted(df.sparkSession, vocabulary), "doc_id bigint, source string, n_tokens bigint").where("n_tokens > 0")
     once = x.groupBy("doc_id").agg(F.min(F.struct("source", "n_tokens")).alias("x"))
     return once.select("doc_id", "x.source", "x.n_tokens")
 
@@ -121,11 +127,11 @@ def mix_sources(
     vocabulary: str = VOCABULARY, total_tokens: int | None = None, seed: int = 7,
 ) -> tuple[DataFrame, DataFrame]:
     """The choice ``plan_id, source, doc_id, n_tokens, repeats`` and the report ``plan_id, source, target_share,
-    max_repeats, n_docs, n_rows, most_repeats, tokens, share`` with a row for every source of every plan.
+    effective_share, max_repeats, n_docs, n_rows, most_repeats, tokens, share`` with a row for every source of every plan.
 
     ``plan`` has ``plan_id, source, target_share, max_repeats`` and is small (it goes to the driver). Dirty plans are
     read as in :func:`valid_plans`; a source without documents is reported with share 0 and its target is shared out to
-    the others in proportion. Documents with null id, null source, null or empty text are no candidates; a repeated id
+    the others in proportion: ``effective_share`` is what is aimed at then, and what ``share`` should be compared with. Documents with null id, null source, null or empty text are no candidates; a repeated id
     counts once. Empty tables give empty results. The choice is the same for the same rows and seed.
     """
     spark = documents.sparkSession
@@ -164,12 +170,13 @@ def mix_sources(
     choice = plain.select(*cols).unionByName(full.select(*cols)).unionByName(none.select(*cols)).unionByName(part.select(*cols))
     choice = choice.where("repeats > 0")
 
-    wanted = [(p, s, x, c) for p, v in plans.items() for s, (x, c) in v.items()]
-    targets = spark.createDataFrame(wanted, "plan_id int, source string, target_share double, max_repeats int")
+    kept = {p: sum(x for s, (x, _) in v.items() if s in fits[p]) for p, v in plans.items()}
+    wanted = [(p, s, x, x / kept[p] if s in fits[p] else 0.0, c) for p, v in plans.items() for s, (x, c) in v.items()]
+    targets = spark.createDataFrame(wanted, "plan_id int, source string, target_share double, effective_share double, max_repeats int")
     got = choice.groupBy("plan_id", "source").agg(
         F.count("*").alias("n_docs"), F.sum("repeats").alias("n_rows"), F.max("repeats").alias("most_repeats"),
         F.sum(F.col("repeats") * F.col("n_tokens")).alias("tokens"),
     )
     report = targets.join(got, ["plan_id", "source"], "left").fillna(0, ["n_docs", "n_rows", "most_repeats", "tokens"])
     share = F.col("tokens") / F.nullif(F.sum("tokens").over(Window.partitionBy("plan_id")), F.lit(0))
-    return choice, report.withColumn("share", F.round(F.coalesce(share, F.lit(0.0)), 6)).withColumn("target_share", F.round("target_share", 6))
+    return choice, report.withColumn("share", F.round(F.coalesce(share, F.lit(0.0)), 6)).withColumns({c: F.round(c, 6) for c in ("target_share", "effective_share")})

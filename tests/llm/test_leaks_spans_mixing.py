@@ -178,8 +178,26 @@ def test_mix_keeps_caps_and_shares(spark):
     assert max(r.repeats for r in got if r.source == "b") <= 3 and max(r.repeats for r in got if r.plan_id == 1 and r.source == "a") == 1
     share = {(r.plan_id, r.source): r.share for r in report.collect()}
     assert share[1, "a"] == pytest.approx(0.3, abs=0.002) and share[1, "b"] == pytest.approx(0.7, abs=0.002) and share[1, "none"] == 0
+    aim = {(r.plan_id, r.source): (r.target_share, r.effective_share) for r in report.collect()}
+    assert aim[1, "none"] == (0.166667, 0.0) and aim[1, "a"] == (0.25, 0.3) and all(abs(share[k] - e) < 0.002 for k, (_, e) in aim.items())
     assert share[2, "a"] == 1.0 and all(r.repeats == 2 for r in got if r.plan_id == 2)
     again = {(r.plan_id, r.doc_id, r.repeats) for r in mix_sources(df.repartition(7), plan)[0].collect()}
     assert again == {(r.plan_id, r.doc_id, r.repeats) for r in got}
     empty, _ = mix_sources(df.limit(0), plan)
     assert empty.count() == 0
+
+
+def test_the_choice_is_kept_at_the_token(spark):
+    """Shares by brute force over the choice, caps over all rows, the vocabulary read by the driver alone."""
+    r = random.Random(9)
+    docs = [(i, " ".join(["mot"] * r.choice([1, 2, 3, 50, 400])), r.choice("aaaaaabc")) for i in range(900)]
+    plan = [(1, "a", 0.2, 1), (1, "b", 0.5, 4), (1, "c", 0.3, 2), (2, "b", 0.01, 1), (2, "c", 0.99, 3)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    choice, report = mix_sources(df, spark.createDataFrame(plan, "plan_id int, source string, target_share double, max_repeats int"), total_tokens=9_000)
+    used = {}
+    for x in choice.collect():
+        assert x.repeats <= {(p, s): c for p, s, _, c in plan}[x.plan_id, x.source]
+        used[x.plan_id, x.source] = used.get((x.plan_id, x.source), 0) + x.repeats * x.n_tokens
+    for x in report.collect():
+        assert x.tokens == used.get((x.plan_id, x.source), 0)
+        assert x.tokens in (int(9_000 * x.target_share + 1e-6), x.max_repeats * sum(t.count("mot") for _, t, s in docs if s == x.source))
