@@ -14,7 +14,8 @@ from parolis.functions.text import DISFLUENCIES
 #: Hesitations that are also words of a sentence: they never make a piece non-empty, but stay in the clean text.
 WORDS_TOO = frozenset({"be", "bien", "he", "he bien", "la", "ha", "hop", "of", "ok", "okay", "tac", "toc"})
 
-#: Sounds that transcribers write in brackets or between asterisks.
+#: Heads of sounds that transcribers write in brackets or between asterisks; further words may follow
+#: ("[bruit de moteur]"). Whole phrases of other words are known by the shape of their brackets, see ``is_sound``.
 SOUNDS = (
     "bruit", "bruits", "bruit de fond", "pleurs", "pleure", "cris", "crie", "rire", "rires", "rit", "toux", "tousse",
     "respiration", "souffle", "soupir", "silence", "sirene", "sirenes", "klaxon", "sonnerie", "bip", "musique",
@@ -36,10 +37,35 @@ _ROLES = {
 }
 _NUMBERED = ("", "0", " 0", "_0", "-0", "00", " 00", "_00")
 
+#: Two of these in a piece make it German, where "und" is a word and no hesitation.
+UND_IS_A_WORD = frozenset("der die das ist ein eine nicht".split())
+
 #: Words before a label that make it part of a sentence ("dit l'operateur : ...").
 DETERMINERS = frozenset("le la les l un une des du de d au aux cet cette ce mon ma son sa notre votre leur quel chaque".split())
 
 
+#: Most words of a sound annotation.
+SOUND_WORDS = 6
+_NAMES = re.compile(r"[a-z]+(?:['-][a-z]+)*")
+
+
+def is_sound(inside: str, left: str, alone: bool) -> bool:
+    """Whether folded text between brackets describes a sound rather than what was said.
+
+    Square, curly and angle brackets, asterisks and underscores are never spoken: a short phrase of words in them is an
+    annotation. Round brackets may hold a remark, so they need a listed sound as their first word or to stand alone
+    between sentences."""
+    words = inside.replace(",", " ").split()
+    if not 1 <= len(words) <= SOUND_WORDS or not all(_NAMES.fullmatch(w) for w in words):
+        return False
+    if words[0] in ("at", "arobase", "arobas", "a") and len(words) == 1:
+        return False  # a spelt-out sign of an address
+    return left != "(" or words[0] in SOUND_HEADS or (alone and len(words) > 1)
+
+
+SOUND_HEADS = frozenset(s.split()[0] for s in SOUNDS)
+
+
 class _Folding(dict):
     """Characters to lower case without accent, digits to 0, blanks but line ends to a space; one character for one."""
 
@@ -127,6 +153,9 @@ def automaton() -> ahocorasick.Automaton:
             add(left + s + right, "stamp")
         add(s + " -->", "stamp")
         add(s + "-->", "stamp")
+        add(s, "bare")
+    for left, right in ("[]", "()", "<>", "{}", "**"):
+        add(left, "open", right)
     for f, removable in fillers().items():
         add(f, "filler", removable)
     a.make_automaton()

@@ -16,14 +16,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parolis.llm.lexicon import DETERMINERS, automaton, compose, fold, parse_label, speaker_of
+from parolis.llm.lexicon import DETERMINERS, UND_IS_A_WORD, automaton, compose, fold, is_sound, parse_label, speaker_of
 
 #: Width of a time slice in seconds.
 SLICE_S = 600
+#: Segment ids of one slice of segments that have no time.
+UNTIMED = 10_000
+#: Characters that the longest annotation in brackets may have.
+LONGEST = 80
 
 _CLOSERS = {"[": "]", "<": ">", "(": ")"}
 
 
+def _past_blanks(folded: str, at: int) -> int:
+    while at < len(folded) and folded[at] == " ":
+        at += 1
+    return at
+
+
 def _matches(folded: str) -> tuple[list, list]:
     """Labels as (start, end, label start, label end) and cuts as (start, end, removable) after the context rules."""
     n = len(folded)
@@ -33,6 +43,21 @@ def _matches(folded: str) -> tuple[list, list]:
         if kind in ("sound", "stamp"):
             cuts.append((a, z, True))
             continue
+        if kind == "open":  # a bracket: the shape of what it holds decides
+            close = folded.find(detail, z, z + LONGEST)
+            inside = folded[z:close] if close >= 0 else ""
+            if inside and detail not in inside and "\n" not in inside and parse_label(inside) is None:
+                before = folded[:a].rstrip(" ")[-1:] if a < 2 else folded[max(0, a - 8) : a].rstrip(" ")[-1:]
+                alone = (not before or before in ".!?\n…:>]") and not folded[close + 1 : close + 3].lstrip(" ")[:1].isdigit()
+                glued = a and folded[a - 1].isalnum()
+                if not glued and is_sound(inside, folded[a:z], alone):
+                    cuts.append((a, close + 1, True))
+            continue
+        if kind == "bare":  # a stamp without brackets is one at the head of a segment or line, with hours or decimals
+            head = folded.rfind("\n", 0, a) + 1
+            if length >= 7 and not folded[head:a].strip(" -") and folded[z : z + 1] in ("", " ", "\n") and not folded.startswith("-->", _past_blanks(folded, z)):
+                cuts.append((a, z, True))
+            continue
         if (a and (folded[a - 1].isalnum() or folded[a - 1] in "_@")) or (z < n and (folded[z].isalnum() or folded[z] in "_@")):
             continue  # inside a longer word
         if kind == "filler":
@@ -96,7 +121,7 @@ def _subtract(text: str, folded: str, a: int, z: int, cuts: list) -> tuple[bool,
         spoken = True
     if not spoken:
         return False, ""
-    german = sum(w in folded[a:z].split() for w in ("der", "die", "das", "ist", "ein", "eine", "nicht")) > 1
+    german = sum(w in UND_IS_A_WORD for w in folded[a:z].split()) > 1
     out, pos = [], a
     for s, e in hard:
         if s < pos or (german and folded[s:e] == "und"):
@@ -175,7 +200,8 @@ def pieces(
     ).where("entity IS NOT NULL AND seg_id IS NOT NULL")
     kind = "entity string, seg_id bigint, t double, pieces array<struct<speaker: string, text: string>>"
     parts = rows.mapInArrow(_pieces(with_text), kind).where(F.size("pieces") > 0)
-    parts = parts.withColumn("slice", F.coalesce(F.floor(F.col("t") / slice_s), F.lit(2**62)))
+    # segments without any time go last, in order of id, in slices of ids
+    parts = parts.withColumn("slice", F.coalesce(F.floor(F.col("t") / slice_s), F.lit(2**61) + F.floor(F.col("seg_id") / UNTIMED)))
 
     # one exchange: everything below until the joins is grouped by (call, slice)
     parts = parts.repartition("entity", "slice")

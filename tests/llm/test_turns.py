@@ -35,6 +35,14 @@ def test_no_label_is_none():
         ("2 : bonjour à 14:30", [("requerant2", "bonjour à 14:30")]),
         ("und *tousse* [BRUIT] hm, bien.", []),
         ("Il va bien là.", [("requerant1", "Il va bien là.")]),
+        ("[claquement de porte]", []),
+        ("Oui. (sirène au loin) Venez.", [("requerant1", "Oui. Venez.")]),
+        ("[musique de fond] *moteur qui cale* {voix lointaine} non", [("requerant1", "non")]),
+        ("Il (le voisin) respire mal", [("requerant1", "Il (le voisin) respire mal")]),
+        ("00:01:02 bonjour", [("requerant1", "bonjour")]),
+        ("bonjour à 00:01:02 précises", [("requerant1", "bonjour à 00:01:02 précises")]),
+        ("[voir plan 12] ici", [("requerant1", "[voir plan 12] ici")]),
+        ("[ouverte [cris] encore", [("requerant1", "[ouverte encore")]),
         ("Mail x (at) poste.fr, tel +33 (0)6", [("requerant1", "Mail x (at) poste.fr, tel +33 (0)6")]),
         ("", []),
         (None, []),
