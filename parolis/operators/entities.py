@@ -42,27 +42,40 @@ def distinct_entities(found: DataFrame) -> DataFrame:
     return x.select("audio_id", "category", "mot", "x.*", "n")
 
 
+def distinct_spans(found: DataFrame) -> DataFrame:
+    """The first of equal ``(category, start, end)`` of a text in order of rule."""
+    first = F.min(F.struct("rule_no", "mot")).alias("x")
+    return found.groupBy("audio_id", "text_id", "category", "start", "end").agg(first).select("audio_id", "text_id", "category", "start", "end", "x.*")
+
+
 def vocabulary(texts: DataFrame) -> DataFrame:
     """Distinct normalised words of each call: ``audio_id, word``."""
     words = F.split(T.normalize_detect(F.col("text")), " ")
     return texts.select("audio_id", F.explode(words).alias("word")).where("word <> ''").distinct()
 
 
-def outcomes(reference: DataFrame, automatic: DataFrame, rules: tuple = R.RULES) -> DataFrame:
+def outcomes(reference: DataFrame, automatic: DataFrame, rules: tuple = R.RULES, recognised: DataFrame | None = None) -> DataFrame:
     """Each distinct concept of the reference texts against the automatic texts of its call: ``audio_id, category, mot,
     status, perceived, score``.
 
-    CORRECT where the normalised concept stands in a normalised automatic text; else SUBSTITUTION by the most similar
-    automatic word (ratio at least ``LEAST_RATIO``, the first in alphabetical order of equals); else DELETION. A concept
+    CORRECT where the normalised concept stands in a normalised automatic text, perceived as it is written there (in the
+    first such text; as in the reference where only the normalised forms agree); else SUBSTITUTION by a span of a
+    recogniser (``recognised``: ``audio_id, text_id, mot, start`` of the automatic texts) of ratio above
+    ``LEAST_RATIO``, the first in order of text and place; else by the most similar automatic word (ratio at least ``LEAST_RATIO``, the first in alphabetical order of equals); else DELETION. A concept
     that the automatic transcript splits over two texts is not found in either. The concepts of a call, few and distinct,
     meet its texts in one row a call; only what is left goes to the ratio.
     """
     wanted = distinct_entities(entities(reference, rules)).select("audio_id", "category", "mot")
     wanted = wanted.withColumn("norm", T.normalize_detect(F.col("mot"))).where("norm <> ''")
     per_call = wanted.groupBy("audio_id").agg(F.collect_set("norm").alias("norms"))
-    auto = automatic.where("text IS NOT NULL").select("audio_id", T.normalize_detect(F.col("text")).alias("asr"))
-    heard = auto.join(per_call, "audio_id").select("audio_id", F.explode(F.filter("norms", lambda n: F.contains(F.col("asr"), n))).alias("norm"))
-    heard = heard.distinct().withColumn("heard", F.lit(True))
+    plain = T.strip_accents(F.lower(F.col("text")))
+    auto = automatic.where("text IS NOT NULL").select("audio_id", "text_id", "text", plain.alias("plain"), T.normalize_detect(F.col("text")).alias("asr"))
+    heard = auto.join(per_call, "audio_id")
+    heard = heard.select("audio_id", "text_id", "text", "plain", F.explode(F.filter("norms", lambda n: F.contains(F.col("asr"), n))).alias("norm"))
+    at = F.when(F.length("plain") == F.length("text"), F.expr("locate(norm, plain)")).otherwise(0)
+    written = F.when(at > 0, F.substr("text", at, F.length("norm")))
+    heard = heard.groupBy("audio_id", "norm").agg(F.min(F.struct("text_id", written.alias("written"))).alias("h"))
+    heard = heard.select("audio_id", "norm", F.col("h.written").alias("written"), F.lit(True).alias("heard"))
     x = wanted.join(heard, ["audio_id", "norm"], "left")
     lost = x.where("heard IS NULL").select("audio_id", "norm").distinct()
     close = lost.join(vocabulary(automatic), "audio_id")
@@ -71,10 +84,16 @@ def outcomes(reference: DataFrame, automatic: DataFrame, rules: tuple = R.RULES)
     close = close.where(2.0 * F.least(n, m) >= LEAST_RATIO * (n + m)).withColumn("r", T.similarity_ratio("norm", "word"))
     w = Window.partitionBy("audio_id", "norm").orderBy(F.desc("r"), "word")
     best = close.where(F.col("r") >= LEAST_RATIO).withColumn("k", F.row_number().over(w)).where("k = 1").select("audio_id", "norm", "word", "r")
+    if recognised is not None:
+        spans = lost.join(recognised.select("audio_id", "text_id", "start", F.col("mot").alias("word")), "audio_id")
+        spans = spans.withColumn("r", T.similarity_ratio("norm", F.lower("word"))).where(F.col("r") > LEAST_RATIO)
+        first = spans.groupBy("audio_id", "norm").agg(F.min(F.struct("text_id", "start", "word", "r")).alias("s"))
+        first = first.select("audio_id", "norm", F.col("s.word").alias("word"), F.col("s.r").alias("r"))
+        best = first.unionByName(best.join(first, ["audio_id", "norm"], "left_anti"))
     x = x.join(best, ["audio_id", "norm"], "left")
     status = F.when(F.col("heard"), "CORRECT").when(F.col("r").isNotNull(), "SUBSTITUTION").otherwise("DELETION")
     return x.select(
-        "audio_id", "category", "mot", status.alias("status"), F.when(F.col("heard"), F.col("mot")).otherwise(F.col("word")).alias("perceived"),
+        "audio_id", "category", "mot", status.alias("status"), F.when(F.col("heard"), F.coalesce("written", "mot")).otherwise(F.col("word")).alias("perceived"),
         F.when(F.col("heard"), 1.0).otherwise(F.coalesce("r", F.lit(0.0))).alias("score"),
     )
 
@@ -89,6 +108,23 @@ def concept_error_rates(found: DataFrame, by: str = "audio_id") -> DataFrame:
     )
 
 
+def performance_by_root(found: DataFrame) -> DataFrame:
+    """Outcomes by concept root (the category before ``_AUTO``): ``root, n, n_correct, rate, by_source``; ``by_source``
+    counts the correct ones by their column ``source`` (``rules`` where there is none)."""
+    x = found if "source" in found.columns else found.withColumn("source", F.lit("rules"))
+    x = x.withColumn("root", F.split("category", "_AUTO")[0])
+    per = x.groupBy("root", "source").agg(F.count("*").alias("n"), F.count(F.when(F.col("status") == "CORRECT", 1)).alias("c"))
+    kept = F.filter(F.array_sort(F.collect_list(F.struct("source", "c"))), lambda s: s["c"] > 0)
+    out = per.groupBy("root").agg(F.sum("n").alias("n"), F.sum("c").alias("n_correct"), F.map_from_entries(kept).alias("by_source"))
+    return out.select("root", "n", "n_correct", F.round(100.0 * F.col("n_correct") / F.col("n"), 6).alias("rate"), "by_source")
+
+
+def perceived(found: DataFrame, results: DataFrame) -> DataFrame:
+    """Entities with ``percu``: whether a correct concept of their call has the same text."""
+    ok = results.where("status = 'CORRECT'").select("audio_id", "mot").distinct().withColumn("percu", F.lit(True))
+    return found.join(ok, ["audio_id", "mot"], "left").withColumn("percu", F.coalesce("percu", F.lit(False)))
+
+
 def insertions(reference: DataFrame, automatic: DataFrame, rules: tuple = R.RULES, least: int = 5) -> DataFrame:
     """Words of the automatic transcript of a call that its reference has nowhere: ``audio_id, word``; words shorter than
     ``least``, stopwords and words of the call's own concepts are none."""

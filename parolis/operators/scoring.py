@@ -146,6 +146,13 @@ def adaptive_threshold(scores: DataFrame, kind: str) -> DataFrame:
     return scores.agg(F.when(F.count(own) > ENOUGH, adaptive).otherwise(F.lit(FALLBACK)).alias("threshold"))
 
 
+def five_numbers(scores: DataFrame) -> DataFrame:
+    """What a box plot of the scores of each kind needs: ``kind, n, low, q1, median, q3, high``."""
+    q = F.percentile("score", [0.25, 0.5, 0.75])
+    x = scores.groupBy("kind").agg(F.count("score").alias("n"), F.min("score").alias("low"), q.alias("q"), F.max("score").alias("high"))
+    return x.select("kind", "n", "low", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "high")
+
+
 def decide(scores: DataFrame, threshold: DataFrame) -> DataFrame:
     """Scores with ``same_speaker`` by the one row ``threshold``."""
     one = threshold.select("threshold").limit(1)

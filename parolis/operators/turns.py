@@ -62,6 +62,21 @@ def with_ordinals(turns: DataFrame) -> DataFrame:
     return t.withColumn("utt_id", F.concat_ws("_", "audio_id", "speaker", F.col("ordinal").cast("string")))
 
 
+def by_count(turns: DataFrame) -> DataFrame:
+    """``audio_id, n`` of all calls, those with the most turns first, ties by id."""
+    return turns.groupBy("audio_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "audio_id")
+
+
+def restricted(rows: DataFrame, column: str, allowed: list[str] | None) -> DataFrame:
+    """Rows whose ``column`` is in a list of references; without a list, or with an empty one, all rows."""
+    return rows.where(F.col(column).isin(*allowed)) if allowed else rows
+
+
+def discussion_number(name: Column) -> Column:
+    """The digits a file name begins with, else ``unknown``."""
+    return F.coalesce(F.nullif(F.regexp_extract(name, r"^(\d+)", 1), F.lit("")), F.lit("unknown"))
+
+
 def cleaned(turns: DataFrame, seconds: float = CLEAN_SECONDS, renumber: bool = False) -> DataFrame:
     """Turns longer than ``seconds``, strictly. Numbers are of all turns; ``renumber`` counts the kept ones instead."""
     long = F.col("duration") > seconds

@@ -9,8 +9,9 @@ from parolis.functions import rules as R
 from parolis.functions import text as T
 from parolis.operators import entities as E
 from parolis.operators.overlap import attribute_speaker, words_in_window
-from parolis.operators.turns import valid_turns
-from parolis.plans.overlap import MARGIN, annotations_once, timed_words
+from parolis.operators.turns import by_count, valid_turns
+from parolis.plans.overlap import MARGIN, WINDOW_SQL, annotations_once, timed_words
+from parolis.plans.turns import TURNS_SQL
 from parolis.runtime import table
 
 
@@ -105,11 +106,33 @@ def entity_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("text_id").alias("seg_id"), "category", "mot", F.coalesce(F.round("s", 2), F.lit(0.0)).alias("start_s"), F.coalesce(F.round("e", 2), F.lit(0.0)).alias("end_s"), F.coalesce("speaker", F.lit("INCONNU")).alias("speaker"))
 
 
-def hybrid_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per category the concepts of annotations that the words within the margin also hold."""
+def entity_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.performance_by_root(entity_outcomes(spark, sf_dir)).drop("by_source")
+
+
+def entity_perceived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = E.distinct_entities(entity_spans(spark, sf_dir))
+    return E.perceived(found, entity_outcomes(spark, sf_dir)).select("audio_id", "category", "mot", "percu")
+
+
+def entity_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.distinct_spans(entity_spans(spark, sf_dir)).select("text_id", "category", "start", "end", "rule_no", "mot")
+
+
+def calls_by_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return by_count(valid_turns(table(spark, sf_dir, "turns")))
+
+
+def hybrid_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Concepts of annotations, of all speakers together, and whether the words within the margin hold them too."""
     a = annotations_once(spark, sf_dir).where("tier NOT IN ('Ac_ev', 'bruit')")
     near = words_in_window(a, timed_words(spark, sf_dir), MARGIN).withColumnRenamed("text", "hyp")
-    x = a.join(near, "entity_id").select("entity_id", F.explode(R.retained("text", "hyp")).alias("x")).select("entity_id", "x.*")
+    return a.join(near, "entity_id").select("entity_id", F.explode(R.retained("text", "hyp")).alias("x")).select("entity_id", "x.*")
+
+
+def hybrid_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per category the concepts of annotations that the words within the margin also hold."""
+    x = hybrid_lists(spark, sf_dir)
     kept = F.count(F.when(F.col("kept"), 1))
     return x.groupBy("category").agg(F.count("*").alias("n_expected"), kept.alias("n_found"), F.round(100.0 * kept / F.count("*"), 6).alias("score"))
 
@@ -168,6 +191,7 @@ QUERIES = {
     "normalize_text": normalize_text, "clean_annotations": clean_annotations, "strip_accents": strip_accents, "gazetteer": gazetteer,
     "gazetteer_match": gazetteer_match, "entity_spans": entity_spans, "entity_counts": entity_counts, "entity_dedup": entity_dedup,
     "entity_outcomes": entity_outcomes, "entity_correct": entity_correct, "wer_domain": wer_domain, "wer_domain_by_category": wer_domain_by_category, "insertions": insertions,
+    "entity_roots": entity_roots, "entity_perceived": entity_perceived, "entity_span_dedup": entity_span_dedup, "calls_by_count": calls_by_count, "hybrid_lists": hybrid_lists,
     "entity_speakers": entity_speakers, "hybrid_retention": hybrid_retention, "wer_segment": wer_segment, "wer_global": wer_global,
     "context_words": context_words, "context_scores": context_scores, "context_scores_loose": context_scores_loose, "context_frequency": context_frequency,
 }
@@ -253,7 +277,27 @@ def _doubt(d: tuple[str, tuple, tuple]) -> str:
 
 _PLACES = r""", l AS (SELECT DISTINCT lower(trim(replace(unnest(regexp_extract_all(text, 'Secteur : ([^\r\n]+)', 1)), '-', ' '))) AS place FROM documents WHERE text IS NOT NULL)"""
 
+_CORRECT = f""", d AS (SELECT DISTINCT audio_id, category, trim(mot) AS mot, {_detect('trim(mot)')} AS norm FROM m),
+h AS (SELECT audio_id, {_detect('text')} AS heard FROM s),
+ok AS (SELECT *, EXISTS (SELECT 1 FROM h WHERE h.audio_id = d.audio_id AND contains(h.heard, d.norm)) AS correct FROM d WHERE norm <> '')"""
+_HYBRID = WINDOW_SQL(MARGIN).replace("WITH t AS", "WITH y AS (SELECT 1), t AS", 1)
+_HYBRID = "WITH near AS (" + _HYBRID + ")" + """, an AS (SELECT ann_id AS entity_id, any_value(text) AS text FROM annotations
+  WHERE audio_id IS NOT NULL AND start IS NOT NULL AND "end" > start AND tier NOT IN ('Ac_ev', 'bruit') GROUP BY ann_id),
+pr AS (SELECT an.entity_id, strip_accents(lower(coalesce(an.text, ''))) AS r, strip_accents(lower(near.text)) AS h FROM an JOIN near USING (entity_id)),
+hl AS (""" + " UNION ALL ".join(
+    f"SELECT entity_id, '{x.category}' AS category, CAST({n} AS INT) AS rule_no, trim(regexp_extract(r, {_quoted(x.pattern)})) AS mot, regexp_matches(h, {_quoted(x.pattern)}) AS kept FROM pr WHERE regexp_matches(r, {_quoted(x.pattern)})"
+    for n, x in enumerate(R.RULES)
+) + ")"
+
 SQL = {
+    "entity_roots": _REF + _AUTO + _FOUND + _CORRECT + """ SELECT split_part(category, '_AUTO', 1) AS root, count(*) AS n, count(CASE WHEN correct THEN 1 END) AS n_correct,
+  round(100.0 * count(CASE WHEN correct THEN 1 END) / count(*), 6) AS rate FROM ok GROUP BY 1""",
+    "entity_perceived": _REF + _AUTO + _FOUND + _CORRECT + """ SELECT audio_id, category, mot, bool_or(coalesce(c.correct, FALSE)) AS percu
+FROM (SELECT DISTINCT audio_id, category, trim(mot) AS mot FROM m) LEFT JOIN (SELECT audio_id, mot, correct FROM ok WHERE correct) c USING (audio_id, mot) GROUP BY ALL""",
+    "entity_span_dedup": _REF + _ENTITIES + """ SELECT text_id, category, start, "end", min(rule_no) AS rule_no, arg_min(mot, rule_no) AS mot FROM e GROUP BY audio_id, text_id, category, start, "end\"""",
+    "calls_by_count": TURNS_SQL + "SELECT audio_id, count(*) AS n FROM t GROUP BY audio_id",
+    "hybrid_lists": _HYBRID + " SELECT entity_id, category, rule_no, mot, kept FROM hl",
+    "hybrid_retention": _HYBRID + " SELECT category, count(*) AS n_expected, count(CASE WHEN kept THEN 1 END) AS n_found, round(100.0 * count(CASE WHEN kept THEN 1 END) / count(*), 6) AS score FROM hl GROUP BY category",
     "normalize_text": _REF + f" SELECT text_id, {_detect('text')} AS detect, " + r"trim(regexp_replace(lower(text), '[^\p{L}\p{M}\p{Nd}\p{Pc}]+', ' ', 'g')) AS display FROM r",
     "clean_annotations": _REF + " SELECT text_id, audio_id, text FROM r",
     "gazetteer": "WITH r AS (SELECT 1)" + _PLACES + " SELECT place FROM l",

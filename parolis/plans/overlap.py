@@ -86,6 +86,8 @@ def _window_sql(margin: float) -> str:
 FROM a LEFT JOIN w ON a.audio_id = w.audio_id AND w.rs < a.e + {margin} AND w.re > a.s - {margin} GROUP BY a.entity_id"""
 
 
+WINDOW_SQL = _window_sql
+
 SQL = {
     "overlap_attribution": TURNS_SQL + _A + """, p AS (SELECT a.entity_id, t.speaker, round(least(a.e, t."end") - greatest(a.s, t.start), 6) AS overlap,
   row_number() OVER (PARTITION BY a.entity_id ORDER BY round(least(a.e, t."end") - greatest(a.s, t.start), 6) DESC, t.start, t."end", t.speaker DESC) AS k

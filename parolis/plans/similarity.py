@@ -168,6 +168,11 @@ def decision_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(scoring.decision_stats(scoring.decide(scores, fixed)), "pct_same")
 
 
+def score_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quartiles of the scores against the reference by kind of speaker."""
+    return _rounded(scoring.five_numbers(_typed(spark, sf_dir)), "low", "q1", "median", "q3", "high")
+
+
 def best_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = segments(spark, sf_dir).withColumn("quality", F.coalesce("duration", F.lit(0.0)))
     return _rounded(scoring.best_reference(s.select("utt_id", "v", "quality")), "quality_norm", "similarity_norm", "combined")
@@ -194,7 +199,7 @@ QUERIES = {
     "cooccurrence_matrix": cooccurrence_matrix, "topn_network": topn_network, "in_degree": in_degree, "score_cosine": _score("cosine"),
     "score_snorm": _score("snorm"), "score_asnorm": _score("asnorm"), "score_adnorm": _score("adnorm"), "best_reference": best_reference,
     "adaptive_decision": adaptive_decision, "decision_stats": decision_stats, "similarity_histogram": similarity_histogram,
-    "similarity_bands": similarity_bands,
+    "similarity_bands": similarity_bands, "score_boxes": score_boxes,
 }
 
 # --- SQL -------------------------------------------------------------------------------------------------------------
@@ -312,6 +317,8 @@ SELECT row_number() OVER (ORDER BY round(combined, 12) DESC, utt_id) AS rank, ut
 SELECT utt_id, kind, score, round(threshold, 6) + 0.0 AS threshold, score >= threshold AS same_speaker FROM y, h""",
     "decision_stats": _TYPED + """SELECT kind, discussion, count(*) FILTER (score >= 0.05) AS n_same, count(*) FILTER (score < 0.05) AS n_diff, count(*) AS n,
   round(100.0 * count(*) FILTER (score >= 0.05) / count(*), 6) + 0.0 AS pct_same FROM y GROUP BY GROUPING SETS ((kind), (discussion), ())""",
+    "score_boxes": _TYPED + """SELECT kind, count(score) AS n, round(min(score), 6) + 0.0 AS low, round(quantile_cont(score, 0.25), 6) + 0.0 AS q1,
+  round(quantile_cont(score, 0.5), 6) + 0.0 AS median, round(quantile_cont(score, 0.75), 6) + 0.0 AS q3, round(max(score), 6) + 0.0 AS high FROM y GROUP BY kind""",
     "similarity_histogram": _TYPED + "SELECT CAST(least(greatest(floor((score + 1) * 15), 0), 29) AS BIGINT) AS bin, count(*) AS n FROM y GROUP BY 1",
     "similarity_bands": f"""WITH i AS ({_INTER_TOPK}) SELECT CASE WHEN sim < 0 THEN '-1..0' WHEN sim < 0.2 THEN '0..0.2' WHEN sim < 0.4 THEN '0.2..0.4'
   WHEN sim < 0.6 THEN '0.4..0.6' WHEN sim < 0.8 THEN '0.6..0.8' ELSE '0.8..1' END AS band, count(*) AS n FROM i GROUP BY 1""",

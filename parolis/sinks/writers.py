@@ -71,14 +71,43 @@ def matrix_csv(matrix: DataFrame, path: str) -> None:
     matrix.orderBy("ref").coalesce(1).write.mode("overwrite").csv(path, sep=";", header=True)
 
 
-def evaluation_json(outcomes: DataFrame, rates: DataFrame, path: str) -> None:
-    """Per call ``audio_id, statistiques, details`` with the items of each outcome."""
+def evaluation_json(outcomes: DataFrame, rates: DataFrame, path: str, insertions: DataFrame | None = None) -> None:
+    """Per call ``audio_id, fichier_source, statistiques, details`` with the items of each outcome and, where given, the
+    inserted words (``audio_id, word``)."""
     items = lambda s: F.collect_list(F.when(F.col("status") == s, F.struct("category", "mot", "perceived", "score")))
     details = outcomes.groupBy("audio_id").agg(F.struct(items("CORRECT").alias("correct"), items("SUBSTITUTION").alias("substitutions"), items("DELETION").alias("deletions")).alias("details"))
-    stats = rates.select("audio_id", F.struct(*[c for c in rates.columns if c != "audio_id"]).alias("statistiques"))
+    if insertions is not None:
+        added = insertions.groupBy("audio_id").agg(F.array_sort(F.collect_set("word")).alias("w"))
+        none = F.array().cast("array<string>")
+        details = details.join(added, "audio_id", "left").select("audio_id", F.struct("details.*", F.coalesce("w", none).alias("insertions")).alias("details"))
+    stats = rates.select("audio_id", F.concat("audio_id", F.lit(".wav")).alias("fichier_source"), F.struct(*[c for c in rates.columns if c != "audio_id"]).alias("statistiques"))
     stats.join(details, "audio_id").write.mode("overwrite").json(path)
 
 
+def entity_list(entities: DataFrame, path: str) -> None:
+    """Entities ``audio_id, mot, category, speaker, start_s, end_s, source`` as ``mot, categorie, locuteur, debut_sec,
+    fin_sec, source_detection``, one JSON line each, in order of time within a call; a folder a call."""
+    x = entities.select(
+        "audio_id", "mot", F.col("category").alias("categorie"), F.col("speaker").alias("locuteur"), F.round("start_s", 2).alias("debut_sec"),
+        F.round("end_s", 2).alias("fin_sec"), F.col("source").alias("source_detection"),
+    )
+    x.repartition("audio_id").sortWithinPartitions("audio_id", "debut_sec", "mot").write.mode("overwrite").partitionBy("audio_id").json(path)
+
+
+def classification_csv(decided: DataFrame, path: str) -> None:
+    """Decisions ``utt_id, discussion, kind, score, same_speaker`` as ``Fichier,Discussion,Type,Score,Decision``."""
+    said = F.when(F.col("same_speaker"), "MÊME LOCUTEUR").otherwise("LOCUTEUR DIFFÉRENT")
+    x = decided.select(F.col("utt_id").alias("Fichier"), F.col("discussion").alias("Discussion"), F.col("kind").alias("Type"), F.col("score").alias("Score"), said.alias("Decision"))
+    x.repartitionByRange("Fichier").sortWithinPartitions("Fichier").write.mode("overwrite").csv(path, header=True)
+
+
+def classification_report(stats: DataFrame, path: str) -> None:
+    """Statistics by kind (``kind, n, n_same, n_diff, pct_same``; the total has no kind) as lines of a text."""
+    line = F.format_string("%-15s %8d %10d %12d %9.1f%%", F.coalesce("kind", F.lit("TOTAL")), "n", "n_same", "n_diff", "pct_same")
+    rows = stats.select(F.col("kind").isNull().alias("last"), "kind", line.alias("value"))
+    rows.orderBy("last", "kind").select("value").coalesce(1).write.mode("overwrite").text(path)  # a row a kind
+
+
 def diarisation_json(turns: DataFrame, path: str) -> None:
     """Documents ``{"files": [{"file", "turns"}]}``, one a call, turns in order."""
     parts = F.array_sort(F.collect_list(F.struct("turn_no", "start", "end", "speaker")))

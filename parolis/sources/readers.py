@@ -152,8 +152,8 @@ def segment_catalogue(spark: SparkSession, path: str, speaker: str | None = None
 
 
 def worklist(spark: SparkSession, path: str) -> DataFrame:
-    """``file``: one name a line, blank lines skipped."""
-    return spark.read.text(path).select(F.trim("value").alias("file")).where("file <> ''")
+    """``file``: one name a line; blank lines and recordings that were improved already are skipped."""
+    return spark.read.text(path).select(F.trim("value").alias("file")).where("file <> '' AND NOT endswith(file, '_ameliore.wav')")
 
 
 def wav_samples(spark: SparkSession, path: str, rate: int = 16_000) -> DataFrame:

@@ -69,7 +69,7 @@ def test_outcomes_rates_and_insertions(spark):
     asr = spark.createDataFrame([("c", 1, "Odeur de gaz"), ("c", 2, "il vomi encore beaucoup"), ("e", 9, "feu")], "audio_id string, text_id int, text string")
     out = E.outcomes(ref, asr)
     got = {(r.audio_id, r.mot): (r.status, r.perceived) for r in out.collect()}
-    assert got == {("c", "odeur de gaz"): ("CORRECT", "odeur de gaz"), ("c", "vomit"): ("SUBSTITUTION", "vomi"), ("c", "tremble"): ("DELETION", None), ("d", "mairie"): ("DELETION", None)}
+    assert got == {("c", "odeur de gaz"): ("CORRECT", "Odeur de gaz"), ("c", "vomit"): ("SUBSTITUTION", "vomi"), ("c", "tremble"): ("DELETION", None), ("d", "mairie"): ("DELETION", None)}
     rates = {r.audio_id: r for r in E.concept_error_rates(out).collect()}
     assert rates["c"].n == 3 and rates["c"].wer == pytest.approx(2 / 3) and rates["c"].precision == pytest.approx(100 / 3)
     assert rows(E.insertions(ref, asr)) == [("c", "beaucoup"), ("c", "encore")]
