@@ -200,8 +200,9 @@ def pieces(
     ).where("entity IS NOT NULL AND seg_id IS NOT NULL")
     kind = "entity string, seg_id bigint, t double, pieces array<struct<speaker: string, text: string>>"
     parts = rows.mapInArrow(_pieces(with_text), kind).where(F.size("pieces") > 0)
-    # segments without any time go last, in order of id, in slices of ids
-    parts = parts.withColumn("slice", F.coalesce(F.floor(F.col("t") / slice_s), F.lit(2**61) + F.floor(F.col("seg_id") / UNTIMED)))
+    # segments without any time go last, in order of id, in slices of ids; never null, so that both sides of the join
+    # below read the same exchange
+    parts = parts.withColumn("slice", F.coalesce(F.floor(F.col("t") / slice_s), F.lit(2**61) + F.floor(F.col("seg_id") / UNTIMED), F.lit(2**62)))
 
     # one exchange: everything below until the joins is grouped by (call, slice)
     parts = parts.repartition("entity", "slice")
