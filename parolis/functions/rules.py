@@ -22,7 +22,8 @@ class Rule(NamedTuple):
     pattern: str
 
 
-#: A compact ontology of emergency calls; patterns use only what Python, Java and RE2 share.
+#: The rules of the queries, an example: every operator takes others, for instance those of ``readers.token_rules``.
+#: Patterns use only what Python, Java and RE2 share.
 RULES = (
     Rule("CONSCIENCE", r"\b(?:inconscient|a perdu connaissance|ne repond plus|parle de facon confuse)"),
     Rule("CONSCIENCE", r"\b(?:tremble|convulse|fait un malaise)\b"),
@@ -38,16 +39,25 @@ RULES = (
     Rule("MOYENS", r"\b(?:ambulances?|fourgon pompe|lance a mousse|motopompe|echelle|vsav)\b"),
     Rule("MESURE", r"\b(?:mille|cent|[a-z]+) (?:metres|kilometres|minutes)\b"),
     Rule("AGE", r"\b(?:\d+|un|deux|trois|six|dix) (?:ans|mois)\b"),
+    Rule("ROUTE", r"\b[adn] ?\d{1,4}\b"),
+    Rule("CODE_POSTAL", r"\b\d{5}\b"),
+    Rule("TELEPHONE", r"\b0[1-9](?:[ .-]?\d\d){4}\b"),
 )
 
 
+class _Folding(dict):
+    def __missing__(self, code: int) -> str:
+        base = unicodedata.normalize("NFD", chr(code))[0].lower()
+        self[code] = base if len(base) == 1 else chr(code)
+        return self[code]
+
+
+_FOLD = _Folding()
+
+
 def fold(text: str) -> str:
     """Lower case without accents, character for character."""
-    out = []
-    for c in text:
-        base = unicodedata.normalize("NFD", c)[0].lower()
-        out.append(base if len(base) == 1 else c)
-    return "".join(out)
+    return text.translate(_FOLD)
 
 
 def compile_tokens(pattern: list[dict]) -> str:
@@ -104,13 +114,16 @@ def spans(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     return udf(text)
 
 
-@F.pandas_udf(KEPT)
-def retained(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-    """Per text pair the first match of each default rule in ``ref`` and whether the rule also matches ``hyp``."""
+def retained(ref: Column, hyp: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """Per text pair the first match of each rule in ``ref`` and whether the rule also matches ``hyp``."""
 
     def one(r, h):
         r, h = fold(r or ""), fold(h or "")
-        found = ((c, n, p, p.search(r)) for n, (c, p) in enumerate(_compiled(RULES)))
+        found = ((c, n, p, p.search(r)) for n, (c, p) in enumerate(_compiled(rules)))
         return [{"category": c, "rule_no": n, "mot": m.group().strip(), "kept": bool(p.search(h))} for c, n, p, m in found if m]
 
-    return pd.Series([one(r, h) for r, h in zip(ref, hyp)])
+    @F.pandas_udf(KEPT)
+    def udf(ref: pd.Series, hyp: pd.Series) -> pd.Series:
+        return pd.Series([one(r, h) for r, h in zip(ref, hyp)])
+
+    return udf(ref, hyp)

@@ -125,12 +125,12 @@ def perceived(found: DataFrame, results: DataFrame) -> DataFrame:
     return found.join(ok, ["audio_id", "mot"], "left").withColumn("percu", F.coalesce("percu", F.lit(False)))
 
 
-def insertions(reference: DataFrame, automatic: DataFrame, rules: tuple = R.RULES, least: int = 5) -> DataFrame:
+def insertions(reference: DataFrame, automatic: DataFrame, rules: tuple = R.RULES, least: int = 5, stopwords: tuple = STOPWORDS) -> DataFrame:
     """Words of the automatic transcript of a call that its reference has nowhere: ``audio_id, word``; words shorter than
     ``least``, stopwords and words of the call's own concepts are none."""
     words = vocabulary(automatic).join(vocabulary(reference), ["audio_id", "word"], "left_anti")
     own = entities(reference, rules).select("audio_id", F.explode(F.split(T.normalize_detect(F.col("mot")), " ")).alias("word")).distinct()
-    words = words.where((F.length("word") >= least) & ~F.col("word").isin(*STOPWORDS))
+    words = words.where((F.length("word") >= least) & ~F.col("word").isin(*stopwords))
     called = reference.select("audio_id").distinct()
     return words.join(called, "audio_id", "left_semi").join(own, ["audio_id", "word"], "left_anti")
 

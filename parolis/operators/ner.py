@@ -17,7 +17,7 @@ from parolis.functions.text import strip_accents
 FUNCTION_WORDS = ("sur", "sous", "dans", "vers", "près", "de", "du", "la", "le", "les", "lès")
 UNITS = ("mètre", "metre", "mètres", "metres", "km", "kilomètre", "kilometre", "kilomètres", "kilometres")
 NUMBER_WORDS = ("un", "deux", "trois", "quatre", "cinq", "six", "sept", "huit", "neuf", "dix", "vingt", "trente", "quarante", "cinquante", "soixante", "cent", "mille")
-#: Fragments that make a place match a false positive.
+# Fragments that make a place match a false positive.
 PLACE_NOISE = ("tant que", "tant qu", "pour", "c'est", "c est", "donc", "a un", "le", "la")
 
 SPANS = S.ArrayType(S.StructType([S.StructField("mot", S.StringType()), S.StructField("start", S.IntegerType()), S.StructField("end", S.IntegerType()), S.StructField("label", S.StringType())]))

@@ -127,7 +127,7 @@ def hybrid_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Concepts of annotations, of all speakers together, and whether the words within the margin hold them too."""
     a = annotations_once(spark, sf_dir).where("tier NOT IN ('Ac_ev', 'bruit')")
     near = words_in_window(a, timed_words(spark, sf_dir), MARGIN).withColumnRenamed("text", "hyp")
-    return a.join(near, "entity_id").select("entity_id", F.explode(R.retained("text", "hyp")).alias("x")).select("entity_id", "x.*")
+    return a.join(near, "entity_id").select("entity_id", F.explode(R.retained(F.col("text"), F.col("hyp"))).alias("x")).select("entity_id", "x.*")
 
 
 def hybrid_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
