@@ -131,21 +131,26 @@ def pair_statistics(segments: DataFrame, block: int = BLOCK) -> DataFrame:
     """
 
     def visit(ka, a, kb, b) -> pa.Table:
-        s = a @ b.T
-        da, ua = np.asarray([k.split("\x1f") for k in ka], dtype=object).reshape(-1, 2).T
-        db, ub = np.asarray([k.split("\x1f") for k in kb], dtype=object).reshape(-1, 2).T
-        out = []
-        for x in sorted(set(da)):
-            for y in sorted(set(db)):
-                part = s[np.ix_(da == x, db == y)]
-                if x == y:
-                    part = part[ua[da == x][:, None] < ub[db == y][None, :]]
-                if part.size:
-                    out.append((x, y, part.size, part.sum(), (part**2).sum(), part.min(), part.max()))
         names = ["ref", "target", "n", "s", "ss", "lo", "hi"]
         kinds = [pa.string(), pa.string(), pa.int64(), *[pa.float64()] * 4]
-        cols = list(zip(*out)) if out else [[]] * 7
-        return pa.table({c: pa.array(list(v), t) for c, v, t in zip(names, cols, kinds)})
+        if not len(ka) or not len(kb):
+            return pa.table({c: pa.array([], t) for c, t in zip(names, kinds)})
+        parts = np.array([k.split("\x1f") for k in (*ka, *kb)], dtype=str)
+        labels, of = np.unique(parts[:, 0], return_inverse=True)
+        nth = np.unique(parts[:, 1], return_inverse=True)[1]
+        left, right = np.argsort(of[: len(ka)], kind="stable"), np.argsort(of[len(ka) :], kind="stable")
+        da, db = of[: len(ka)][left], of[len(ka) :][right]
+        # rows and columns in order of discussion: a pair of discussions is a rectangle
+        x, y = (np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1]))) for d in (da, db))
+        s = a[left] @ b[right].T
+        counts = (da[:, None] != db[None, :]) | (nth[: len(ka)][left][:, None] < nth[len(ka) :][right][None, :])
+        over = lambda f, m: f.reduceat(f.reduceat(m, x, axis=0), y, axis=1)
+        n = over(np.add, counts.astype(np.int64))
+        i, j = np.nonzero(n)
+        one = np.where(counts, s, 0.0)
+        values = (n, over(np.add, one), over(np.add, one**2), over(np.minimum, np.where(counts, s, np.inf)), over(np.maximum, np.where(counts, s, -np.inf)))
+        cols = [labels[da[x[i]]], labels[db[y[j]]], *(v[i, j] for v in values)]
+        return pa.table({c: pa.array(v, t) for c, v, t in zip(names, cols, kinds)})
 
     key = F.concat_ws("\x1f", F.col("discussion").cast("string"), F.col("utt_id").cast("string"))
     rows = segments.select(key.alias("key"), "v")
