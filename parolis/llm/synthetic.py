@@ -45,7 +45,7 @@ _TRAPS = (
     "{h} h {m}, relève du groupe", "Il fait {a},{b} degrés dehors", "Pression {c}/{b0} mesurée", "Palette {a}-{m} livrée", "Affaire {y}-{six}", "Pompe sn-{a}-{seven}",
     "Bordereau {y}", "passez canal {a}", "réglage {a},{b} via relais {b}", "La rue {sn} reste bouchée", "rendez-vous place {sn}", "Le bus {a} tourne place {sn}",
     "au fond du chemin creux", "voyez le quai numéro trois", "devant l'ancien lotissement", "Faites le 17 ou le 115", "borne {a} de la d {c}", "Zone {b} ter",
-    "à {town}", "vers {town}", "Commune : {town}", "à peine {c} mètres", "Binôme {b} sur canal {a}", "cinq rues plus bas", "un chemin boueux", "une place vide",
+    "à {town}", "vers {town}", "Commune : {town}", "à peine {c} mètres", "Binôme {b} canal {a}", "cinq rues plus bas", "un chemin boueux", "une place vide",
     "quelqu'un route fermée", "six places debout", "{h}h{m} départ", "[00:{m}:{a}] fin", "near {town} within {c} metres", "noch {c} Meter bis {town}", "unos {c} metros de {town}",
     "la voie numéro {b}", "le quai {b}", "le boulevard reste ouvert", "monsieur boite", "madame pleure beaucoup", "le docteur repart", "docteur vient voir",
     "Eine junge Frau wartet", "eine Frau ruft laut", "una señora espera", "la señora vieja espera", "monsieur a froid", "madame tousse un peu", "le docteur reste joignable",
@@ -60,7 +60,7 @@ _TRAPS = (
     "Der {noun} {verb_de} {noun2} {town}", "der {noun} am {noun2} {town} noch {c} Meter", "Ein {noun} kommt {noun2} {town}", "Die {noun} sperrt uns {noun2} {noun3} {town}", "alles leer {noun} {town} dort",
     "réglage {a},{b} @ pylône {b}", "niveau {b} @ borne", "waiting at the corner", "he stays at a bridge", "a boy sits at our gate", "smoke at {town}", "she fell at the {thing}",
     "Le {thing} {town}", "La {thing2} Neuve", "Trois Le", "Du Stade {town}", "Centre de Secours", "{shout}", "{shout}", "{shout}", "{shout}", "{shout}", "{shout}",
-    "Un {thing} d'{noun} {verb} la {thing2}", "une {thing2} d'acier {verb} tout", "Le {thing} neuf d'acier", "{sp} {count} d'un coup",
+    "Un {thing} d'{noun} {verb} la {thing2}", "une {thing2} d'acier {verb} tout", "Le {thing} neuf d'acier", "{sp} {count} d'un bloc",
     "Le {thing} neuf {verb} le {thing2} vide", "la {thing2} neuve {verb} l'{thing} neuf", "un {thing} neuf {verb} l'ancien {thing}", "le {thing} {b} {verb} la {thing2} rouge",
     "die {noun} {noun2} {town} etwas weiter", "Das {noun} {verb_de} die {noun2} {town}", "wir sehen den {noun} {noun2} {town}", "ein {noun} {verb_de} {noun2} {town} im {noun3}",
 )
