@@ -12,11 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parolis.functions import vec
+from parolis.operators import blocks
 
 #: Weight of a segment whose duration is unknown.
 DEFAULT_WEIGHT = 2.0
-#: Vectors of one block of an all-pairs product.
-BLOCK = 1024
+#: Vectors of one block of an all-pairs product; partitions of its right side where a left block need not see all of it at once.
+BLOCK, RIGHT_PARTS = 1024, 4
 
 
 def top_by_centroid(segments: DataFrame, k: int = 3) -> DataFrame:
@@ -123,43 +124,130 @@ def nearest_profiles(prof: DataFrame, n: int, decimals: int = 12, block: int = B
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+PAIRS = "ref string, target string, n_pairs bigint, mean_sim double, min_sim double, max_sim double, std_sim double"
+
+
+def _statistics(n, s, ss, lo, hi) -> dict:
+    mean = s / n
+    return {"n_pairs": pa.array(n, pa.int64()), "mean_sim": mean, "min_sim": lo, "max_sim": hi, "std_sim": np.sqrt(np.maximum(ss / n - mean**2, 0.0))}
+
+
+def inner_statistics(segments: DataFrame) -> DataFrame:
+    """Statistics of the cosines of the unordered pairs of different segments of each discussion: ``ref, target`` (both the
+    discussion) and the rest as in ``pair_statistics``. One exchange by discussion; the vectors of one discussion must fit a
+    task, its pairs are formed tile by tile."""
+
+    def one(t: pa.Table) -> tuple:
+        u = blocks.unit(blocks.matrix(t.column("v")))
+        nth = np.unique(t.column("utt_id").to_numpy(), return_inverse=True)[1]
+        n, s, ss, lo, hi = 0, 0.0, 0.0, np.inf, -np.inf
+        for i in range(0, len(u), blocks.TILE):
+            for j in range(i, len(u), blocks.TILE):
+                x = u[i : i + blocks.TILE] @ u[j : j + blocks.TILE].T
+                differ = nth[i : i + blocks.TILE, None] != nth[None, j : j + blocks.TILE]
+                x = x[np.triu(differ, 1) if i == j else differ]
+                if len(x):
+                    n, s, ss, lo, hi = n + len(x), s + x.sum(), ss + (x**2).sum(), min(lo, x.min()), max(hi, x.max())
+        return n, s, ss, lo, hi
+
+    def run(batches):
+        for whole in blocks.grouped(batches, "discussion"):
+            found = [(t.column("discussion")[0].as_py(), *one(t)) for t in blocks._groups(whole, "discussion")]
+            names, *sums = zip(*[f for f in found if f[1]]) if any(f[1] for f in found) else [()] * 6
+            ref = pa.array(names, pa.string())
+            yield pa.RecordBatch.from_pydict({"ref": ref, "target": ref, **_statistics(*(np.asarray(x, dtype=np.float64) for x in sums))})
+
+    rows = segments.select(F.col("discussion").cast("string").alias("discussion"), "utt_id", "v")
+    return blocks.by_group(rows, "discussion").mapInArrow(run, PAIRS)
+
+
 def pair_statistics(segments: DataFrame, block: int = BLOCK) -> DataFrame:
     """Statistics of the cosines of all segment pairs: ``ref, target, n_pairs, mean_sim, min_sim, max_sim, std_sim``.
 
     Within a discussion (``ref = target``) each unordered pair of different segments counts once, between two
-    discussions each (ref, target) pair. Block results are partial sums; only they are shuffled again.
+    discussions each (ref, target) pair.
     """
-
-    def visit(ka, a, kb, b) -> pa.Table:
-        names = ["ref", "target", "n", "s", "ss", "lo", "hi"]
-        kinds = [pa.string(), pa.string(), pa.int64(), *[pa.float64()] * 4]
-        if not len(ka) or not len(kb):
-            return pa.table({c: pa.array([], t) for c, t in zip(names, kinds)})
-        parts = np.array([k.split("\x1f") for k in (*ka, *kb)], dtype=str)
-        labels, of = np.unique(parts[:, 0], return_inverse=True)
-        nth = np.unique(parts[:, 1], return_inverse=True)[1]
-        left, right = np.argsort(of[: len(ka)], kind="stable"), np.argsort(of[len(ka) :], kind="stable")
-        da, db = of[: len(ka)][left], of[len(ka) :][right]
-        # rows and columns in order of discussion: a pair of discussions is a rectangle
-        x, y = (np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1]))) for d in (da, db))
-        s = a[left] @ b[right].T
-        counts = (da[:, None] != db[None, :]) | (nth[: len(ka)][left][:, None] < nth[len(ka) :][right][None, :])
-        over = lambda f, m: f.reduceat(f.reduceat(m, x, axis=0), y, axis=1)
-        n = over(np.add, counts.astype(np.int64))
-        i, j = np.nonzero(n)
-        one = np.where(counts, s, 0.0)
-        values = (n, over(np.add, one), over(np.add, one**2), over(np.minimum, np.where(counts, s, np.inf)), over(np.maximum, np.where(counts, s, -np.inf)))
-        cols = [labels[da[x[i]]], labels[db[y[j]]], *(v[i, j] for v in values)]
-        return pa.table({c: pa.array(v, t) for c, v, t in zip(names, cols, kinds)})
-
-    key = F.concat_ws("\x1f", F.col("discussion").cast("string"), F.col("utt_id").cast("string"))
-    rows = segments.select(key.alias("key"), "v")
-    parts = _block_product(rows, visit, "ref string, target string, n bigint, s double, ss double, lo double, hi double", block)
-    n, s, ss = F.sum("n"), F.sum("s"), F.sum("ss")
-    return parts.groupBy("ref", "target").agg(
-        n.alias("n_pairs"), (s / n).alias("mean_sim"), F.min("lo").alias("min_sim"), F.max("hi").alias("max_sim"),
-        F.sqrt(F.greatest(ss / n - (s / n) ** 2, F.lit(0.0))).alias("std_sim"),
-    )
+    return inner_statistics(segments).unionByName(outer_statistics(segments, block))
+
+
+def outer_statistics(segments: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``pair_statistics`` between different discussions. No block ends inside a discussion, so a pair of discussions is one
+    rectangle of one product and its statistics are not shuffled."""
+
+    class Visitor:
+        def __init__(self, left) -> None:
+            self.names, self.starts = _runs(left.strings("groups"))
+            self.x, self.sizes = blocks.unit(left.x()), np.diff([*self.starts, left.number("n")])
+
+        def see(self, right):
+            names, starts = _runs(right.strings("groups"))
+            y, sizes = blocks.unit(right.x()), np.diff([*starts, right.number("n")])
+            names_b = pa.array(names, pa.string())
+            # some discussions of the left side at a time; those of many segments stand alone and are cut into tiles
+            i, step = 0, max(1, min(blocks.TILE, 2**22 // len(y)))
+            while i < len(self.names):
+                j = i + 1
+                while j < len(self.names) and self.sizes[i : j + 1].sum() <= min(256, step):
+                    j += 1
+                first, last = self.starts[i], self.starts[j - 1] + self.sizes[j - 1]
+                total = None
+                for r in range(first, last, step):
+                    end = min(last, r + step)
+                    rows = self.starts[i:j] - first if j > i + 1 else np.array([0])
+                    s = self.x[r:end] @ y.T
+                    over = lambda f, m, at=rows: f.reduceat(f.reduceat(m, starts, axis=1), at, axis=0)
+                    part = over(np.add, s), over(np.add, s * s), over(np.minimum, s), over(np.maximum, s)
+                    total = part if total is None else (total[0] + part[0], total[1] + part[1], np.minimum(total[2], part[2]), np.maximum(total[3], part[3]))
+                a, b = np.nonzero(self.names[i:j, None] != names[None, :])
+                n = (self.sizes[i:j, None] * sizes[None, :])[a, b]
+                ref = pa.array(self.names[i:j], pa.string()).take(pa.array(a))
+                yield pa.RecordBatch.from_pydict({"ref": ref, "target": names_b.take(pa.array(b)), **_statistics(n, *(v[a, b] for v in total))})
+                i = j
+
+        def end(self):
+            return ()
+
+    rows = segments.select(F.col("discussion").cast("string").alias("group"), F.col("utt_id").cast("string").alias("key"), "v")
+    x = blocks.packed(blocks.by_group(rows, "group"), block, whole="group")
+    return blocks.meet(x, x, RIGHT_PARTS, Visitor, PAIRS, vector_type(segments))
+
+
+def _runs(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The names in order of occurrence and where each begins."""
+    starts = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
+    return names[starts], starts
+
+
+def vector_type(rows: DataFrame) -> type:
+    return np.float32 if dict(rows.dtypes)["v"] == "array<float>" else np.float64
+
+
+def nearest_own(segments: DataFrame, k: int = 3) -> DataFrame:
+    """Each discussion's profile of the ``k`` segments nearest its centroid, and its cosines with the other segments:
+    ``discussion, profile, members, n_segments, mean_sim, min_sim, max_sim, std_sim, n_evaluated`` as ``intra`` gives over
+    ``top_by_centroid``. One exchange of the vectors as they are; those of one discussion must fit a task."""
+
+    def one(t: pa.Table) -> tuple:
+        v = blocks.matrix(t.column("v")).astype(np.float64)
+        ids, u = np.asarray(t.column("utt_id").to_pylist(), dtype=object), blocks.unit(v)
+        order = np.argsort(ids, kind="stable")
+        best = order[np.argsort(-(u @ blocks.unit(v.mean(axis=0)[None, :])[0]).round(12)[order], kind="stable")[:k]]
+        profile = v[best].mean(axis=0)
+        rest = np.delete(u, best, axis=0) @ blocks.unit(profile[None, :])[0]
+        stats = (rest.mean(), rest.min(), rest.max(), rest.std()) if len(rest) else (1.0, None, None, None)
+        return t.column("discussion")[0].as_py(), profile, ",".join(map(str, ids[best])), len(v), *stats, len(rest)
+
+    schema = "discussion string, profile array<double>, members string, n_segments bigint, mean_sim double, min_sim double, max_sim double, std_sim double, n_evaluated bigint"
+    kinds = [pa.string(), pa.list_(pa.float64()), pa.string(), pa.int64(), *[pa.float64()] * 4, pa.int64()]
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches):
+        for whole in blocks.grouped(batches, "discussion"):
+            cols = zip(*(one(t) for t in blocks._groups(whole, "discussion")))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(cols, kinds)], names)
+
+    rows = segments.select(F.col("discussion").cast("string").alias("discussion"), "utt_id", "v")
+    return blocks.by_group(rows, "discussion").mapInArrow(run, schema)
 
 
 def unit_means(segments: DataFrame) -> DataFrame:

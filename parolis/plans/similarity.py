@@ -14,22 +14,33 @@ from parolis.functions import vec
 from parolis.operators import graph, profiles, scoring
 from parolis.operators.turns import valid_turns, with_ordinals
 from parolis.plans.turns import ORDINALS_SQL
-from parolis.runtime import table
+from parolis.runtime import cut_lineage, table
 
 K, NETWORK, COHORT_K, DIM, KIND = 3, 10, 20, 192, "operateur"
+#: Repeated ids up to which they are broadcast; above, the same join is a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def r6(c: Column | str) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)
 
 
-def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "utterance_vectors").where("utt_id IS NOT NULL AND line_no IS NOT NULL")
-    newest = e.groupBy("utt_id").agg(F.max_by("v", "line_no").alias("v"))
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``discussion, speaker, utt_id, v`` of the valid utterances, vectors as stored. Only ids that are given again are shuffled."""
+    e = table(spark, sf_dir, "utterance_vectors").where("utt_id IS NOT NULL AND line_no IS NOT NULL").select("utt_id", "line_no", "v")
+    again = cut_lineage(e.groupBy("utt_id").agg(F.count("*").alias("n")).where("n > 1").select("utt_id"))
+    if again.count() <= BROADCAST_ROWS:
+        again = F.broadcast(again)
+    newest = e.join(again, "utt_id", "left_semi").groupBy("utt_id").agg(F.max_by("v", "line_no").alias("v"))
+    all_ids = e.join(again, "utt_id", "left_anti").select("utt_id", "v").unionByName(newest)
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    valid = newest.where((F.size("v") == DIM) & finite & F.exists("v", lambda x: x != 0))
+    valid = all_ids.where((F.size("v") == DIM) & finite & F.exists("v", lambda x: x != 0))
     part = lambda n: F.regexp_extract("utt_id", "^(.*)_([^_]*)_([^_]*)$", n)
-    x = valid.select(part(1).alias("discussion"), part(2).alias("speaker"), "utt_id", vec.as_double(F.col("v")).alias("v"))
+    return valid.select(part(1).alias("discussion"), part(2).alias("speaker"), "utt_id", "v")
+
+
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = vectors(spark, sf_dir).withColumn("v", vec.as_double(F.col("v")))
     t = with_ordinals(valid_turns(table(spark, sf_dir, "turns"))).select("utt_id", "duration")
     return x.join(t, "utt_id", "left").select("discussion", "speaker", "utt_id", "v", "duration")
 
@@ -76,12 +87,12 @@ def profile_longest_inter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pairs_intra_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = profiles.pair_statistics(segments(spark, sf_dir)).where("ref = target").drop("target")
+    x = profiles.inner_statistics(vectors(spark, sf_dir)).drop("target")
     return _rounded(x.withColumnRenamed("ref", "discussion"), *STATS)
 
 
 def pairs_inter_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(profiles.pair_statistics(segments(spark, sf_dir)).where("ref <> target"), *STATS)
+    return _rounded(profiles.outer_statistics(vectors(spark, sf_dir)), *STATS)
 
 
 def mean_inter(spark: SparkSession, sf_dir: str) -> DataFrame:
