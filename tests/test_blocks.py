@@ -26,3 +26,17 @@ def test_statistics_inside_discussions_need_one_exchange(spark, monkeypatch):
         s, r = expected(data, d, d), got[d]
         assert (r.target, r.n_pairs, r.mean_sim, r.min_sim, r.max_sim) == (d, len(s), pytest.approx(np.mean(s)), pytest.approx(min(s)), pytest.approx(max(s)))
         assert r.std_sim == pytest.approx(np.std(s), abs=1e-9)
+
+
+def test_statistics_between_discussions_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(profiles.blocks, "TILE", 4)
+    data = corpus(40, calls=4) + [("large", 100 + i, v, None) for i, (_, _, v, _) in enumerate(corpus(300, seed=3))]
+    df = profiles.outer_statistics(spark.createDataFrame(data, SCHEMA), 16)
+    assert not any(x in plan(df) for x in ("Aggregate", "Generate", "RepartitionByExpression"))
+    got = {(r.ref, r.target): r for r in df.collect()}
+    names = ["d0", "d1", "d2", "d3", "large"]
+    assert len(got) == 20
+    for a, b in itertools.permutations(names, 2):
+        s, r = expected(data, a, b), got[a, b]
+        assert (r.n_pairs, r.mean_sim, r.min_sim, r.max_sim) == (len(s), pytest.approx(np.mean(s)), pytest.approx(min(s)), pytest.approx(max(s)))
+        assert r.std_sim == pytest.approx(np.std(s), abs=1e-9)
