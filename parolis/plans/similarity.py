@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parolis.functions import vec
-from parolis.operators import graph, profiles, scoring
+from parolis.operators import graph, links, profiles, scoring
 from parolis.operators.turns import valid_turns, with_ordinals
 from parolis.plans.turns import ORDINALS_SQL
 from parolis.runtime import cut_lineage, table
@@ -113,14 +113,15 @@ def weighted_inter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(profiles.all_pairs(profiles.weighted_profiles(segments(spark, sf_dir))), "sim")
 
 
-def _pairs_and_thresholds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    s, top, prof = _nearest(spark, sf_dir)
-    thresholds = profiles.intra(s, top, prof).where("n_segments >= 2").select(F.col("discussion").alias("ref"), r6("mean_sim").alias("threshold"))
-    return _rounded(profiles.all_pairs(prof), "sim"), thresholds
+def _thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles with the mean similarity of their other segments, where they have two segments at least."""
+    x = profiles.nearest_own(vectors(spark, sf_dir), K)
+    w = F.when(F.col("n_segments") >= 2, r6("mean_sim")).otherwise(F.lit(float("nan")))
+    return x.select(F.col("discussion").alias("key"), F.col("profile").alias("v"), w.alias("w"))
 
 
 def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.clusters(*_pairs_and_thresholds(spark, sf_dir))
+    return links.clusters(_thresholds(spark, sf_dir))
 
 
 def _network(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,20 +138,19 @@ def in_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reciprocity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs, thresholds = _pairs_and_thresholds(spark, sf_dir)
-    return graph.with_reciprocal(graph.cluster_edges(pairs, thresholds).select("ref", "target"))
+    return links.reciprocity(_thresholds(spark, sf_dir))
 
 
 def triads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.with_levels(graph.cluster_edges(*_pairs_and_thresholds(spark, sf_dir)))
+    return links.levels(_thresholds(spark, sf_dir))
 
 
 def level_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.level_counts(triads(spark, sf_dir))
+    return links.level_counts(_thresholds(spark, sf_dir))
 
 
 def cooccurrence_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.sparse_matrix(triads(spark, sf_dir))
+    return links.sparse_matrix(_thresholds(spark, sf_dir))
 
 
 def _score(method: str):
