@@ -42,3 +42,11 @@ def test_triads_by_product_and_by_pair_agree(few, monkeypatch):
     a, b, asked = rng.random((9, 37)) < 0.2, rng.random((6, 37)) < 0.2, rng.random((9, 6)) < 0.7
     got = links.middle(np.packbits(a, axis=1), np.packbits(b, axis=1), asked)
     assert (got == (asked & (a.astype(int) @ b.T.astype(int) > 0))).all()
+
+
+def test_matrix_of_all_profiles(spark, profiles):
+    df, edges, _ = profiles
+    got = links.sparse_matrix(df)
+    assert no_pairs_shuffled(got)
+    want = graph.sparse_matrix(graph.with_levels(spark.createDataFrame(edges, "ref string, target string")))
+    assert rows(got) == rows(want)
