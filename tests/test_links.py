@@ -50,3 +50,11 @@ def test_matrix_of_all_profiles(spark, profiles):
     assert no_pairs_shuffled(got)
     want = graph.sparse_matrix(graph.with_levels(spark.createDataFrame(edges, "ref string, target string")))
     assert rows(got) == rows(want)
+
+
+def test_level_counts_of_all_profiles(spark, profiles):
+    df, edges, _ = profiles
+    got = links.level_counts(df)
+    assert no_pairs_shuffled(got)
+    want = graph.level_counts(graph.with_levels(spark.createDataFrame(edges, "ref string, target string")))
+    assert rows(got) == rows(want)
