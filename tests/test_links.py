@@ -58,3 +58,10 @@ def test_level_counts_of_all_profiles(spark, profiles):
     assert no_pairs_shuffled(got)
     want = graph.level_counts(graph.with_levels(spark.createDataFrame(edges, "ref string, target string")))
     assert rows(got) == rows(want)
+
+
+def test_reciprocity_of_all_profiles(spark, profiles):
+    df, edges, _ = profiles
+    got = links.reciprocity(df)
+    assert no_pairs_shuffled(got)
+    assert rows(got) == rows(graph.with_reciprocal(spark.createDataFrame(edges, "ref string, target string")))
