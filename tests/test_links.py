@@ -65,3 +65,13 @@ def test_reciprocity_of_all_profiles(spark, profiles):
     got = links.reciprocity(df)
     assert no_pairs_shuffled(got)
     assert rows(got) == rows(graph.with_reciprocal(spark.createDataFrame(edges, "ref string, target string")))
+
+
+def test_clusters_of_all_profiles(spark, profiles, monkeypatch):
+    monkeypatch.setattr(links, "BYTES", 100)
+    df, edges, thresholds = profiles
+    got = links.clusters(df)
+    assert no_pairs_shuffled(got)
+    found = {r.ref: (r.threshold, r.n_members, r.members) for r in got.collect()}
+    own = {n: sorted(b for a, b in edges if a == n) for n, t in thresholds.items() if t == t}
+    assert len(own) == 39 and found == {n: (pytest.approx(thresholds[n]), len(m), ",".join(m)) for n, m in own.items()}
