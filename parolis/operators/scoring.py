@@ -9,11 +9,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parolis.functions import vec
-from parolis.operators.profiles import BLOCK, _block_product, nearest_keys
+from parolis.operators import blocks
+from parolis.operators.profiles import vector_type
+from parolis.runtime import cut_lineage
 
 #: Default thresholds of a decision, cohort size.
 THRESHOLDS = {"cosine": 0.75, "snorm": 2.0, "asnorm": 2.0, "adnorm": 0.75}
@@ -66,26 +68,104 @@ def _cohort_stats(corpus: DataFrame, ref_id: str) -> DataFrame:
     return corpus.select("utt_id", "v").mapInArrow(scored, "utt_id string, mu double, sigma double, n bigint")
 
 
+class _Nearest:
+    """The ``k`` nearest impostors of each row of a left block, over right blocks in any order.
+
+    Single-precision products only leave out what cannot be among them: they are off by less than ``MARGIN`` between unit
+    vectors of up to 400 values (longer ones have a margin in proportion). What remains is computed in double precision.
+    """
+
+    MARGIN = 5e-5
+
+    def __init__(self, left, ref_id: str, k: int) -> None:
+        self.ref_id, self.k, self.keys = ref_id, k, left.strings()
+        self.u = blocks.unit(left.x())
+        self.u32, self.least = self.u.astype(np.float32), np.full(len(self.u), -np.inf)
+        self.margin = self.MARGIN * max(1.0, self.u.shape[1] / 400)
+        self.found = [np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0, dtype=object), np.zeros(0)]
+
+    def see(self, right):
+        keys, x = right.strings(), right.x()
+        pick = keys != self.ref_id
+        keys, x = keys[pick], x[pick]
+        w = blocks.unit(x)
+        w32, shade = w.astype(np.float32), x.mean(axis=1, dtype=np.float64)
+        news = [self.found]
+        step = blocks.TILE
+        for i in range(0, len(self.u), step):
+            least = self.least[i : i + step]
+            if len(keys) > self.k and not np.isfinite(least).all():  # the k-th of this block is a bound
+                part = min(512, len(least))
+                for a in range(0, len(least), part):
+                    s = self.u32[i + a : i + a + part] @ w32.T
+                    bound = np.partition(s, -self.k, axis=1)[:, -self.k].astype(np.float64) - self.margin
+                    least[a : a + part] = np.maximum(least[a : a + part], bound)
+            bound = (least - self.margin).astype(np.float32)[:, None]
+            for j in range(0, len(keys), step):
+                hit = np.flatnonzero((self.u32[i : i + step] @ w32[j : j + step].T >= bound).ravel())
+                if len(hit):
+                    r, c = np.divmod(hit, len(keys[j : j + step]))
+                    r, c = r + i, c + j
+                    for a in range(0, len(r), 1 << 16):
+                        rr, cc = r[a : a + (1 << 16)], c[a : a + (1 << 16)]
+                        exact = np.einsum("ij,ij->i", self.u[rr], w[cc]).round(12)
+                        news.append([rr, exact, keys[cc], shade[cc]])
+        self._keep([np.concatenate(c) for c in zip(*news)])
+        return ()
+
+    def _keep(self, found: list) -> None:
+        """Of each row those not below its k-th similarity, ties included."""
+        order = np.lexsort((-found[1], found[0]))
+        rows, sims = found[0][order], found[1][order]
+        last = np.searchsorted(rows, np.arange(len(self.u))) + self.k - 1
+        full = last < np.searchsorted(rows, np.arange(len(self.u)), side="right")
+        self.least[full] = np.maximum(self.least[full], sims[last[full]])
+        kth = np.where(full, sims[np.minimum(last, max(0, len(sims) - 1))], -np.inf) if len(sims) else self.least
+        order = order[sims >= kth[rows]]
+        self.found = [c[order] for c in found]
+
+    def end(self):
+        rows, sims, keys, shades = self.found
+        order = np.lexsort((keys.astype(str), -sims, rows)) if len(rows) else np.zeros(0, dtype=np.int64)
+        rows = rows[order]
+        nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        order, rows = order[nth < self.k], rows[nth < self.k]
+        ends = pa.array(np.searchsorted(rows, np.arange(len(self.u) + 1)), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, pa.array(c[order], kind)) for c, kind in ((sims, pa.float64()), (keys, pa.string()), (shades, pa.float64()))]
+        yield pa.RecordBatch.from_arrays([pa.array(self.keys, pa.string()), *lists], ["utt_id", "sims", "impostors", "shades"])
+
+
 def _top_cohort(corpus: DataFrame, ref_id: str, k: int, block: int) -> DataFrame:
-    """Each vector's ``k`` nearest impostors: ``utt_id, impostor, sim``; a block sends at most ``k`` a vector."""
+    """Each vector's ``k`` nearest impostors, ties by id: ``utt_id`` and the lists ``sims, impostors, shades`` (means of their
+    vectors' components). A task holds its own vectors and sees all others in turn, so that lists are shuffled only where
+    ``blocks.RIGHT`` vectors and more are seen in parts."""
+    n = corpus.count()
+    parts = max(1, -(-n // blocks.RIGHT))
+    x = blocks.packed(corpus.select(F.col("utt_id").cast("string").alias("key"), "v"), blocks.block_size(n, block))
+    lists = "utt_id string, sims array<double>, impostors array<string>, shades array<double>"
+    top = blocks.meet(x, x, parts, lambda left: _Nearest(left, ref_id, k), lists, vector_type(corpus))
+    if parts == 1:
+        return top
+    each = top.select("utt_id", F.inline(F.arrays_zip("sims", "impostors", "shades")))
+    w = Window.partitionBy("utt_id").orderBy(F.desc("sims"), "impostors")
+    each = each.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
+    row = F.array_sort(F.collect_list(F.struct("r", "sims", "impostors", "shades")))
+    return each.groupBy("utt_id").agg(row.alias("x")).select("utt_id", *[F.col(f"x.{c}").alias(c) for c in ("sims", "impostors", "shades")])
+
+
+def _mean(x: str) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda acc, y: acc + y) / F.size(x)
 
-    def visit(ka, a, kb, b) -> pa.Table:
-        pick = kb != ref_id
-        kb, s = kb[pick], (a @ b[pick].T).round(12)
-        if not len(kb):
-            return pa.table({"utt_id": pa.array([], pa.string()), "impostor": pa.array([], pa.string()), "sim": pa.array([], pa.float64())})
-        rows, cols = nearest_keys(kb, s, k)
-        return pa.table({"utt_id": pa.array(ka[rows], pa.string()), "impostor": pa.array(kb[cols], pa.string()), "sim": pa.array(s[rows, cols], pa.float64())})
 
-    rows = corpus.select(F.col("utt_id").cast("string").alias("key"), "v")
-    parts = _block_product(rows, visit, "utt_id string, impostor string, sim double", block)
-    w = Window.partitionBy("utt_id").orderBy(F.desc("sim"), "impostor")
-    return parts.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
+def _deviation(x: str) -> Column:
+    """Of a sample; null of one value."""
+    square = F.aggregate(x, F.lit(0.0), lambda acc, y: acc + (y - F.col("mu")) * (y - F.col("mu")))
+    return F.when(F.size(x) > 1, F.sqrt(square / (F.size(x) - 1)))
 
 
 def search(
     corpus: DataFrame, ref_id: str, method: str = "cosine", k: int = COHORT, threshold: float | None = None,
-    mode: str = "scalar", block: int = BLOCK,
+    mode: str = "scalar", block: int = blocks.BLOCK,
 ) -> DataFrame:
     """Scores of all vectors against ``ref_id``: ``utt_id, score, same_speaker``.
 
@@ -93,7 +173,9 @@ def search(
     nearest impostors is subtracted from both sides: their scalar mean with ``mode='scalar'``, their mean vector with
     ``'vector'``). A cosine decides with >=, a normalised score with >. A cohort smaller than ``k`` is an error.
     """
-    corpus = corpus.select(F.col("utt_id").cast("string").alias("utt_id"), vec.as_double(F.col("v")).alias("v"))
+    v = F.col("v") if dict(corpus.dtypes)["v"] == "array<float>" else vec.as_double(F.col("v"))
+    stored = corpus.select(F.col("utt_id").cast("string").alias("utt_id"), v.alias("v"))
+    corpus = stored.withColumn("v", vec.as_double(F.col("v")))
     threshold = THRESHOLDS[method] if threshold is None else threshold
     ref = corpus.where(F.col("utt_id") == ref_id).select("v").limit(1)
     scored = corpus.withColumn("rv", ref.scalar()).withColumn("cos", vec.cosine(F.col("rv"), F.col("v")))
@@ -104,17 +186,27 @@ def search(
     else:
         if corpus.where(F.col("utt_id") != ref_id).limit(k).count() < k:
             raise ValueError("the cohort has fewer vectors than k")
-        top = _top_cohort(corpus, ref_id, k, block)
-        stats = top.groupBy("utt_id").agg(F.avg("sim").alias("mu"), F.stddev_samp("sim").alias("sigma"))
-    if method == "adnorm":
-        near = top.join(corpus.select(F.col("utt_id").alias("impostor"), "v"), "impostor")
+        top = _top_cohort(stored, ref_id, k, block)
+        stats = top.withColumn("mu", _mean("sims")).withColumn("sigma", _deviation("sims")).select("utt_id", "mu", "sigma")
+    if method == "adnorm" and mode == "scalar":
+        # with own = the mean of a vector, u = what is left of it: (a - x).(b - y) = u_a.u_b + d (own_a - x)(own_b - y)
+        d, own, rown = F.size("v"), vec.scalar_mean(F.col("v")), vec.scalar_mean(F.col("rv"))
+        u, ru = vec.minus_scalar(F.col("v"), F.col("own")), vec.minus_scalar(F.col("rv"), F.col("rown"))
+        flat = scored.withColumn("own", own).withColumn("rown", rown)
+        flat = flat.select("utt_id", "own", "rown", d.alias("d"), vec.dot(ru, u).alias("ab"), vec.dot(u, u).alias("bb"), vec.dot(ru, ru).alias("aa"))
+        means = cut_lineage(top.select("utt_id", _mean("shades").alias("m")))
+        one = means.where(F.col("utt_id") == ref_id).select("m").limit(1)
+        x = flat.join(means, "utt_id").withColumn("y", F.col("own") - F.col("m")).withColumn("x", F.col("rown") - one.scalar())
+        length = lambda a, c: F.greatest(F.sqrt(F.col(a) + F.col("d") * F.col(c) * F.col(c)), F.lit(vec.EPS))
+        out, score = x, (F.col("ab") + F.col("d") * F.col("x") * F.col("y")) / (length("aa", "x") * length("bb", "y"))
+    elif method == "adnorm":
+        near = top.select("utt_id", F.explode("impostors").alias("impostor")).join(corpus.select(F.col("utt_id").alias("impostor"), "v"), "impostor")
         means = near.groupBy("utt_id").agg(vec.mean_vector(F.col("v")).alias("m"))
-        if mode == "scalar":
-            means = means.withColumn("m", F.array_repeat(vec.scalar_mean(F.col("m")), F.size("m")))
         ref_mean = means.where(F.col("utt_id") == ref_id).select("m").limit(1)
         out = scored.join(means, "utt_id").withColumn("rm", ref_mean.scalar())
         score = vec.cosine(vec.minus(F.col("rv"), F.col("rm")), vec.minus(F.col("v"), F.col("m")))
     else:
+        stats = cut_lineage(stats)  # read twice
         ref_stats = stats.where(F.col("utt_id") == ref_id).select(F.struct("mu", "sigma").alias("e")).limit(1)
         out = scored.join(stats, "utt_id").withColumn("e", ref_stats.scalar())
         score = ((F.col("cos") - F.col("e.mu")) / F.col("e.sigma") + (F.col("cos") - F.col("mu")) / F.col("sigma")) * 0.5

@@ -155,7 +155,7 @@ def cooccurrence_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _score(method: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        corpus = segments(spark, sf_dir).select("utt_id", "v")
+        corpus = vectors(spark, sf_dir).select("utt_id", "v")
         return _rounded(scoring.search(corpus, reference_id(corpus), method, COHORT_K, 0.1 if method == "cosine" else None), "score")
 
     return run
