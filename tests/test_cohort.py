@@ -37,3 +37,16 @@ def test_nearest_impostors_are_exact(spark, vectors, monkeypatch, right):
     plan = top._jdf.queryExecution().optimizedPlan().toString()
     if right == 1000:
         assert not any(x in plan for x in ("Window", "Aggregate", "Generate", "RepartitionByExpression"))  # nothing is shuffled
+
+
+def test_adnorm_by_scalars(spark, vectors):
+    df, names, v = vectors
+    want, _ = nearest(names, v, "u07", 6)
+    m = {n: np.mean([v[b].mean() for b in want[n]]) for n in names}
+    search = scoring.search(df, "u07", "adnorm", 6, block=32)
+    assert "impostors" not in search._jdf.queryExecution().optimizedPlan().toString()  # no vector or id of an impostor is joined
+    got = {r.utt_id: r.score for r in search.collect()}
+    ref = v[names.index("u07")] - m["u07"]
+    for a, n in enumerate(names):
+        x = v[a] - m[n]
+        assert got[n] == pytest.approx(ref @ x / np.linalg.norm(ref) / np.linalg.norm(x))
