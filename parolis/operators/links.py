@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from parolis.operators import blocks
 
 #: Profiles of one block; half a unit of the sixth decimal; rows and bytes of strings of one batch.
-BLOCK, HALF, ROWS, BYTES = 1024, 5e-7, 200_000, 32 << 20
+BLOCK, HALF, ROWS, BYTES = 1024, 5e-7, 100_000, 8 << 20
 #: Middle nodes tried at a time by a product, and the part of the pairs below which single pairs are looked at.
 CHUNK, FEW = 256, 0.02
 
