@@ -7,21 +7,27 @@ or broadcast, and what a task says of a left block needs no second shuffle where
 
 from __future__ import annotations
 
+import heapq
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.serializers import BatchedSerializer, CPickleSerializer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parolis.functions import vec
-from parolis.runtime import cut_lineage
+from parolis.runtime import cut_lineage, ensure_checkpoint_dir
 
 #: Vectors of one block, and rows and columns of one product inside a pair of blocks.
 BLOCK, TILE = 8192, 2048
-#: Left blocks that are wanted at least, so that all cores work; vectors of one right partition, which is held in memory.
+#: Left blocks that are wanted at least, so that all cores work; vectors that one right partition of ``meet``, held in memory, may have
+#: (``streamed`` has no such limit).
 TASKS, RIGHT = 24, 400_000
+#: Vectors of a block that is streamed, and about so many that a task holds as its own.
+STREAM, OWN = 2048, 16_384
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -153,3 +159,71 @@ def meet(left: DataFrame, right: DataFrame, right_parts: int, visitor: Callable,
     a = left.select(*[F.col(c).alias(f"l_{c}") for c in left.columns])
     b = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns]).coalesce(right_parts)
     return a.crossJoin(b.hint("shuffle_replicate_nl")).mapInArrow(run, schema)
+
+
+def streamed(rows: DataFrame, block: int, visitor: Callable, schema: str) -> DataFrame:
+    """Rows ``key, v`` in groups, each of which meets all rows: ``visitor(keys, x)`` makes an object of a group's rows whose
+    ``see(keys, x)`` takes a block, and whose ``end()`` yields batches of ``schema``.
+
+    Blocks are checkpointed once, without a shuffle. A task reads them twice, one at a time: it keeps those of its own group,
+    then sees all. So its memory holds ``OWN`` rows and one block, however many there are, and no result is in parts.
+    """
+    spark = rows.sparkSession
+    sc = spark.sparkContext
+
+    def pack(batches):
+        at, held, n = TaskContext.get().partitionId() << 32, [], 0
+
+        def row():
+            t = pa.concat_tables(held)
+            body = pickle.dumps((t.column("key").to_pylist(), matrix(t.column("v"))), 5)
+            return pa.RecordBatch.from_pydict({"at": pa.array([at], pa.int64()), "n": pa.array([n], pa.int32()), "body": pa.array([body], pa.binary())})
+
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            while t.num_rows:
+                some = t.slice(0, block - n)
+                held, n, t = [*held, some], n + some.num_rows, t.slice(block - n)
+                if n == block:
+                    yield row()
+                    at, held, n = at + 1, [], 0
+        if n:
+            yield row()
+
+    def run(pairs):
+        held, v = [], None
+        for (own, met), (at, _, body) in pairs:
+            if met:
+                if v is None:
+                    v = visitor([k for keys, _ in held for k in keys], np.concatenate([x for _, x in held]))
+                    held = []
+                v.see(*pickle.loads(body))
+            elif at in own:
+                held.append(pickle.loads(body))
+        for b in v.end() if v is not None else ():
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, b.schema) as w:
+                w.write_batch(b)
+            yield (sink.getvalue().to_pybytes(),)
+
+    def read(batches):
+        for b in batches:
+            for x in b.column("b"):
+                yield from pa.ipc.open_stream(x.as_buffer())
+
+    ensure_checkpoint_dir(spark)
+    packs = rows.select("key", "v").mapInArrow(pack, "at bigint, n int, body binary").rdd.map(lambda r: (r.at, r.n, bytes(r.body)))
+    packs.checkpoint()
+    packs._jrdd.rdd().doCheckpoint()  # at once; an action would compute the rows first and then again
+    sizes = sorted(packs.map(lambda p: p[:2]).collect(), key=lambda p: (-p[1], p[0]))
+    count = min(len(sizes), max(TASKS, -(-sum(n for _, n in sizes) // OWN)))
+    groups = [(0, g, set()) for g in range(count)]  # by rows, so that all tasks have about as many
+    for at, n in sizes:
+        held, g, own = groups[0]
+        own.add(at)
+        heapq.heapreplace(groups, (held + n, g, own))
+    passes = [(own, met) for _, _, own in groups for met in (False, True)]
+    # one a batch, as the product hands on whole batches
+    left = sc.parallelize(passes, max(1, count))._reserialize(BatchedSerializer(CPickleSerializer(), 1))
+    out = left.cartesian(packs.coalesce(1)).mapPartitions(run)
+    return spark.createDataFrame(out, "b binary", verifySchema=False).mapInArrow(read, schema)

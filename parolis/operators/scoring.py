@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from parolis.functions import vec
 from parolis.operators import blocks
-from parolis.operators.profiles import vector_type
 from parolis.runtime import cut_lineage
 
 #: Default thresholds of a decision, cohort size.
@@ -69,88 +68,104 @@ def _cohort_stats(corpus: DataFrame, ref_id: str) -> DataFrame:
 
 
 class _Nearest:
-    """The ``k`` nearest impostors of each row of a left block, over right blocks in any order.
+    """The ``k`` nearest impostors of each row of a group, over blocks in any order; ties by id.
 
     Single-precision products only leave out what cannot be among them: they are off by less than ``MARGIN`` between unit
     vectors of up to 400 values (longer ones have a margin in proportion). What remains is computed in double precision.
     """
 
     MARGIN = 5e-5
+    #: Rows and columns of a product, which stays in the cache; products computed at a time in double precision; such products after which the nearest are cut.
+    ROWS, COLUMNS, EXACT, PENDING = 512, 2048, 4096, 1 << 20
 
-    def __init__(self, left, ref_id: str, k: int) -> None:
-        self.ref_id, self.k, self.keys = ref_id, k, left.strings()
-        self.u = blocks.unit(left.x())
+    def __init__(self, keys: list, x: np.ndarray, ref_id: str, k: int, columns: tuple[str, ...]) -> None:
+        self.keys, self.ref_id, self.k, self.columns = keys, ref_id, k, columns
+        self.u = blocks.unit(x)
         self.u32, self.least = self.u.astype(np.float32), np.full(len(self.u), -np.inf)
         self.margin = self.MARGIN * max(1.0, self.u.shape[1] / 400)
-        self.found = [np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0, dtype=object), np.zeros(0)]
+        self.found = [np.zeros(0, dtype=np.int32), np.zeros(0), np.zeros(0, dtype=object), np.zeros(0)]
+        self.news, self.pending = [], 0
+        self.space: dict = {}
 
-    def see(self, right):
-        keys, x = right.strings(), right.x()
+    def see(self, keys: list, x: np.ndarray) -> None:
+        keys = np.asarray(keys, dtype=object)
         pick = keys != self.ref_id
         keys, x = keys[pick], x[pick]
         w = blocks.unit(x)
         w32, shade = w.astype(np.float32), x.mean(axis=1, dtype=np.float64)
-        news = [self.found]
-        step = blocks.TILE
-        for i in range(0, len(self.u), step):
-            least = self.least[i : i + step]
+        for i in range(0, len(self.u), self.ROWS):
+            least, u32 = self.least[i : i + self.ROWS], self.u32[i : i + self.ROWS]
             if len(keys) > self.k and not np.isfinite(least).all():  # the k-th of this block is a bound
-                part = min(512, len(least))
-                for a in range(0, len(least), part):
-                    s = self.u32[i + a : i + a + part] @ w32.T
-                    bound = np.partition(s, -self.k, axis=1)[:, -self.k].astype(np.float64) - self.margin
-                    least[a : a + part] = np.maximum(least[a : a + part], bound)
-            bound = (least - self.margin).astype(np.float32)[:, None]
-            for j in range(0, len(keys), step):
-                hit = np.flatnonzero((self.u32[i : i + step] @ w32[j : j + step].T >= bound).ravel())
-                if len(hit):
-                    r, c = np.divmod(hit, len(keys[j : j + step]))
-                    r, c = r + i, c + j
-                    for a in range(0, len(r), 1 << 16):
-                        rr, cc = r[a : a + (1 << 16)], c[a : a + (1 << 16)]
-                        exact = np.einsum("ij,ij->i", self.u[rr], w[cc]).round(12)
-                        news.append([rr, exact, keys[cc], shade[cc]])
-        self._keep([np.concatenate(c) for c in zip(*news)])
-        return ()
-
-    def _keep(self, found: list) -> None:
-        """Of each row those not below its k-th similarity, ties included."""
-        order = np.lexsort((-found[1], found[0]))
-        rows, sims = found[0][order], found[1][order]
-        last = np.searchsorted(rows, np.arange(len(self.u))) + self.k - 1
-        full = last < np.searchsorted(rows, np.arange(len(self.u)), side="right")
-        self.least[full] = np.maximum(self.least[full], sims[last[full]])
-        kth = np.where(full, sims[np.minimum(last, max(0, len(sims) - 1))], -np.inf) if len(sims) else self.least
-        order = order[sims >= kth[rows]]
-        self.found = [c[order] for c in found]
+                bound = np.partition(u32 @ w32.T, -self.k, axis=1)[:, -self.k].astype(np.float64) - self.margin
+                np.maximum(least, bound, out=least)
+            for j in range(0, len(keys), self.COLUMNS):
+                hit = self._hits(u32, w32[j : j + self.COLUMNS], (least - self.margin).astype(np.float32)[:, None])
+                if not len(hit):
+                    continue
+                r, c = np.divmod(hit, min(self.COLUMNS, len(keys) - j))
+                r, c = (r + i).astype(np.int32), c + j
+                exact = [np.einsum("ij,ij->i", self.u[r[a : a + self.EXACT]], w[c[a : a + self.EXACT]]) for a in range(0, len(r), self.EXACT)]
+                self.news.append([r, np.concatenate(exact).round(12), keys[c], shade[c]])
+                self.pending += len(r)
+                if self.pending > self.PENDING:
+                    self._keep()
+        if 2 * self.pending > len(self.found[0]):
+            self._keep()
+
+    def _hits(self, a: np.ndarray, b: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        """Flat places of the products that reach the bound of their row."""
+        shape = (len(a), len(b))
+        if shape not in self.space:
+            self.space = {shape: (np.empty(shape, np.float32), np.empty(shape, np.bool_))}
+        s, h = self.space[shape]
+        flat = np.greater_equal(np.matmul(a, b.T, out=s), bound, out=h).ravel()
+        if len(flat) % 8:
+            return np.flatnonzero(flat)
+        at = (np.flatnonzero(flat.view(np.uint64))[:, None] * 8 + np.arange(8)).ravel()  # eight at once, as hits are few
+        return at[flat[at]]
+
+    def _keep(self) -> None:
+        """Of each row the ``k`` first by similarity, then id."""
+        rows, sims, keys, shades = (np.concatenate(c) for c in zip(self.found, *self.news))
+        self.news, self.pending = [], 0
+        order = np.argsort(-sims)
+        order = order[np.argsort(rows[order], kind="stable")]
+        first = np.searchsorted(rows[order], np.arange(len(self.u) + 1))
+        full = np.flatnonzero(np.diff(first) >= self.k)
+        kth = np.full(len(self.u), -np.inf)
+        kth[full] = sims[order[first[full] + self.k - 1]]
+        np.maximum(self.least, kth, out=self.least)
+        order = order[sims[order] >= kth[rows[order]]]
+        counts = np.bincount(rows[order], minlength=len(self.u))
+        if (counts > self.k).any():  # ties at the k-th
+            tied = counts[rows[order]] > self.k
+            some = order[tied]
+            some = some[np.lexsort((keys[some].astype(str), -sims[some], rows[some]))]
+            nth = np.arange(len(some)) - np.searchsorted(rows[some], rows[some])
+            order = np.concatenate([order[~tied], some[nth < self.k]])
+        self.found = [c[order] for c in (rows, sims, keys, shades)]
 
     def end(self):
+        self._keep()
         rows, sims, keys, shades = self.found
         order = np.lexsort((keys.astype(str), -sims, rows)) if len(rows) else np.zeros(0, dtype=np.int64)
-        rows = rows[order]
-        nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
-        order, rows = order[nth < self.k], rows[nth < self.k]
-        ends = pa.array(np.searchsorted(rows, np.arange(len(self.u) + 1)), pa.int32())
-        lists = [pa.ListArray.from_arrays(ends, pa.array(c[order], kind)) for c, kind in ((sims, pa.float64()), (keys, pa.string()), (shades, pa.float64()))]
-        yield pa.RecordBatch.from_arrays([pa.array(self.keys, pa.string()), *lists], ["utt_id", "sims", "impostors", "shades"])
+        ends = np.searchsorted(rows[order], np.arange(len(self.u) + 1))
+        values = {"sims": (sims, pa.float64()), "impostors": (keys, pa.string()), "shades": (shades, pa.float64())}
+        lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values[c][0][order], values[c][1])) for c in self.columns]
+        batch = pa.RecordBatch.from_arrays([pa.array(self.keys, pa.string()), *lists], ["utt_id", *self.columns])
+        for i in range(0, batch.num_rows, 4096):
+            yield batch.slice(i, 4096)
 
 
-def _top_cohort(corpus: DataFrame, ref_id: str, k: int, block: int) -> DataFrame:
+def _top_cohort(corpus: DataFrame, ref_id: str, k: int, block: int, columns: tuple[str, ...] = ("sims", "impostors", "shades")) -> DataFrame:
     """Each vector's ``k`` nearest impostors, ties by id: ``utt_id`` and the lists ``sims, impostors, shades`` (means of their
-    vectors' components). A task holds its own vectors and sees all others in turn, so that lists are shuffled only where
-    ``blocks.RIGHT`` vectors and more are seen in parts."""
-    n = corpus.count()
-    parts = max(1, -(-n // blocks.RIGHT))
-    x = blocks.packed(corpus.select(F.col("utt_id").cast("string").alias("key"), "v"), blocks.block_size(n, block))
-    lists = "utt_id string, sims array<double>, impostors array<string>, shades array<double>"
-    top = blocks.meet(x, x, parts, lambda left: _Nearest(left, ref_id, k), lists, vector_type(corpus))
-    if parts == 1:
-        return top
-    each = top.select("utt_id", F.inline(F.arrays_zip("sims", "impostors", "shades")))
-    w = Window.partitionBy("utt_id").orderBy(F.desc("sims"), "impostors")
-    each = each.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
-    row = F.array_sort(F.collect_list(F.struct("r", "sims", "impostors", "shades")))
-    return each.groupBy("utt_id").agg(row.alias("x")).select("utt_id", *[F.col(f"x.{c}").alias(c) for c in ("sims", "impostors", "shades")])
+    vectors' components) that are asked for. A task holds its own vectors and sees all others in turn, so that no list is
+    shuffled."""
+    size = blocks.block_size(corpus.count(), min(block, blocks.STREAM))
+    lists = {"sims": "array<double>", "impostors": "array<string>", "shades": "array<double>"}
+    schema = ", ".join(["utt_id string", *[f"{c} {lists[c]}" for c in columns]])
+    keyed = corpus.select(F.col("utt_id").cast("string").alias("key"), "v")
+    return blocks.streamed(keyed, size, lambda keys, x: _Nearest(keys, x, ref_id, k, columns), schema)
 
 
 def _mean(x: str) -> Column:
@@ -186,8 +201,8 @@ def search(
     else:
         if corpus.where(F.col("utt_id") != ref_id).limit(k).count() < k:
             raise ValueError("the cohort has fewer vectors than k")
-        top = _top_cohort(stored, ref_id, k, block)
-        stats = top.withColumn("mu", _mean("sims")).withColumn("sigma", _deviation("sims")).select("utt_id", "mu", "sigma")
+        wanted = "sims" if method == "asnorm" else "shades" if mode == "scalar" else "impostors"
+        top = _top_cohort(stored, ref_id, k, block, (wanted,))
     if method == "adnorm" and mode == "scalar":
         # with own = the mean of a vector, u = what is left of it: (a - x).(b - y) = u_a.u_b + d (own_a - x)(own_b - y)
         d, own, rown = F.size("v"), vec.scalar_mean(F.col("v")), vec.scalar_mean(F.col("rv"))
@@ -206,6 +221,8 @@ def search(
         out = scored.join(means, "utt_id").withColumn("rm", ref_mean.scalar())
         score = vec.cosine(vec.minus(F.col("rv"), F.col("rm")), vec.minus(F.col("v"), F.col("m")))
     else:
+        if method == "asnorm":
+            stats = top.withColumn("mu", _mean("sims")).withColumn("sigma", _deviation("sims")).select("utt_id", "mu", "sigma")
         stats = cut_lineage(stats)  # read twice
         ref_stats = stats.where(F.col("utt_id") == ref_id).select(F.struct("mu", "sigma").alias("e")).limit(1)
         out = scored.join(stats, "utt_id").withColumn("e", ref_stats.scalar())

@@ -39,6 +39,28 @@ def test_nearest_impostors_are_exact(spark, vectors, monkeypatch, right):
         assert not any(x in plan for x in ("Window", "Aggregate", "Generate", "RepartitionByExpression"))  # nothing is shuffled
 
 
+def test_lists_are_not_shuffled_whatever_the_number_of_vectors(spark, vectors, monkeypatch):
+    monkeypatch.setattr(blocks, "RIGHT", 25)
+    monkeypatch.setattr(blocks, "OWN", 2, raising=False)  # more groups than TASKS
+    df, names, v = vectors
+    want, _ = nearest(names, v, "u07", 6)
+    top = scoring._top_cohort(df, "u07", 6, 3)
+    plan = top._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(x in plan for x in ("Window", "Aggregate", "Generate", "Join", "RepartitionByExpression"))
+    assert {r.utt_id: r.impostors for r in top.collect()} == {n: [names[b] for b in want[n]] for n in names}
+
+
+def test_ties_do_not_pile_up():
+    x = np.tile(np.arange(1.0, 5), (300, 1)).astype(np.float32)
+    near = scoring._Nearest([f"u{i:03d}" for i in range(20)], x[:20], "u003", 4, ("impostors",))
+    for a in (200, 100, 0):
+        near.see([f"u{i:03d}" for i in range(a, a + 100)], x[:100])
+    near._keep()
+    assert len(near.found[0]) == 20 * 4
+    (batch,) = near.end()
+    assert batch.column("impostors").to_pylist() == [["u000", "u001", "u002", "u004"]] * 20
+
+
 def test_adnorm_by_scalars(spark, vectors):
     df, names, v = vectors
     want, _ = nearest(names, v, "u07", 6)
