@@ -72,3 +72,12 @@ def test_adnorm_by_scalars(spark, vectors):
     for a, n in enumerate(names):
         x = v[a] - m[n]
         assert got[n] == pytest.approx(ref @ x / np.linalg.norm(ref) / np.linalg.norm(x))
+
+
+@pytest.mark.parametrize("method, wanted", [("adnorm", "shades"), ("asnorm", "sims")])
+def test_only_the_lists_of_a_score_are_carried(spark, vectors, monkeypatch, method, wanted):
+    schemas, streamed = [], blocks.streamed
+    monkeypatch.setattr(blocks, "streamed", lambda rows, block, visitor, schema: schemas.append(schema) or streamed(rows, block, visitor, schema))
+    df, names, _ = vectors
+    assert scoring.search(df, "u07", method, 6, block=32).count() == len(names)
+    assert schemas == [f"utt_id string, {wanted} array<double>"]
