@@ -70,46 +70,36 @@ def by_group(rows: DataFrame, by: str, *order: str) -> DataFrame:
     return rows.repartition(by).sortWithinPartitions(by, *order)
 
 
-def packed(rows: DataFrame, block: int, whole: str | None = None) -> DataFrame:
-    """Rows ``key, v`` (and ``w``, a double) as one row a block: ``at, n, keys, x`` (and ``w``), checkpointed.
-
-    With ``whole`` the rows come in order of that column, which ``groups`` repeats, and no block ends inside a value of it.
-    """
+def packed(rows: DataFrame, block: int) -> DataFrame:
+    """Rows ``key, v`` (and ``w``, a double) as one row a block: ``at, n, keys, x`` (and ``w``), checkpointed."""
     extra = [c for c in ("w",) if c in rows.columns]
     kind = dict(rows.dtypes)["v"].removeprefix("array<").rstrip(">")
     if kind not in ("float", "double"):
         raise ValueError(f"vectors of {kind}")
-    schema = "at bigint, n int, keys array<string>, x binary" + ", w binary" * bool(extra) + ", groups array<string>" * bool(whole)
+    schema = "at bigint, n int, keys array<string>, x binary" + ", w binary" * bool(extra)
 
     def row(at: int, t: pa.Table) -> pa.RecordBatch:
         out = {"at": pa.array([at], pa.int64()), "n": pa.array([t.num_rows], pa.int32()), "keys": pa.array([t.column("key").to_pylist()], pa.list_(pa.string()))}
         out["x"] = pa.array([matrix(t.column("v")).tobytes()], pa.binary())
         if extra:
             out["w"] = pa.array([t.column("w").to_numpy().astype(np.float64).tobytes()], pa.binary())
-        if whole:
-            out["groups"] = pa.array([t.column(whole).to_pylist()], pa.list_(pa.string()))
         return pa.RecordBatch.from_pydict(out)
 
     def run(batches):
         at = TaskContext.get().partitionId() << 32
         held, n = [], 0
-        pieces = grouped(batches, whole) if whole else (t.slice(i, block) for b in batches for t in [pa.Table.from_batches([b])] for i in range(0, b.num_rows, block))
-        if whole:
-            pieces = (p for t in pieces for p in _groups(t, whole))
+        pieces = (t.slice(i, block) for b in batches for t in [pa.Table.from_batches([b])] for i in range(0, b.num_rows, block))
         for t in pieces:
-            if not whole and n + t.num_rows > block:
+            if n + t.num_rows > block:
                 held.append(t.slice(0, block - n))
                 yield row(at, pa.concat_tables(held))
                 at, held, n = at + 1, [t.slice(block - n)], n + t.num_rows - block
                 continue
-            if whole and n and n + t.num_rows > block:
-                yield row(at, pa.concat_tables(held))
-                at, held, n = at + 1, [], 0
             held, n = [*held, t], n + t.num_rows
         if n:
             yield row(at, pa.concat_tables(held))
 
-    return cut_lineage(rows.select("key", "v", *extra, *[whole] * bool(whole)).mapInArrow(run, schema).repartition(TASKS))
+    return cut_lineage(rows.select("key", "v", *extra).mapInArrow(run, schema).repartition(TASKS))
 
 
 def _groups(t: pa.Table, by: str) -> Iterator[pa.Table]:
@@ -161,12 +151,16 @@ def meet(left: DataFrame, right: DataFrame, right_parts: int, visitor: Callable,
     return a.crossJoin(b.hint("shuffle_replicate_nl")).mapInArrow(run, schema)
 
 
-def streamed(rows: DataFrame, block: int, visitor: Callable, schema: str) -> DataFrame:
+def streamed(rows: DataFrame, block: int, visitor: Callable, schema: str, whole: bool = False, unpack: Callable | None = None) -> DataFrame:
     """Rows ``key, v`` in groups, each of which meets all rows: ``visitor(keys, x)`` makes an object of a group's rows whose
     ``see(keys, x)`` takes a block, and whose ``end()`` yields batches of ``schema``.
 
     Blocks are checkpointed once, without a shuffle. A task reads them twice, one at a time: it keeps those of its own group,
     then sees all. So its memory holds ``OWN`` rows and one block, however many there are, and no result is in parts.
+
+    With ``whole`` the rows come in order of ``key``, no block ends inside a value of it, and of two groups only one sees the
+    other's blocks; what a group has to say of itself is up to its ``end()``. ``see(keys, x)`` may yield too. With ``unpack``
+    the visitor yields what ``unpack`` makes batches of, so that it may send less than the rows.
     """
     spark = rows.sparkSession
     sc = spark.sparkContext
@@ -179,8 +173,13 @@ def streamed(rows: DataFrame, block: int, visitor: Callable, schema: str) -> Dat
             body = pickle.dumps((t.column("key").to_pylist(), matrix(t.column("v"))), 5)
             return pa.RecordBatch.from_pydict({"at": pa.array([at], pa.int64()), "n": pa.array([n], pa.int32()), "body": pa.array([body], pa.binary())})
 
-        for b in batches:
-            t = pa.Table.from_batches([b])
+        for t in (p for g in grouped(batches, "key") for p in _groups(g, "key")) if whole else map(lambda b: pa.Table.from_batches([b]), batches):
+            if whole:
+                if n and n + t.num_rows > block:
+                    yield row()
+                    at, held, n = at + 1, [], 0
+                held, n = [*held, t], n + t.num_rows
+                continue
             while t.num_rows:
                 some = t.slice(0, block - n)
                 held, n, t = [*held, some], n + some.num_rows, t.slice(block - n)
@@ -190,26 +189,35 @@ def streamed(rows: DataFrame, block: int, visitor: Callable, schema: str) -> Dat
         if n:
             yield row()
 
-    def run(pairs):
-        held, v = [], None
-        for (own, met), (at, _, body) in pairs:
-            if met:
-                if v is None:
-                    v = visitor([k for keys, _ in held for k in keys], np.concatenate([x for _, x in held]))
-                    held = []
-                v.see(*pickle.loads(body))
-            elif at in own:
-                held.append(pickle.loads(body))
-        for b in v.end() if v is not None else ():
+    def sent(found):
+        for b in found or ():
+            if unpack:
+                yield (pickle.dumps(b, 5),)
+                continue
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, b.schema) as w:
                 w.write_batch(b)
             yield (sink.getvalue().to_pybytes(),)
 
+    def run(pairs):
+        held, v = [], None
+        for (wanted, met), (at, _, body) in pairs:
+            if met and v is None:
+                v = visitor([k for keys, _ in held for k in keys], np.concatenate([x for _, x in held]))
+                held = []
+            if wanted is not None and at not in wanted:
+                continue
+            if met:
+                yield from sent(v.see(*pickle.loads(body)))
+            else:
+                held.append(pickle.loads(body))
+        if v is not None:
+            yield from sent(v.end())
+
     def read(batches):
         for b in batches:
             for x in b.column("b"):
-                yield from pa.ipc.open_stream(x.as_buffer())
+                yield from unpack(pickle.loads(x.as_buffer())) if unpack else pa.ipc.open_stream(x.as_buffer())
 
     ensure_checkpoint_dir(spark)
     packs = rows.select("key", "v").mapInArrow(pack, "at bigint, n int, body binary").rdd.map(lambda r: (r.at, r.n, bytes(r.body)))
@@ -222,8 +230,15 @@ def streamed(rows: DataFrame, block: int, visitor: Callable, schema: str) -> Dat
         held, g, own = groups[0]
         own.add(at)
         heapq.heapreplace(groups, (held + n, g, own))
-    passes = [(own, met) for _, _, own in groups for met in (False, True)]
+    owns = [own for _, _, own in groups]
+    others = [set().union(*(owns[h] for h in half(g, count))) for g in range(count)] if whole else [None] * count
+    passes = [p for own, other in zip(owns, others) for p in ((own, False), (other, True))]
     # one a batch, as the product hands on whole batches
     left = sc.parallelize(passes, max(1, count))._reserialize(BatchedSerializer(CPickleSerializer(), 1))
     out = left.cartesian(packs.coalesce(1)).mapPartitions(run)
     return spark.createDataFrame(out, "b binary", verifySchema=False).mapInArrow(read, schema)
+
+
+def half(g: int, count: int) -> list[int]:
+    """Of ``count`` in a circle those that ``g`` meets, so that any two meet once and all have about as many."""
+    return [(g + d) % count for d in range(1, count // 2 + 1) if 2 * d < count or g < count // 2]

@@ -16,8 +16,8 @@ from parolis.operators import blocks
 
 #: Weight of a segment whose duration is unknown.
 DEFAULT_WEIGHT = 2.0
-#: Vectors of one block of an all-pairs product; partitions of its right side where a left block need not see all of it at once.
-BLOCK, RIGHT_PARTS = 1024, 4
+#: Vectors of one block of an all-pairs product.
+BLOCK = 1024
 
 
 def top_by_centroid(segments: DataFrame, k: int = 3) -> DataFrame:
@@ -170,46 +170,84 @@ def pair_statistics(segments: DataFrame, block: int = BLOCK) -> DataFrame:
     return inner_statistics(segments).unionByName(outer_statistics(segments, block))
 
 
-def outer_statistics(segments: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``pair_statistics`` between different discussions. No block ends inside a discussion, so a pair of discussions is one
-    rectangle of one product and its statistics are not shuffled."""
+def outer_statistics(segments: DataFrame, block: int = BLOCK, decimals: int | None = None) -> DataFrame:
+    """``pair_statistics`` between different discussions, rounded half up to ``decimals``. No block ends inside a discussion,
+    so a pair of discussions is one rectangle of one product and its statistics are not shuffled.
+
+    The cosines of two discussions are formed once, for (ref, target) and (target, ref). Rows of both ways stand close
+    together, as files of them then compress to about half.
+    """
 
     class Visitor:
-        def __init__(self, left) -> None:
-            self.names, self.starts = _runs(left.strings("groups"))
-            self.x, self.sizes = blocks.unit(left.x()), np.diff([*self.starts, left.number("n")])
-
-        def see(self, right):
-            names, starts = _runs(right.strings("groups"))
-            y, sizes = blocks.unit(right.x()), np.diff([*starts, right.number("n")])
-            names_b = pa.array(names, pa.string())
-            # some discussions of the left side at a time; those of many segments stand alone and are cut into tiles
-            i, step = 0, max(1, min(blocks.TILE, 2**22 // len(y)))
+        def __init__(self, keys, x) -> None:
+            self.names, self.starts = _runs(np.asarray(keys, dtype=object))
+            self.x, self.sizes = blocks.unit(x), np.diff([*self.starts, len(x)])
+
+        def see(self, keys, x):
+            names, starts = _runs(np.asarray(keys, dtype=object))
+            y, sizes = blocks.unit(x), np.diff([*starts, len(x)])
+            i = 0
             while i < len(self.names):
-                j = i + 1
-                while j < len(self.names) and self.sizes[i : j + 1].sum() <= min(256, step):
-                    j += 1
-                first, last = self.starts[i], self.starts[j - 1] + self.sizes[j - 1]
-                total = None
-                for r in range(first, last, step):
-                    end = min(last, r + step)
-                    rows = self.starts[i:j] - first if j > i + 1 else np.array([0])
-                    s = self.x[r:end] @ y.T
-                    over = lambda f, m, at=rows: f.reduceat(f.reduceat(m, starts, axis=1), at, axis=0)
-                    part = over(np.add, s), over(np.add, s * s), over(np.minimum, s), over(np.maximum, s)
-                    total = part if total is None else (total[0] + part[0], total[1] + part[1], np.minimum(total[2], part[2]), np.maximum(total[3], part[3]))
-                a, b = np.nonzero(self.names[i:j, None] != names[None, :])
-                n = (self.sizes[i:j, None] * sizes[None, :])[a, b]
-                ref = pa.array(self.names[i:j], pa.string()).take(pa.array(a))
-                yield pa.RecordBatch.from_pydict({"ref": ref, "target": names_b.take(pa.array(b)), **_statistics(n, *(v[a, b] for v in total))})
+                j = self.until(i, len(y), len(names))
+                yield self.rectangle(i, j, names, starts, sizes, y, False)
                 i = j
 
         def end(self):
-            return ()
+            i = 0
+            while i < len(self.names) - 1:
+                first = self.starts[i]
+                j = self.until(i, len(self.x) - first, len(self.names) - i)
+                yield self.rectangle(i, j, self.names[i:], self.starts[i:] - first, self.sizes[i:], self.x[first:], True)
+                i = j
 
-    rows = segments.select(F.col("discussion").cast("string").alias("group"), F.col("utt_id").cast("string").alias("key"), "v")
-    x = blocks.packed(blocks.by_group(rows, "group"), block, whole="group")
-    return blocks.meet(x, x, RIGHT_PARTS, Visitor, PAIRS, vector_type(segments))
+        def until(self, i: int, width: int, names: int) -> int:
+            """The end of some discussions at a time; those of many segments stand alone."""
+            j = i + 1
+            while j < len(self.names) and self.sizes[i : j + 1].sum() <= min(256, _tile(width)) and (j + 1 - i) * names <= 2**16:
+                j += 1
+            return j
+
+        def rectangle(self, i, j, names, starts, sizes, y, own) -> tuple:
+            total = [np.empty((j - i, len(names))) for _ in range(4)]
+            first, last = self.starts[i], self.starts[j - 1] + self.sizes[j - 1]
+            for r in range(first, last, _tile(len(y))):  # a discussion of many segments is cut into tiles
+                end = min(last, r + _tile(len(y)))
+                s = self.x[r:end] @ y.T
+                for d in range(i, j):
+                    x = s[max(0, self.starts[d] - r) : self.starts[d] + self.sizes[d] - r]
+                    part = x.sum(axis=0), np.einsum("ij,ij->j", x, x), x.min(axis=0), x.max(axis=0)
+                    for t, p, f in zip(total, part, (np.add, np.add, np.minimum, np.maximum)):
+                        p = f.reduceat(p, starts)
+                        t[d - i] = p if r == first else f(t[d - i], p)
+            n = self.sizes[i:j, None] * sizes[None, :]
+            found = _statistics(n.ravel(), *(t.ravel() for t in total))
+            stats = {k: x if decimals is None or k == "n_pairs" else _half_up(x, decimals) for k, x in found.items()}
+            return self.names[i:j].tolist(), names.tolist(), own, {k: np.asarray(x).reshape(n.shape) for k, x in stats.items()}
+
+    rows = segments.select(F.col("discussion").cast("string").alias("key"), "v")
+    return blocks.streamed(blocks.by_group(rows, "key"), block, Visitor, PAIRS, whole=True, unpack=_both_ways)
+
+
+def _tile(width: int) -> int:
+    return max(1, min(blocks.TILE, 2**22 // width))
+
+
+def _half_up(x: np.ndarray, decimals: int) -> np.ndarray:
+    x = x * 10.0**decimals
+    return np.trunc(x + np.copysign(0.5, x)) / 10.0**decimals + 0.0
+
+
+def _both_ways(found: tuple):
+    """Rows of a rectangle of discussions: those of one ref, then the same with ref and target changed. With ``own`` the
+    rectangle begins with the refs themselves, and only targets behind a ref count."""
+    refs, targets, own, stats = found
+    names = pa.array([*refs, *targets], pa.string())
+    i, j = np.broadcast_arrays(np.arange(len(refs))[:, None], len(refs) + np.arange(len(targets))[None, :])
+    kept = np.broadcast_to(j - len(refs) > i if own else np.True_, i.shape)
+    kept = np.stack([kept, kept], axis=1)
+    both = lambda a, b: np.stack([a, b], axis=1)[kept]
+    ref, target = names.take(pa.array(both(i, j))), names.take(pa.array(both(j, i)))
+    yield pa.RecordBatch.from_pydict({"ref": ref, "target": target, **{k: pa.array(both(x, x)) for k, x in stats.items()}})
 
 
 def _runs(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -218,10 +256,6 @@ def _runs(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return names[starts], starts
 
 
-def vector_type(rows: DataFrame) -> type:
-    return np.float32 if dict(rows.dtypes)["v"] == "array<float>" else np.float64
-
-
 def nearest_own(segments: DataFrame, k: int = 3) -> DataFrame:
     """Each discussion's profile of the ``k`` segments nearest its centroid, and its cosines with the other segments:
     ``discussion, profile, members, n_segments, mean_sim, min_sim, max_sim, std_sim, n_evaluated`` as ``intra`` gives over

@@ -92,7 +92,7 @@ def pairs_intra_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pairs_inter_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(profiles.outer_statistics(vectors(spark, sf_dir)), *STATS)
+    return profiles.outer_statistics(vectors(spark, sf_dir), decimals=6)
 
 
 def mean_inter(spark: SparkSession, sf_dir: str) -> DataFrame:
